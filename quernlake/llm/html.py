@@ -3,12 +3,14 @@
 The standard library's parser is fed a page piece by piece; its events make lines (a block-level tag or a source
 line break ends one) with their text and the number of tags in them.  The text-to-tag ratios of the lines are smoothed
 with a Gaussian, and lines are put in two clusters by the threshold that Otsu's method finds on the smoothed
-ratios' logarithms; the upper cluster is content.
+ratios' logarithms; the upper cluster is content, as is what has ``LONG`` characters a tag.  Text in links and in
+elements that are boilerplate by their tag or name (navigation, footers, advertisements) doesn't count as text.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -16,13 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE, SIGMA = 1 << 16, 1.0
+PIECE, SIGMA, LONG = 1 << 16, 1.0, 30
 _BLOCK = frozenset("address article aside blockquote body br center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section select table tbody td tfoot th thead title tr ul".split())
 _SILENT = frozenset("script style noscript template svg iframe object".split())
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_BOILER = frozenset("nav footer aside form select button menu".split())
+_NAMED = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|cookies?|footer|menu|nav\w*|promo\w*|share|sidebar|sponsor\w*|toolbar)(?:$|[\s_-])")
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, characters in links, weight) of each line of a page, and the title."""
+    """Collects (text, tags, characters in links and boilerplate elements) of each line of a page, and the title."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -31,6 +36,8 @@ class Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = self.linked = 0
         self.silent = self.in_title = self.in_link = 0
+        self.stack: list[tuple[str, bool]] = []  # open elements, and whether one is boilerplate by name
+        self.open: dict[str, int] = {}
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -46,8 +53,11 @@ class Lines(HTMLParser):
             self.silent += 1
         elif tag == "title":
             self.in_title += 1
-        elif tag == "a":
-            self.in_link += 1
+        if tag not in _VOID:
+            boiler = tag == "a" or tag in _BOILER or any(k in ("class", "id", "role") and v and _NAMED.search(v) for k, v in attrs)
+            self.stack.append((tag, bool(boiler)))
+            self.open[tag] = self.open.get(tag, 0) + 1
+            self.in_link += bool(boiler)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in _BLOCK:
@@ -60,10 +70,15 @@ class Lines(HTMLParser):
             self.silent = max(0, self.silent - 1)
         elif tag == "title":
             self.in_title = max(0, self.in_title - 1)
-        elif tag == "a":
-            self.in_link = max(0, self.in_link - 1)
         if tag in _BLOCK:
             self.end_line()
+        if self.open.get(tag):  # closes what it encloses too; an end tag without a start closes nothing
+            while True:
+                name, boiler = self.stack.pop()
+                self.open[name] -= 1
+                self.in_link -= boiler
+                if name == tag:
+                    break
 
     def handle_data(self, data: str) -> None:
         if self.in_title:
@@ -127,7 +142,7 @@ def content(lines: list[tuple[str, int, int]]) -> list[int]:
         return []
     ratio = [max(0, len(t) - linked) / max(1, tags) for t, tags, linked in lines]
     level = [math.log1p(x) for x in smoothed(ratio)]
-    cut = threshold(level)
+    cut = min(threshold(level), math.log1p(LONG))
     return [k for k, (t, _, linked) in enumerate(lines) if t and level[k] >= cut and 2 * linked <= len(t)]
 
 

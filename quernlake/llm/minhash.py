@@ -60,7 +60,7 @@ def sketch(grams: np.ndarray, owner: np.ndarray, n: int, bins: int = BINS) -> tu
             source = (table[-1][cols] + attempt) % bins
         hit = filled[rows, source]
         # the attempt is mixed in, so that two borrowers of one bin agree only where both documents borrowed alike
-        out[rows[hit], cols[hit]] = low[rows[hit], source[hit]] + U64(attempt + 1) * U64(0xD1342543DE82EF95)
+        out[rows[hit], cols[hit]] = low[rows[hit], source[hit]] + U64((attempt + 1) * 0xD1342543DE82EF95 & (1 << 64) - 1)
         rows, cols, attempt = rows[~hit], cols[~hit], attempt + 1
     return (textvec.mix(out) & U64(0xFFFF)).astype(np.uint16), some
 
