@@ -4,9 +4,9 @@ One hash of each word shingle gives both its bin (of ``bins``) and its rank in t
 costs one pass.  An empty bin borrows from a bin drawn by a universal hash of (bin, attempt) until it
 meets a filled one (optimal densification), which keeps the estimate of the Jaccard similarity unbiased.
 Bands of bins are bucket keys; within a bucket only a star of edges is made, from each member to the
-bucket's smallest document, and each edge is verified on the whole signatures.  Members that don't
-resemble the centre form the bucket again without it, until none is left, so no pair is lost to a cap.
-Verified edges are closed to connected components.
+bucket's smallest document, and each edge is verified on the whole signatures.  Members that don't resemble the
+centre are compared among themselves, leader by leader, in one task for each bucket (buckets of the same members
+count once), so no pair is lost to a cap.  Verified edges are closed to connected components.
 """
 
 from __future__ import annotations
@@ -116,6 +116,43 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike)], names=["doc_id", "center", "similarity"])
 
 
+def leaders(sig: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """For each row the first row before it that leads and resembles it; itself where none does."""
+    out = np.arange(len(sig))
+    open_ = np.arange(len(sig))
+    while len(open_) > 1:
+        first, others = open_[0], open_[1:]
+        near = np.concatenate([(sig[part] == sig[first]).mean(axis=1) >= similarity for part in np.array_split(others, len(others) // 4096 + 1)])
+        out[others[near]] = first
+        open_ = others[~near]
+    return out
+
+
+def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges to the leaders, bucket by bucket; rows come sorted by bucket, and one bucket is held at a time."""
+
+    def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids = np.concatenate([p.column(1).to_numpy() for p in parts])
+        sig = np.frombuffer(b"".join(x for p in parts for x in p.column(2).to_pylist()), dtype=np.uint16).reshape(-1, BINS)
+        lead = leaders(sig)
+        led = np.flatnonzero(lead != np.arange(len(lead)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[led]), pa.array(ids[lead[led]])], names=["doc_id", "center"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        bucket = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            if held and held[0].column(0)[0].as_py() != bucket[a]:
+                yield flush(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield flush(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, group_id) for every vertex of the edges (a, b): the smallest vertex of its component.
     Large-star and small-star steps alternate until the edges stop changing; each halves the depth."""
@@ -152,20 +189,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     exact = signed.select("doc_id", F.min("doc_id").over(Window.partitionBy("k1", "k2")).alias("center")).where("doc_id <> center")
     buckets = one.select("doc_id", "sig").mapInArrow(_bands, "doc_id bigint, bucket bigint")
     sigs = one.groupBy("doc_id").agg(F.min("sig").alias("sig"))  # an id that stands on two texts counts by one of them
-    found = exact.select("doc_id", "center")
-    old: list[DataFrame] = []
-    while True:
-        star = saved(buckets.withColumn("center", F.min("doc_id").over(Window.partitionBy("bucket"))).where("doc_id <> center"), "star")
-        edges = star.select("doc_id", "center").distinct()
-        pairs = edges.join(sigs, "doc_id").join(sigs.select(F.col("doc_id").alias("center"), F.col("sig").alias("sig_c")), "center")
-        judged = saved(pairs.select("doc_id", "center", "sig", "sig_c").mapInArrow(_similar, "doc_id bigint, center bigint, similarity double"), "judged")
-        found = found.union(judged.where(F.col("similarity") >= SIMILARITY).select("doc_id", "center"))
-        poor = judged.where(F.col("similarity") < SIMILARITY).select("doc_id", "center")
-        old += [star, judged]
-        if poor.isEmpty():
-            break
-        buckets = star.join(poor, ["doc_id", "center"], "left_semi").select("doc_id", "bucket")
-    groups = components(found.toDF("a", "b"))
-    for x in (signed, one, *old):
+    star = saved(buckets.withColumn("center", F.min("doc_id").over(Window.partitionBy("bucket"))).where("doc_id <> center"), "star")
+    pairs = star.select("doc_id", "center").distinct().join(sigs, "doc_id").join(sigs.select(F.col("doc_id").alias("center"), F.col("sig").alias("sig_c")), "center")
+    judged = saved(pairs.select("doc_id", "center", "sig", "sig_c").mapInArrow(_similar, "doc_id bigint, center bigint, similarity double"), "judged")
+    good = judged.where(F.col("similarity") >= SIMILARITY).select("doc_id", "center")
+    # the rest of each bucket, once for each set of members
+    rest = star.join(judged.where(F.col("similarity") < SIMILARITY), ["doc_id", "center"], "left_semi").select("bucket", "doc_id")
+    sets = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h")).where("n > 1")
+    distinct = sets.groupBy("n", "h").agg(F.min("bucket").alias("bucket")).select("bucket")
+    members = rest.join(distinct, "bucket", "left_semi").join(sigs, "doc_id").select("bucket", "doc_id", "sig")
+    led = members.repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(_lead, "doc_id bigint, center bigint")
+    groups = components(exact.union(good).union(led).toDF("a", "b"))
+    for x in (signed, one, star, judged):
         discard(x)
     return groups.select("doc_id", F.col("group_id").alias("kept_id"))
