@@ -203,7 +203,7 @@ def _promotions(good: DataFrame) -> DataFrame:
     numbers = good.where("kind in ('int', 'float')")
     large = (F.col("kind") == "int") & ((F.col("i") > EXACT) | (F.col("i") < -EXACT))
     risky = numbers.groupBy("path").agg(F.max(large).alias("large"), F.max(F.col("kind") == "float").alias("floats")).where("large and floats").select("path")
-    events = numbers.join(F.broadcast(risky), "path", "left_semi").select("path", "doc_seq", "kind", "i", F.lit(1).alias("one"))
+    events = numbers.join(F.broadcast(risky), "path", "left_semi").select("path", "doc_seq", "kind", large.alias("huge"), F.lit(1).alias("one"))
 
     def fold(pdf):
         import pandas as pd
@@ -213,9 +213,8 @@ def _promotions(good: DataFrame) -> DataFrame:
         for seq, rows in pdf.sort_values("doc_seq", kind="stable").groupby("doc_seq", sort=True):
             trial = {p: list(state[p]) for p in rows["path"].unique() if p in state}
             why = None
-            for p, kind, i in zip(rows["path"], rows["kind"], rows["i"]):
+            for p, kind, huge in zip(rows["path"], rows["kind"], rows["huge"]):
                 mixed, big = trial.get(p, [None, False])
-                huge = kind == "int" and abs(int(i)) > EXACT
                 if mixed is None:
                     mixed = kind == "float"
                 if kind == "float" and not mixed:
