@@ -64,12 +64,15 @@ def rebalanced(now: list[int], size: dict[int, int], shards: int = SHARDS, toler
         out[s] = low
 
 
-def slot_map(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The stored map (version, slot, shard): version 1, and version 2 as edited for the bytes of ``docs``."""
+def slot_map(docs: DataFrame, shards: int = SHARDS, previous: DataFrame | None = None) -> DataFrame:
+    """The stored map (version, slot, shard), with one version more than ``previous``: its newest, edited for the
+    bytes of ``docs``.  Without ``previous`` it begins with version 1, which is then edited."""
     spark = docs.sparkSession
     size = {r["slot"]: r["bytes"] for r in slot_bytes(docs).collect()}  # one row for each of 4096 slots at most
-    start = first_map(shards)
-    rows = [(v, s, shard) for v, one in ((1, start), (2, rebalanced(start, size, shards))) for s, shard in enumerate(one)]
+    rows = [(1, s, shard) for s, shard in enumerate(first_map(shards))] if previous is None else [(r["version"], r["slot"], r["shard"]) for r in previous.select("version", "slot", "shard").collect()]
+    newest = max(v for v, _, _ in rows)
+    now = [shard for _, shard in sorted((s, shard) for v, s, shard in rows if v == newest)]
+    rows += [(newest + 1, s, shard) for s, shard in enumerate(rebalanced(now, size, shards))]
     return saved(spark.createDataFrame(rows, "version int, slot int, shard int").coalesce(1), "slot-map")
 
 

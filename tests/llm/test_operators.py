@@ -232,6 +232,9 @@ def test_sharding(spark, odd, clashing, empty):
     assert placed.columns == [*clashing.columns, "_slot", "_shard", "_version"]
     table = sharding.slot_map(odd).toPandas()
     assert len(table) == 2 * sharding.SLOTS and set(table.version) == {1, 2}
+    grown = sharding.slot_map(odd.union(odd), previous=sharding.slot_map(odd)).toPandas()
+    by = {v: list(x.sort_values("slot").shard) for v, x in grown.groupby("version")}
+    assert set(by) == {1, 2, 3} and sum(a != b for a, b in zip(by[2], by[3])) <= sum(a != b for a, b in zip(by[1], by[3]))
 
 
 def test_slots_are_even(spark):
