@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quernlake.functions.text import python_ngrams
 from quernlake.operators.index import ADAPTIVE, BLOOM_ONLY, Entry, Index, bucket
+from quernlake.operators.observe import observed
 from quernlake.plans import jsonpath, regex_literals
 from quernlake.plans.predicates import Aliased, Predicate, as_term, exact_int, is_number, rounded_int
 
@@ -50,6 +51,7 @@ def _resolve(index: Index, p: Predicate) -> tuple[str, Any] | None:
     return None if path is None else (path, value)
 
 
+@observed("evaluate")
 def candidates(index: Index, predicates: list[Predicate], mode: str = "sound") -> DataFrame:
     """Distinct ``rg_id`` of the row groups that may hold a match.  No predicate: all of them."""
     if mode not in ("sound", "compat"):

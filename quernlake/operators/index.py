@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from quernlake.functions.sketches import Bloom, build_bloom, distinct_sketch
 from quernlake.functions.text import ngrams
 from quernlake.operators import shred as shredding
+from quernlake.operators.observe import observed
 from quernlake.plans import jsonpath
 from quernlake.plans.config import Config
 
@@ -222,6 +223,7 @@ def index_table(df: DataFrame, rg_id: Column, row_groups: DataFrame, num_row_gro
     return Index(config, num_row_groups, df.sparkSession, _provider(df.sparkSession, observe, row_groups, num_row_groups, config, None))
 
 
+@observed("build")
 def build_index(docs: DataFrame, num_row_groups: int, config: Config | None = None, keep=None, parser=None) -> Index:
     """Index of JSON documents (rg_id, doc_seq, json and, if ids aren't positions, doc_id).
 

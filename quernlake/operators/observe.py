@@ -5,8 +5,9 @@ from __future__ import annotations
 import logging
 import time
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 LOG = logging.getLogger("quernlake")
 LOG.addHandler(logging.NullHandler())
@@ -44,3 +45,26 @@ def boundary(operation: str, signals: Signals | None = None, **attributes: str)
             if failed:
                 signals.failures[operation, failed] += 1
         LOG.info("%s", {"operation": operation, **attributes, "status": "error" if failed else "ok", **({"error_type": failed} if failed else {})})
+
+
+_active: Signals | None = None
+
+
+def use(signals: Signals | None) -> None:
+    """Collects the library's durations and failures in ``signals`` from now on; None switches that off."""
+    global _active
+    _active = signals
+
+
+def observed(operation: str) -> Callable[[Callable], Callable]:
+    """Wraps a function of the library in a boundary."""
+
+    def wrap(f: Callable) -> Callable:
+        @wraps(f)
+        def run(*args, **kwargs):
+            with boundary(operation, _active):
+                return f(*args, **kwargs)
+
+        return run
+
+    return wrap

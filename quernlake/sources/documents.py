@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernlake.operators.observe import observed
 
+
+@observed("read_parquet")
 def parquet_documents(spark: SparkSession, file: str, column: str) -> tuple[DataFrame, int]:
     """((rg_id, doc_seq, json) of a file's JSON column by its real row groups, their number).
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quernlake.functions.sketches import Bloom
 from quernlake.operators.index import ADAPTIVE, BLOOM_ONLY, EXACT_MODE, TABLES, Index
+from quernlake.operators.observe import observed
 from quernlake.plans import jsonpath
 from quernlake.plans.config import Config
 
@@ -73,6 +74,7 @@ def read_text(spark: SparkSession, path: str, limit: int) -> str:
         stream.close()
 
 
+@observed("encode")
 def write_index(index: Index, path: str, level: int = 3) -> None:
     """Writes an index: a table a folder, sorted for row-group skipping, then the manifest, so that a half-written
     index is none.  ``level`` is that of zstd; 0 leaves the tables uncompressed."""
@@ -98,6 +100,7 @@ def write_index(index: Index, path: str, level: int = 3) -> None:
     write_text(spark, f"{path}/manifest.json", json.dumps(manifest))
 
 
+@observed("decode")
 def read_index(spark: SparkSession, path: str, check: bool = True) -> Index:
     """Reads what :func:`write_index` wrote; ``check`` also holds the tables against each other."""
     text = read_text(spark, f"{path}/manifest.json", MAX_MANIFEST)

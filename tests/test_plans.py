@@ -13,12 +13,12 @@ from quernlake.plans import regex_literals as rx
 from quernlake.plans.config import Config
 
 
-@pytest.mark.parametrize("path", ["$", "$.foo", "$.foo.bar", "$.foo.bar.baz", "$['foo']", '$["foo"]', "$.foo['bar']", "$.items[*]", "$.foo_bar", "$['foo-bar']['baz']", "$.a.*"])
+@pytest.mark.parametrize("path", ["$.rows[*].cell", "$['two words']", '$["q"].r', "$.x", "$", "$.x.y.z", "$.x['y-1']['z']", "$.under_score", "$.a.*", "$[*]"])
 def test_valid_paths(path):
     jsonpath.validate(path)
 
 
-@pytest.mark.parametrize("path", ["", "foo", "$[", "$['foo", "$.items[0]", "$.items[123]", "$.data[0].name", "$..foo", "$.items[0:5]", "$.items[?(@.price > 10)]", "$.a[0,1]", "__derived:$.a#b", "$."])
+@pytest.mark.parametrize("path", ["$.rows[7]", "rows", "", "$.rows[1:]", "$['open", "$[", "$..deep", "$.rows[?(@.n < 3)]", "$.rows[2].n", "$.a[0,1]", "__derived:$.a#b", "$."])
 def test_refused_paths(path):
     assert not jsonpath.is_valid(path)
 
@@ -28,14 +28,13 @@ def test_canonical_path():
 
 
 @pytest.mark.parametrize("text, expected", [
-    ('$.brand REGEX "Toyota|Tesla"', p.Regex("$.brand", "Toyota|Tesla")),
-    ('$.brand regex "a=b"', p.Regex("$.brand", "a=b")),
-    ('$.message CoNtAiNs "warn"', p.Contains("$.message", "warn")),
-    ('$.message CONTAINS "a=b"', p.Contains("$.message", "a=b")),
-    ('$.count IN (1, 2, "three")', p.IN("$.count", 1, 2, "three")),
-    ('$.count not in (1, 2, "three")', p.NIN("$.count", 1, 2, "three")),
-    ("$.d IS NULL", p.IsNull("$.d")),
     ("$.d Is Not Null", p.IsNotNull("$.d")),
+    ('$.m REGEX "up|down"', p.Regex("$.m", "up|down")),
+    ("$.n not in (4, 'x y', 2.5)", p.NIN("$.n", 4, "x y", 2.5)),
+    ('$.m CoNtAiNs "k=v"', p.Contains("$.m", "k=v")),
+    ('$.m regex "k=v"', p.Regex("$.m", "k=v")),
+    ('$.n IN (7, "seven")', p.IN("$.n", 7, "seven")),
+    ("$.d IS NULL", p.IsNull("$.d")),
     ("$.a >= 5", p.GTE("$.a", 5)),
     ("$.a!=true", p.NE("$.a", True)),
     ("$['a'] = 'x y'", p.EQ("$.a", "x y")),
@@ -51,7 +50,7 @@ def test_inexact_literals():
     assert p.parse_predicate("$.a IN (1, 2)", exact=False) == p.IN("$.a", 1.0, 2.0)
 
 
-@pytest.mark.parametrize("text", ["", "$.brand REGEX", "$.message CONTAINS", "$.count NOT IN", "$.deleted_at IS", '$.items[0] = "x"', '$..name = "alice"'])
+@pytest.mark.parametrize("text", ["$.a IS", "$.b NOT IN", "$.c REGEX", "", "$.d CONTAINS", '$.rows[3] = "x"', '$..deep = "y"', "a = 1"])
 def test_malformed_predicates(text):
     with pytest.raises(ValueError):
         p.parse_predicate(text)
@@ -74,14 +73,14 @@ def test_numbers():
 
 
 @pytest.mark.parametrize("pattern, expected", [
-    ("hello", ["hello"]), ("foo|bar|baz", ["foo", "ba"]), ("error.*warning", ["error", "warning"]), ("ERROR_[0-9]+", ["ERROR_"]), ("[a-z]+_suffix", ["_suffix"]),
-    ("Toyota|Tesla|Ford", ["Toyota", "Tesla", "Ford"]), ("(error|warn|info)_message", ["error_message", "warn_message", "info_message"]), ("^start.*end$", ["start", "end"]), ("test(ing)?", ["test"]), ("ab+c", ["abc"]),
+    ("^begin.*stop$", ["begin", "stop"]), ("one|two|twin", ["one", "two", "twin"]), ("one|bad|bag", ["one", "ba"]), ("walk(ing)?", ["walk"]), ("xy+z", ["xyz"]),
+    ("(red|blue)_car", ["red_car", "blue_car"]), ("CODE_[0-9]+", ["CODE_"]), ("[a-z]+_tail", ["_tail"]), ("plain", ["plain"]), ("left.*right", ["left", "right"]), ("Tiger|Trout|Cat", ["Tiger", "Trout", "Cat"]),
 ])
 def test_compat_literals(pattern, expected):
     assert rx.compat_literals(pattern) == expected
 
 
-@pytest.mark.parametrize("pattern, wild, least", [("hello", False, 5), ("foo.*bar", True, 3), ("a{2,5}", False, 2), ("ab|cdef|g", False, 1)])
+@pytest.mark.parametrize("pattern, wild, least", [("one.*three", True, 3), ("k|lmno|pq", False, 1), ("plain", False, 5), ("z{3,4}", False, 3)])
 def test_analyze(pattern, wild, least):
     info = rx.analyze(pattern)
     assert (info.has_wildcard, info.min_length) == (wild, least)
