@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from quernlake.llm.suffix import refine
 from quernlake.llm.tables import fresh
 
 U64 = np.uint64
-PHRASE, SAMPLE, SHARD = 8, 16, 1 << 21  # words of a phrase, distance of sampled suffixes, symbols of an index
+PHRASE, SAMPLE, SHARD = 8, 16, 1 << 19  # words of a phrase, distance of sampled suffixes, symbols of an index
 SEPARATOR = 1  # symbol 0 is the end of the sequence
 
 
@@ -264,9 +265,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE) -> Da
         done: dict[int, dict[int, list]] = {}
 
         def keep() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                held.append(batch)
-                yield batch
+            for whole in batches:
+                for k in range(0, len(whole), 512):
+                    held.append(whole.slice(k, 512))
+                    yield held[-1]
 
         for found in _shards(keep(), phrases, text):
             change: dict[int, dict[int, list]] = {}
@@ -285,22 +287,18 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE) -> Da
     def edit(batch: pa.RecordBatch, rows: dict[int, list]) -> pa.RecordBatch:
         if not rows:
             return batch
-        values = batch.column(text).to_pylist()
-        gone = set()
-        for row, spans in rows.items():
-            values[row] = cut(values[row], spans)
-            if not len(textvec.hash_words(values[row])):
-                gone.add(row)
+        at = sorted(rows)
+        values = [cut(batch.column(text)[row].as_py(), rows[row]) for row in at]
+        mask = np.zeros(len(batch), bool)
+        mask[at] = True
         arrays = list(batch.columns)
-        arrays[text] = pa.array(values, batch.schema.field(text).type)
+        arrays[text] = pc.replace_with_mask(arrays[text], pa.array(mask), pa.array(values, arrays[text].type))
         if "n_chars" in columns:
             k = columns.index("n_chars")
-            sizes = batch.column(k).to_pylist()
-            for row in rows:
-                sizes[row] = len(values[row])
-            arrays[k] = pa.array(sizes, batch.schema.field(k).type)
+            arrays[k] = pc.replace_with_mask(arrays[k], pa.array(mask), pa.array([len(v) for v in values], arrays[k].type))
+        mask[at] = [not len(textvec.hash_words(v)) for v in values]
         out = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
-        return out.filter(pa.array([r not in gone for r in range(len(values))])) if gone else out
+        return out.filter(pa.array(~mask)) if mask.any() else out
 
     return docs.mapInArrow(run, schema)
 

@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings, trained by stochastic gradient descent in numpy.
 
-A document is the average of learned vectors of its features: hashed words, hashed character n-grams (of the
+It is trained in one task, on a bounded sample.  A document is the average of learned vectors of its features: hashed words, hashed character n-grams (of the
 bytes, case kept, across word boundaries) and, as a bigram of equal words has one meaning whatever the word, one
 feature for an immediately repeated word.  A softmax layer follows.  As that layer is linear, scoring needs only
 one number for each hash bucket and class, so a corpus is scored by table lookups on whole Arrow batches.
@@ -54,9 +54,13 @@ class Model:
 
     def scores(self, texts_: pa.Array) -> np.ndarray:
         """Probability of class 1 of each text; of a text without words, that of the bias alone."""
-        out = []
+        return self.judged(texts_)[0]
+
+    def judged(self, texts_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, and whether a text has any word."""
+        out, some = [], []
         table = np.append(self.weight, 0.0).astype(np.float32)  # place -1: no feature
-        for _, w in textvec.chunks(texts_, "blanks"):
+        for _, w in textvec.chunks(texts_, "blanks", size=1 << 18):
             word, grams, again = _features(w)
             total = np.zeros(len(w.first))
             np.add(total[1:], np.cumsum(np.r_[0.0, table[word] + np.where(again, table[REPEATED], 0)])[w.first[1:]], out=total[1:])
@@ -68,9 +72,10 @@ class Model:
                 stop = np.maximum(w.offsets[:-1], w.offsets[1:] - n + 1)  # no n-gram across documents
                 sums = sums + value[stop] - value[w.offsets[:-1]]
                 count = count + np.maximum(0, size - n + 1)
-            out.append(self.bias + np.where(np.diff(w.first) > 0, sums / np.maximum(1, count), 0))
+            some.append(np.diff(w.first) > 0)
+            out.append(self.bias + np.where(some[-1], sums / np.maximum(1, count), 0))
         logit = np.concatenate(out) if out else np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30))), np.concatenate(some) if some else np.zeros(0, bool)
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -80,13 +85,18 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
         word, grams, again = _features(w)
         parts += [word, np.full(int(again.sum()), REPEATED), grams[grams >= 0].ravel()]
     ids, count = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0))
-    return ids, (count / max(1, count.sum())).astype(np.float32)
+    return ids.astype(np.int32), (count / max(1, count.sum())).astype(np.float32)
 
 
 def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> Model:
     """Stochastic gradient descent on the embeddings and the softmax layer, classes weighted alike."""
     rng = np.random.default_rng(seed)
-    bags = [(*bag(t), int(y)) for t, y in sample if t and t.strip()]
+    sample = sample[::-1]
+    bags = []
+    while sample:
+        t, y = sample.pop()
+        if t and t.strip():
+            bags.append((*bag(t), int(y)))
     size = np.bincount([y for *_, y in bags], minlength=2)
     if not size.all():  # one class only: always that one
         return Model(np.zeros(BUCKETS + 1, np.float32), 10.0 if size[1] >= size[0] else -10.0)
@@ -111,34 +121,22 @@ def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RAT
     return Model((embed @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, column: str, bound: int) -> list[tuple[str, int]]:
-    """(text, label) of ``bound`` labelled documents at most, those with the least hash of their id: a
-    documented bound on what one machine is trained on.  Nulls are left out, a repeated row counts once."""
-    named = labels.where(f"doc_id is not null and {column} is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column).cast("int").alias("y"))
-    few = named.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = texts(docs.where("text is not null and doc_id is not null")).join(F.broadcast(few), "doc_id").select("doc_id", "text", "y").distinct().collect()
-    return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
-
-
 def fitted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
-    return train(sampled(docs, labels, "quality", bound))
-
-
-def scored(docs: DataFrame, model: Model, *columns: str) -> DataFrame:
-    """The columns named and ``score``, the probability of good quality."""
-    weight, bias, at = model.weight, model.bias, docs.columns.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(weight)  # 256 KB, whatever the corpus
+    """The classifier of ``bound`` labelled documents at most, those with the least hash of their id: a documented
+    bound on what one task trains on.  Nulls are left out, a repeated row counts once."""
+    named = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("y"))
+    few = named.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    rows = texts(docs.where("text is not null and doc_id is not null")).join(F.broadcast(few), "doc_id").select("doc_id", "text", "y").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(shared.value, bias)
-        for batch in batches:
-            keep = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(own.scores(batch.column(batch.num_columns - 1)))], names=[*columns, "score"])
+        found = [x for b in batches for x in zip(*(c.to_pylist() for c in b.columns))]
+        found.sort(key=lambda r: (r[0], r[1]))
+        if found:
+            model = train([(t, y) for _, t, y in found])
+            yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.bias])], names=["weight", "bias"])
 
-    del at
-    rows = docs.select(*columns, F.col("text"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*columns).dtypes)
-    return rows.mapInArrow(run, f"{fields}, score double")
+    trained = rows.repartition(1).mapInArrow(run, "weight binary, bias double").first()
+    return Model(np.frombuffer(bytes(trained["weight"]), np.float32), trained["bias"]) if trained else train([])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
@@ -148,9 +146,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> D
     Without labels, or with one class only, every text gets that class (good, if there is none).  Each row has its
     row in the result, repeated ones and those with a null ``doc_id`` too.  Extra columns are ignored.
     """
-    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False)).alias("any"))
-    out = scored(named, fitted(docs, labels, bound), "doc_id", "any")
-    return out.select("doc_id", F.when(F.col("any"), F.col("score")).otherwise(0.0).alias("score")).withColumn("keep", F.col("score") >= REJECT)
+    model = fitted(docs, labels, bound)
+    shared, bias = docs.sparkSession.sparkContext.broadcast(model.weight), model.bias  # 256 KB, whatever the corpus
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(shared.value, bias)
+        for batch in batches:
+            score, some = own.judged(batch.column(1))
+            score = np.where(some, score, 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(score >= REJECT)], names=["doc_id", "score", "keep"])
+
+    return texts(docs).mapInArrow(run, "doc_id bigint, score double, keep boolean")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
@@ -161,8 +167,7 @@ def accepted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(shared.value, bias)
         for batch in batches:
-            good = own.scores(batch.column(at)) >= REJECT
-            lively = np.array([bool(t and t.strip()) for t in batch.column(at).to_pylist()], bool)
-            yield batch.filter(pa.array(good & lively))
+            score, some = own.judged(batch.column(at))
+            yield batch.filter(pa.array((score >= REJECT) & some))
 
     return docs.mapInArrow(run, docs.schema)

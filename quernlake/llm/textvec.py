@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES, SLICE = 1 << 20, 512  # bytes and documents that are tokenised at a time
 
 _ASCII_WORD = np.zeros(256, dtype=bool)
 _ASCII_WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123)]] = True
@@ -109,14 +109,15 @@ def tokenize(buffer: np.ndarray, offsets: np.ndarray, kind: str) -> Words:
 def chunks(texts: pa.Array, kind: str, lower: bool = False, size: int = CHUNK_BYTES) -> Iterator[tuple[int, Words]]:
     """Tokenises an Arrow column piece by piece: (index of the first document, its Words) for about
     ``size`` bytes at a time, so that temporary arrays stay in cache.  A longer document is one piece."""
-    if lower:
-        texts = pc.utf8_lower(texts)
-    buffer, offsets = raw(texts)
-    at, n = 0, len(offsets) - 1
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
-        yield at, tokenize(buffer[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], kind)
-        at = to
+    for k in range(0, len(texts), SLICE):
+        part = texts.slice(k, SLICE)
+        buffer, offsets = raw(pc.utf8_lower(part) if lower else part)
+        at, n = 0, len(offsets) - 1
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+            yield k + at, tokenize(buffer[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], kind)
+            at = to
+    pa.default_memory_pool().release_unused()  # workers live on from task to task
 
 
 def _multipliers(n: int, seed: int) -> np.ndarray:
