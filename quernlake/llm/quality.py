@@ -32,9 +32,10 @@ def _features(w: textvec.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     grams = []
     data = w.buffer.astype(np.uint32)
     for n in NGRAMS:
-        key = np.zeros(max(0, len(data) - n + 1), np.uint32)
+        m = max(0, len(data) - n + 1)
+        key = np.zeros(m, np.uint32)
         for k in range(n):
-            key = key * np.uint32(0x01000193) + data[k : len(data) - n + 1 + k]
+            key = key * np.uint32(0x01000193) + data[k : k + m]
         key = key * np.uint32(0x9E3779B1)
         key ^= key >> np.uint32(15)
         key *= np.uint32(0x85EBCA77)
