@@ -24,7 +24,7 @@ from quernlake.llm import textvec
 from quernlake.llm.tables import texts
 
 U64 = np.uint64
-SAMPLE, SUPPORT, ODDS, THRESHOLD = 20000, 3, 3.5, 1.0
+SAMPLE, SUPPORT, ODDS, CERTAIN, THRESHOLD = 20000, 3, 3.0, 5.0, 1.0
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
 SEED = {
@@ -204,13 +204,13 @@ def clauses(w: textvec.Words, lexicon: Lexicon, machine: Machine) -> Iterator[tu
 
 
 def scores(texts_: pa.Array, lexicon: Lexicon, machine: Machine) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text: the score of its worst clause, and the number of clauses at the threshold."""
-    worst, many = np.zeros(len(texts_)), np.zeros(len(texts_), np.int64)
+    """Of each text: the sum of its clauses' scores, and the number of clauses that score."""
+    total, many = np.zeros(len(texts_)), np.zeros(len(texts_), np.int64)
     for at, w in textvec.chunks(texts_, "words", lower=True):
         for d, score in clauses(w, lexicon, machine):
-            worst[at + d] = max(worst[at + d], score)
-            many[at + d] += score >= THRESHOLD
-    return worst, many
+            total[at + d] += score
+            many[at + d] += 1
+    return total, many
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +229,8 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learned(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict[int, float]:
-    """Weights of the words that tell toxic documents: log odds of ``ODDS`` or more, in ``SUPPORT`` toxic documents
-    at least that aren't copies of each other.  Fitted on ``bound`` labelled documents at most (those with the
+    """Weights of the words that tell toxic documents: their log odds, ``CERTAIN`` being weight 1, from ``ODDS`` up, of
+    words in ``SUPPORT`` toxic documents at least that aren't copies of each other.  Fitted on ``bound`` labelled documents at most (those with the
     least hash of their id), whose words are counted in the cluster; the words found come to the driver."""
     named = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     few = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
@@ -242,12 +242,13 @@ def learned(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict[int
     nt, nc = (total[0] or 0) + 1, (total[1] or 0) + 1
     odds = F.log((F.col("t") + 0.5) / nt) - F.log((F.col("c") + 0.5) / nc)
     found = counts.where(F.col("t") >= SUPPORT).select("word", odds.alias("odds"), "t").where(F.col("odds") >= ODDS)
-    return {int(np.int64(r["word"]).view(U64)): min(1.5, r["odds"] / ODDS) for r in found.collect()}
+    return {int(np.int64(r["word"]).view(U64)): min(1.5, r["odds"] / CERTAIN) for r in found.collect()}
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """(doc_id, score, n_clauses): the documents with a clause that scores 1 or more, with the score of the worst
-    clause and the number of such clauses.
+    """(doc_id, score, n_clauses): the documents whose clauses score 1 or more together, and the number of clauses that
+    score.  One insult or threat that is neither negated nor reported is enough; words that are less certain
+    to be insults need company.
 
     Null, empty and wordless texts have none.  Rows with a null ``doc_id`` are judged too and reported with null;
     a repeated row is reported again.  Without labels the seed lexicon alone is used.  Extra columns are ignored.
@@ -257,8 +258,8 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, machine = Lexicon.of(words), Machine(grammar())
         for batch in batches:
-            worst, many = scores(batch.column(1), lexicon, machine)
-            keep = np.flatnonzero(many)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(worst[keep]), pa.array(many[keep])], names=["doc_id", "score", "n_clauses"])
+            total, many = scores(batch.column(1), lexicon, machine)
+            keep = np.flatnonzero(total >= THRESHOLD)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(total[keep]), pa.array(many[keep])], names=["doc_id", "score", "n_clauses"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double, n_clauses bigint")
