@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,8 +144,8 @@ class Index:
         new = [p for p in dict.fromkeys(paths) if p not in self._entries]
         if new:
             found = {}
-            directory = self.provide("path_directory", None if len(new) > 1 else new[0])
-            for r in directory.where(F.col("path").isin(new)).collect():
+            directory = reduce(DataFrame.union, [self.table("path_directory", p) for p in new])  # each scans its column only
+            for r in directory.collect():
                 found[r["path"]] = Entry(**{f: r[f] for f in Entry.__dataclass_fields__})
             self._entries.update({p: found.get(p) for p in new})
         return {p: self._entries[p] for p in paths}
