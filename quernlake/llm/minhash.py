@@ -4,9 +4,10 @@ One hash of each word shingle gives both its bin (of ``bins``) and its rank in t
 costs one pass.  An empty bin borrows from a bin drawn by a universal hash of (bin, attempt) until it
 meets a filled one (optimal densification), which keeps the estimate of the Jaccard similarity unbiased.
 Bands of bins are bucket keys; within a bucket only a star of edges is made, from each member to the
-bucket's smallest document, and each edge is verified on the whole signatures.  Members that don't resemble the
-centre are compared among themselves, leader by leader, in one task for each bucket (buckets of the same members
-count once), so no pair is lost to a cap.  Verified edges are closed to connected components.
+bucket's smallest document, and each edge is verified on the whole signatures.  Where members don't resemble the
+centre, one task for each bucket (buckets of the same members count once) compares them among themselves and with
+the members that do.  Left out are only pairs that are joined already, and those that the triangle inequality of
+the bins' disagreement rules out, so no pair is lost.  Verified edges are closed to connected components.
 """
 
 from __future__ import annotations
@@ -128,15 +129,41 @@ def leaders(sig: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     return out
 
 
+def links(sig: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that resemble each other and join all such rows into the same components as all such pairs would.
+
+    A row that is taken by a leader also meets each later row that this leader didn't take, unless one of the
+    group has joined that row already, or the two differ from the leader too unequally to resemble each other."""
+    lead = leaders(sig, similarity)
+    led = np.flatnonzero(lead != np.arange(len(lead)))
+    a, b = [led], [lead[led]]
+    for first in np.unique(lead[led]):
+        group, others = led[lead[led] == first], np.flatnonzero(lead > first)
+        if not len(others):
+            continue
+        near = (sig[group] == sig[first]).mean(axis=1)
+        far = np.concatenate([(sig[part] == sig[first]).mean(axis=1) for part in np.array_split(others, len(others) // 4096 + 1)])
+        order = np.argsort(near, kind="stable")
+        for m, s in zip(group[order], near[order]):  # the least like the leader first: they can resemble the most
+            open_ = s <= far + (1 - similarity) + 1e-9
+            others, far = others[open_], far[open_]
+            if not len(others):
+                break
+            hit = np.concatenate([(sig[part] == sig[m]).mean(axis=1) >= similarity for part in np.array_split(others, len(others) // 4096 + 1)])
+            a.append(others[hit])
+            b.append(np.full(hit.sum(), m))
+            others, far = others[~hit], far[~hit]
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges to the leaders, bucket by bucket; rows come sorted by bucket, and one bucket is held at a time."""
+    """Edges within buckets, bucket by bucket; rows come sorted by bucket, and one bucket is held at a time."""
 
     def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         ids = np.concatenate([p.column(1).to_numpy() for p in parts])
         sig = np.frombuffer(b"".join(x for p in parts for x in p.column(2).to_pylist()), dtype=np.uint16).reshape(-1, BINS)
-        lead = leaders(sig)
-        led = np.flatnonzero(lead != np.arange(len(lead)))
-        return pa.RecordBatch.from_arrays([pa.array(ids[led]), pa.array(ids[lead[led]])], names=["doc_id", "center"])
+        a, b = links(sig)
+        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["doc_id", "center"])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -193,13 +220,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = star.select("doc_id", "center").distinct().join(sigs, "doc_id").join(sigs.select(F.col("doc_id").alias("center"), F.col("sig").alias("sig_c")), "center")
     judged = saved(pairs.select("doc_id", "center", "sig", "sig_c").mapInArrow(_similar, "doc_id bigint, center bigint, similarity double"), "judged")
     good = judged.where(F.col("similarity") >= SIMILARITY).select("doc_id", "center")
-    # the rest of each bucket, once for each set of members
-    rest = star.join(judged.where(F.col("similarity") < SIMILARITY), ["doc_id", "center"], "left_semi").select("bucket", "doc_id")
-    sets = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h")).where("n > 1")
-    distinct = sets.groupBy("n", "h").agg(F.min("bucket").alias("bucket")).select("bucket")
-    members = rest.join(distinct, "bucket", "left_semi").join(sigs, "doc_id").select("bucket", "doc_id", "sig")
+    # what doesn't resemble its bucket's centre, and what does but might resemble one of those
+    far = star.join(judged.where(F.col("similarity") < SIMILARITY), ["doc_id", "center"]).select("bucket", "center", "doc_id", "similarity")
+    most = far.groupBy("bucket").agg(F.max("similarity").alias("most"))
+    near = star.join(most, "bucket").join(judged.where(F.col("similarity") >= SIMILARITY), ["doc_id", "center"])
+    near = near.where(F.col("similarity") <= F.col("most") + (1 - SIMILARITY) + 1e-9)
+    rest = saved(far.drop("similarity").union(near.select("bucket", "center", "doc_id")), "rest")
+    # once for each set of members
+    sets = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h"), F.first("center").alias("center")).where("n > 1")
+    distinct = sets.groupBy("n", "h").agg(F.min(F.struct("bucket", "center")).alias("one")).select("one.*")
+    members = rest.select("bucket", "doc_id").join(distinct.select("bucket"), "bucket", "left_semi").union(distinct.select("bucket", F.col("center").alias("doc_id")))
+    members = members.join(sigs, "doc_id").select("bucket", "doc_id", "sig")
     led = members.repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(_lead, "doc_id bigint, center bigint")
     groups = components(exact.union(good).union(led).toDF("a", "b"))
-    for x in (signed, one, star, judged):
+    for x in (signed, one, star, judged, rest):
         discard(x)
     return groups.select("doc_id", F.col("group_id").alias("kept_id"))

@@ -93,6 +93,28 @@ def test_leaders():
     assert minhash.leaders(sig).tolist() == [0, 1, 2, 3, 2, 0]
 
 
+def test_links_join_what_all_pairs_would():
+    rng = np.random.default_rng(3)
+    hubs = rng.integers(0, 65536, (3, minhash.BINS)).astype(np.uint16)
+    rows = [hubs[k % 3].copy() for k in range(90)]
+    for k, row in enumerate(rows):  # a third to two thirds of the bins edited
+        at = rng.choice(minhash.BINS, rng.integers(70, 170), replace=False)
+        row[at] = rng.integers(0, 65536, len(at))
+    rows[40:40] = list(hubs)
+    sig = np.array(rows)
+
+    def joined(pairs):
+        of = list(range(len(sig)))
+        for a, b in pairs:
+            old, new = of[a], of[b]
+            of = [new if x == old else x for x in of]
+        return {frozenset(k for k, x in enumerate(of) if x == y) for y in of}
+
+    alike = (sig[:, None] == sig[None]).mean(axis=2) >= minhash.SIMILARITY
+    a, b = minhash.links(sig)
+    assert alike[a, b].all() and joined(zip(a, b)) == joined(np.argwhere(alike))
+
+
 # ---- tokens
 
 RANKS = tokencount.load_ranks()

@@ -75,6 +75,24 @@ def test_near_duplicates_of_a_bucket_with_many_leaders(spark):
     assert sum(group.get(2 * k + 1, 2 * k + 1) == group.get(2 * k, 2 * k) for k in range(120)) >= 118
 
 
+def test_near_duplicates_of_a_group_whose_original_has_a_middle_id(spark):
+    """Heavily edited copies resemble the original, and hardly each other."""
+    import random
+
+    rnd = random.Random(4)
+    original = [f"w{k}" for k in range(400)]
+    made = []
+    for k in range(300):
+        words = list(original)
+        for j in rnd.sample(range(400), 45):
+            words[j] = f"e{k}x{j}"
+        made.append((k, " ".join(original if k == 150 else words), "s"))
+    grams = [set(minhash.shingles(textvec.hash_words(t)).tolist()) for _, t, _ in made]
+    near = [k for k in range(300) if len(grams[k] & grams[150]) / len(grams[k] | grams[150]) >= 0.5]
+    group = {r["doc_id"]: r["kept_id"] for r in minhash.near_duplicates(_docs(spark, made)).collect()}
+    assert len(near) > 200 and sum(group.get(k, k) == group.get(150, 150) for k in near) >= 0.9 * len(near)
+
+
 def test_near_duplicates_recall_against_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     group = {r["doc_id"]: r["kept_id"] for r in minhash.near_duplicates(docs).collect()}
