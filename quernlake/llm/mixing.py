@@ -14,10 +14,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quernlake.llm.tables import fresh, saved
 
 CELL, POWER, EPS = 4096, 0.5, 1e-9
+SHARE, TAIL = 0.5, 0.01  # of the tokens: what the mixture holds at least, and what the sources that don't bound it have at most
 TOKENS = r"regexp_count(text, '[^ \\t\\n\\x0B\\f\\r]+')"
 
 
@@ -91,11 +93,14 @@ def _fly(last: bool):
     return run
 
 
-def probabilities(sizes: DataFrame, weights: dict[str, float] | None = None, power: float = POWER) -> DataFrame:
+def probabilities(sizes: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, share: float = SHARE) -> DataFrame:
     """(source, p): the inclusion probability of each source, from (source, tokens).
 
     The tokens kept of the sources are in proportion to ``weights``, or, without them, to their tokens to the
-    ``power`` (a temperature); the total is the greatest for which no source is used up more than once.
+    ``power`` (a temperature).  The total is the greatest for which no source is used up more than once, but for the
+    scarcest sources, which have ``TAIL`` of the tokens together at most: these are kept whole.  If that is less than
+    ``share`` of the tokens of the sources that have a weight, the total is that share: sources too small for
+    their part are kept whole, and the others make up for them in proportion to their weights.
     A source without a weight, or of weight 0, gives nothing.
     """
     spark = sizes.sparkSession
@@ -104,7 +109,18 @@ def probabilities(sizes: DataFrame, weights: dict[str, float] | None = None, pow
     else:
         table = spark.createDataFrame([(k, float(v)) for k, v in weights.items()] or [(None, 0.0)], "source string, w double")
         want = sizes.join(F.broadcast(table), sizes["source"].eqNullSafe(table["source"]), "left").select(sizes["source"], "tokens", F.coalesce("w", F.lit(0.0)).alias("w"))
-    fit = want.where("w > 0 and tokens > 0").agg(F.min(F.col("tokens") / F.col("w")).alias("fit"))
+    # one row a source; the scarcest come first, and are used up first as the total grows
+    scarce = Window.orderBy("fit", "source").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = want.where("w > 0 and tokens > 0").withColumn("fit", F.col("tokens") / F.col("w"))
+    ranked = ranked.withColumn("t", F.sum("tokens").over(scarce)).withColumn("v", F.sum("w").over(scarce))
+    ranked = ranked.crossJoin(F.broadcast(want.where("w > 0 and tokens > 0").agg(F.sum("tokens").alias("all_t"), F.sum("w").alias("all_w"))))
+    filled = F.col("t") + F.col("fit") * F.greatest(F.lit(0.0), F.col("all_w") - F.col("v"))  # tokens kept when this source is just used up
+    goal = F.lit(share) * F.col("all_t")
+    level = (goal - (F.col("t") - F.col("tokens"))) / (F.col("all_w") - (F.col("v") - F.col("w")))
+    fit = ranked.agg(
+        F.min(F.when(F.col("t") > TAIL * F.col("all_t"), F.col("fit"))).alias("whole"),
+        F.min_by(F.least(level, F.col("fit")), F.when(filled >= goal * (1 - EPS), F.col("fit"))).alias("filled"),
+    ).select(F.greatest("whole", "filled").alias("fit"))
     return want.crossJoin(F.broadcast(fit)).select("source", F.when((F.col("tokens") > 0) & (F.col("w") > 0), F.least(F.lit(1.0), F.col("w") * F.col("fit") / F.col("tokens"))).otherwise(0.0).alias("p"))
 
 

@@ -242,6 +242,24 @@ def test_mixture_has_the_target_weights(spark):
     assert (abs(shares["n"] - full * shares["p"]) <= 3).all()
 
 
+def test_a_small_source_does_not_shrink_the_mixture(spark):
+    def kept(sizes, weights=None, **more):
+        table = spark.createDataFrame(list(sizes.items()), "source string, tokens bigint")
+        p = {r["source"]: r["p"] for r in mixing.probabilities(table, weights, **more).collect()}
+        return p, sum(p[s] * t for s, t in sizes.items()) / sum(sizes.values())
+
+    even = {f"s{k}": 350_000_000 for k in range(20)}
+    p, share = kept(even | {None: 10})
+    assert p[None] == 1 and share == pytest.approx(1)
+    p, share = kept({"a": 900, "b": 90, "c": 30})  # the rest is in proportion to the square roots
+    assert p["c"] == p["b"] == 1 and share == pytest.approx(0.5) and p["a"] == pytest.approx(390 / 900)
+    p, share = kept({"a": 1000, "b": 1000, "c": 200}, {"a": 1.0, "b": 2.0, "c": 4.0}, share=0.6)
+    assert p["c"] == 1 and 2 * p["a"] == pytest.approx(p["b"]) and share == pytest.approx(0.6)
+    docs = _docs(spark, [(k, "w " * 20, f"s{k % 3}") for k in range(3000)] + [(3000, "one two", None)])
+    found = mixing.balanced_sample(docs).toPandas()
+    assert len(found) >= 2990 and 3000 in set(found.doc_id)
+
+
 def test_sharding(spark, odd, clashing, empty):
     out = rows(sharding.sharded(odd))
     assert len(out) == len(ODD) and {r[1] for r in out if r[0] is None} == {0} and len({r[1:] for r in out if r[0] == 2}) == 1 and {r[3] for r in out} == {2}
