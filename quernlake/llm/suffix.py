@@ -7,7 +7,8 @@ which may have been refined already, so each pass at least doubles the depth.
 Over a corpus, suffixes that can't be part of a repeat are never sorted.  Each window of ``MIN_WORDS`` words
 is assigned to the q-gram with the least hash in it (winnowing): equal windows have equal q-grams, so only
 q-grams that occur more than once matter.  The few suffixes under those meet in one task for each q-gram, which
-refines the buckets to a depth of ``MIN_WORDS`` words; what still shares a bucket is a repeat.
+refines the buckets to a depth of ``MIN_WORDS`` words.  Refinement reads 16 bits of each word's hash; what still
+shares a bucket is a repeat if the 64-bit hashes of the whole windows are equal too.
 """
 
 from __future__ import annotations
@@ -120,27 +121,31 @@ def _anchors(least: int, q: int):
 def _contexts(least: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], []]
             ids, keys, wanted = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
             for at, w in textvec.chunks(batch.column(1), "words", lower=True):
                 for d in range(len(w.first) - 1):
                     hashes = w.hashes[w.first[d] : w.first[d + 1]]
                     gram, _, begin, end = _runs(hashes, least, q)
                     keep = np.flatnonzero(np.isin(gram.view(np.int64), wanted[at + d].values.to_numpy()))
+                    window = textvec.grams(hashes, least, seed=3) if len(keep) else hashes
                     short = (hashes >> U64(48)).astype(np.uint16)
                     rows[0] += gram.view(np.int64)[keep].tolist()
                     rows[1] += [ids[at + d]] * len(keep)
                     rows[2] += [keys[at + d]] * len(keep)
                     rows[3] += begin[keep].tolist()
                     rows[4] += [short[begin[k] : end[k] + least].tobytes() for k in keep]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in rows[:4]), pa.array(rows[4], pa.binary())], names=["anchor", "doc_id", "text_key", "begin", "words"])
+                    rows[5] += [window[begin[k] : end[k] + 1].tobytes() for k in keep]
+            kinds = (*[pa.int64()] * 4, pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names=["anchor", "doc_id", "text_key", "begin", "words", "windows"])
 
     return run
 
 
-def _repeats(anchor: np.ndarray, doc: np.ndarray, begin: np.ndarray, words: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _repeats(anchor: np.ndarray, doc: np.ndarray, begin: np.ndarray, words: list[bytes], least: int, windows: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of window starts that repeat, of contexts sorted by anchor: context, first start, last start; and
-    the contexts in which some window comes first in its bucket."""
+    the contexts in which some window comes first in its bucket.  ``windows`` has the hashes of each context's
+    windows; without it, 16 bits of each word decide."""
     size = np.array([len(x) // 2 for x in words])
     flat = np.frombuffer(b"".join(words), dtype=np.uint16)
     edge = np.r_[0, np.cumsum(size)]
@@ -155,8 +160,9 @@ def _repeats(anchor: np.ndarray, doc: np.ndarray, begin: np.ndarray, words: list
     of = np.repeat(group, size)
     bucket = ranks(textvec.mix(gram + of.astype(U64) * U64(0x9E3779B97F4A7C15)))
     bucket = refine(bucket, 4, least)[at]
-    by = np.lexsort((doc[which], begin[which] + inside, bucket))
-    change = np.r_[True, np.diff(bucket[by]) != 0] if len(by) else np.zeros(0, bool)
+    whole = np.zeros(len(at), U64) if windows is None else np.frombuffer(b"".join(windows), dtype=U64)
+    by = np.lexsort((doc[which], begin[which] + inside, whole, bucket))
+    change = np.r_[True, (np.diff(bucket[by]) != 0) | (whole[by][1:] != whole[by][:-1])] if len(by) else np.zeros(0, bool)
     count = np.diff(np.r_[np.flatnonzero(change), len(by)])
     again = np.zeros(len(at), bool)
     again[by] = np.repeat(count > 1, count)
@@ -172,7 +178,7 @@ def _sort(least: int):
 
     def flush(table: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
         anchor, doc, key, begin = (table.column(k).to_numpy() for k in range(4))
-        which, a, b, first = _repeats(anchor, doc, begin, table.column(4).to_pylist(), least)
+        which, a, b, first = _repeats(anchor, doc, begin, table.column(4).to_pylist(), least, table.column(5).to_pylist() if table.num_columns > 5 else None)
         out = [doc[which], key[which], begin[which] + a, begin[which] + b + least]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "text_key", "start_word", "end_word"]), first
 
@@ -211,7 +217,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, q: int = Q) -
     often = anchors.groupBy("anchor", "doc_id", "text_key").count().withColumn("n", F.sum("count").over(spread)).where("n > 1")
     wanted = often.groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("anchors"))
     marked = wanted.join(rows, ["doc_id", "text_key"]).select("doc_id", "text", "text_key", "anchors")
-    contexts = marked.mapInArrow(_contexts(min_words, q), "anchor bigint, doc_id bigint, text_key bigint, begin bigint, words binary")
+    contexts = marked.mapInArrow(_contexts(min_words, q), "anchor bigint, doc_id bigint, text_key bigint, begin bigint, words binary, windows binary")
     contexts = contexts.dropDuplicates(["anchor", "doc_id", "text_key", "begin"])
     sorted_ = contexts.repartition("anchor").sortWithinPartitions("anchor")
     found = sorted_.mapInArrow(_sort(min_words), "doc_id bigint, text_key bigint, start_word bigint, end_word bigint")

@@ -150,6 +150,19 @@ def test_repeated_passages_against_brute_force(spark):
     assert [(a, b, c) for a, b, c, _ in rows(suffix.repeated_passages(docs).orderBy("doc_id"))] == sorted(map(tuple, expected), key=repr)
 
 
+def test_templates_that_differ_in_a_word_do_not_repeat(spark):
+    """Words with equal leading 16 bits of their hashes, in one place of the same 99 words."""
+    seen, pairs = {}, []
+    for k in range(3000):
+        other = seen.setdefault(int(textvec.hash_words(f"name{k}")[0]) >> 48, k)
+        pairs += [(other, k)] if other != k else []
+    head, tail = " ".join(f"h{j}" for j in range(49)), " ".join(f"t{j}" for j in range(49))
+    docs = _docs(spark, [(k, f"{head} name{k} {tail}", "s") for k in pairs[0]])
+    assert pairs and rows(suffix.repeated_passages(docs)) == []
+    more = docs.union(_docs(spark, [(9000, f"{head} name{pairs[0][0]} {tail}", "s")]))
+    assert [r[:3] for r in rows(suffix.repeated_passages(more))] == [(pairs[0][0], 0, 99), (9000, 0, 99)]
+
+
 def test_an_anchor_with_more_contexts_than_fit_is_refined_in_pieces(monkeypatch):
     import pyarrow as pa
 
