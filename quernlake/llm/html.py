@@ -4,7 +4,9 @@ The standard library's parser is fed a page piece by piece; its events make line
 line break ends one) with their text and the number of tags in them.  The text-to-tag ratios of the lines are smoothed
 with a Gaussian, and lines are put in two clusters by the threshold that Otsu's method finds on the smoothed
 ratios' logarithms; the upper cluster is content, as is what has ``LONG`` characters a tag.  Text in links and in
-elements that are boilerplate by their tag or name (navigation, footers, advertisements) doesn't count as text.
+elements that are boilerplate by their tag (navigation, footers) doesn't count as text.  In forms and elements that
+are boilerplate by their name (advertisements) it counts ``FAINT``, unless such an element is a part of the page's
+frame or holds most of the page's text.
 """
 
 from __future__ import annotations
@@ -18,46 +20,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE, SIGMA, LONG = 1 << 16, 1.0, 30
+PIECE, SIGMA, LONG, FAINT = 1 << 16, 1.0, 30, 0.1
 _BLOCK = frozenset("address article aside blockquote body br center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section select table tbody td tfoot th thead title tr ul".split())
 _SILENT = frozenset("script style noscript template svg iframe object".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_BOILER = frozenset("nav footer aside form select button menu".split())
-_NAMED = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|cookies?|footer|menu|nav\w*|promo\w*|share|sidebar|sponsor\w*|toolbar)(?:$|[\s_-])")
+_BOILER = frozenset("nav footer aside select button menu".split())
+_FRAME = frozenset("html body main article".split())
+# one whole class, id or role: a name with words of place or shape about it
+_NAMED = re.compile(
+    r"(?i)(?:(?:site|page|main|top|bottom|left|right|global|primary|secondary|sub|social|google)[_-]+)*(?:ads?|advert\w*|banner|breadcrumbs?|cookies?|footer|menu|nav|navbar|navigation|promo|promotions?|share|sidebar|sponsor\w*|toolbar)"
+    r"(?:[_-]+(?:\d+|area|bar|block|bottom|box|container|content|inner|item|left|links?|list|main|menu|notice|panel|primary|right|secondary|section|slot|top|unit|widget|wrap|wrapper))*"
+)
+_NONE, _NAME, _LINK, _TAG = range(4)
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, characters in links and boilerplate elements) of each line of a page, and the title."""
+    """Collects the text, tags and pieces (characters, boilerplate element around them) of each line of a page, and the title."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, list[tuple[int, int]]]] = []
         self.title: list[str] = []
         self.text: list[str] = []
-        self.tags = self.linked = 0
-        self.silent = self.in_title = self.in_link = 0
-        self.stack: list[tuple[str, bool]] = []  # open elements, and whether one is boilerplate by name
+        self.tags = self.blocks = self.size = 0
+        self.pieces: list[tuple[int, int]] = []
+        self.silent = self.in_title = 0
+        self.stack: list[tuple[str, int]] = []  # open elements, and the innermost boilerplate element there
         self.open: dict[str, int] = {}
+        # of each boilerplate element, from 1: its kind, the one around it, the characters and block tags in it
+        self.boiler: list[tuple[int, int]] = [(_NONE, 0)]
+        self.held: list[list[int]] = [[0, 0]]
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text or self.tags:
-            self.lines.append((text, self.tags, self.linked))
-        self.text, self.tags, self.linked = [], 0, 0
+            self.lines.append((text, self.tags, self.pieces))
+        self.text, self.tags, self.pieces = [], 0, []
+
+    def close_element(self) -> str:
+        name, at = self.stack.pop()
+        self.open[name] -= 1
+        if at != (self.stack[-1][1] if self.stack else 0):
+            self.held[at] = [self.size - self.held[at][0], self.blocks - self.held[at][1]]
+        return name
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _BLOCK:
             self.end_line()
+            self.blocks += 1
         self.tags += 1
         if tag in _SILENT:
             self.silent += 1
         elif tag == "title":
             self.in_title += 1
         if tag not in _VOID:
-            boiler = tag == "a" or tag in _BOILER or any(k in ("class", "id", "role") and v and _NAMED.search(v) for k, v in attrs)
-            self.stack.append((tag, bool(boiler)))
+            kind = _NONE
+            if tag in _BOILER:
+                kind = _TAG
+            elif tag == "a":
+                kind = _LINK if any(k == "href" for k, _ in attrs) else _NONE
+            elif tag == "form" or tag not in _FRAME and any(k in ("class", "id", "role") and v and any(map(_NAMED.fullmatch, v.split())) for k, v in attrs):
+                kind = _NAME
+            around = self.stack[-1][1] if self.stack else 0
+            if kind:
+                self.boiler.append((kind, around))
+                self.held.append([self.size, self.blocks])
+                around = len(self.boiler) - 1
+            self.stack.append((tag, around))
             self.open[tag] = self.open.get(tag, 0) + 1
-            self.in_link += bool(boiler)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in _BLOCK:
@@ -73,12 +103,8 @@ class Lines(HTMLParser):
         if tag in _BLOCK:
             self.end_line()
         if self.open.get(tag):  # closes what it encloses too; an end tag without a start closes nothing
-            while True:
-                name, boiler = self.stack.pop()
-                self.open[name] -= 1
-                self.in_link -= boiler
-                if name == tag:
-                    break
+            while self.close_element() != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
         if self.in_title:
@@ -91,17 +117,29 @@ class Lines(HTMLParser):
                 self.end_line()
             if part:
                 self.text.append(part)
-                if self.in_link:
-                    self.linked += len(part.strip())
-
-
-def parse(html: str) -> tuple[str, list[tuple[str, int, int]]]:
+                n = len(part.strip())
+                self.size += n
+                self.pieces.append((n, self.stack[-1][1] if self.stack else 0))
+
+    def measured(self) -> list[tuple[str, int, int, int]]:
+        """(text, tags, characters in links and elements of boilerplate tags, other characters in named ones) of each line."""
+        while self.stack:
+            self.close_element()
+        kinds = [_NONE]
+        for (kind, around), (size, blocks) in zip(self.boiler[1:], self.held[1:]):
+            if 2 * size > self.size and (kind == _NAME or kind == _LINK and blocks):  # a wrapper, or a link that wasn't closed
+                kind = _NONE
+            kinds.append(max(kind, kinds[around]))
+        return [(t, tags, sum(n for n, at in pieces if kinds[at] > _NAME), sum(n for n, at in pieces if kinds[at] == _NAME)) for t, tags, pieces in self.lines]
+
+
+def parse(html: str) -> tuple[str, list[tuple[str, int, int, int]]]:
     parser = Lines()
     for at in range(0, len(html), PIECE):
         parser.feed(html[at : at + PIECE])
     parser.close()
     parser.end_line()
-    return " ".join("".join(parser.title).split()), parser.lines
+    return " ".join("".join(parser.title).split()), parser.measured()
 
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -136,14 +174,16 @@ def threshold(values: list[float]) -> float:
     return cut
 
 
-def content(lines: list[tuple[str, int, int]]) -> list[int]:
+def content(lines: list[tuple[str, int, int, int]]) -> list[int]:
     """Indexes of the lines that are content."""
     if not lines:
         return []
-    ratio = [max(0, len(t) - linked) / max(1, tags) for t, tags, linked in lines]
-    level = [math.log1p(x) for x in smoothed(ratio)]
+    ratio = [max(0, len(t) - linked - (1 - FAINT) * named) / max(1, tags) for t, tags, linked, named in lines]
+    plain = [math.log1p(x) for x in smoothed(ratio)]
+    # a line's neighbours don't make up for its own name
+    level = [math.log1p(math.expm1(x) * (1 - (1 - FAINT) * min(1, named / max(1, len(t))))) for x, (t, _, _, named) in zip(plain, lines)]
     cut = min(threshold(level), math.log1p(LONG))
-    return [k for k, (t, _, linked) in enumerate(lines) if t and level[k] >= cut and 2 * linked <= len(t)]
+    return [k for k, (t, _, linked, _) in enumerate(lines) if t and level[k] >= cut and 2 * linked <= len(t)]
 
 
 def extract(html: str | None) -> tuple[str, str, int, int]:

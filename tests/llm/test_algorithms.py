@@ -158,6 +158,15 @@ def test_odd_pages():
     assert html.extract(pieces)[1].count("x y z") == 30000
 
 
+@pytest.mark.parametrize("start, end", [
+    ('<body class="has-sidebar">', "</body>"), ('<body class="sidebar">', "</body>"), ('<div class="nav-open">', "</div>"), ("<form action=x>", "</form>"), ('<div id="menu">', "</div>"), ("<a name=top>", ""), ("<a href=x>", ""),
+])
+def test_wrappers_and_unclosed_anchors_lose_no_page(start, end):
+    words = ["First paragraph with many words. " * 5, "Second one, which is long as well. " * 6]
+    text = html.extract(f"<html>{start}<nav><a href=/a>Home</a></nav><div class=ads>Buy it now.</div><p>{words[0]}<p>{words[1]}<br>{words[1]}</p>{end}</html>")[1]
+    assert text.count("First paragraph") == 5 and text.count("Second one") == 12 and "Home" not in text and "Buy" not in text
+
+
 def test_smoothing_and_threshold():
     assert html.smoothed([5.0] * 7) == pytest.approx([5.0] * 7) and html.smoothed([0, 0, 9, 0, 0])[2] == max(html.smoothed([0, 0, 9, 0, 0]))
     assert html.threshold([0, 1, 0, 9, 10]) == 9 and html.threshold([3, 3]) == 3 and html.threshold([]) == 0.0
