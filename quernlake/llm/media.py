@@ -364,24 +364,41 @@ def write_avi(frames: list[bytes], microseconds: int, width: int, height: int) -
 
 # ---- shots -----------------------------------------------------------------------------------------------
 
-WINDOW, FACTOR, FLOOR = 8, 3.0, 0.35
+WINDOW, FACTOR, NOISE, ALONE = 8, 3.0, 0.02, 0.35
+
+
+def _soft(width: int) -> np.ndarray:
+    """Share of each of 256 levels in bins of a width: a level between the middles of two bins counts in both."""
+    middle = np.arange(width / 2 - 0.5, 256, width)
+    return np.array([np.interp(np.arange(256), middle, one) for one in np.eye(len(middle))]).T
+
+
+_BINS = [_soft(width) for width in (16, 32, 32)]
+_PARTS = np.cumsum([x.shape[1] for x in _BINS])[:-1]
 
 
 def histogram(image: np.ndarray) -> np.ndarray:
     """Shares of pixels by luma (16 levels) and chroma (8 and 8), each summing to one."""
     n = image.shape[0] * image.shape[1]
-    return np.concatenate([np.bincount((image[:, :, k] >> s).ravel(), minlength=256 >> s) for k, s in ((0, 4), (1, 5), (2, 5))]) / n
+    return np.concatenate([np.bincount(image[:, :, k].ravel(), minlength=256) @ x for k, x in enumerate(_BINS)]) / n
 
 
 def cuts(histograms: np.ndarray) -> list[int]:
-    """Frames at which a shot begins (frame 0 not counted): the difference from the frame before is the greatest
-    nearby, above a floor, and above the mean of the others nearby by a multiple of their deviation."""
-    d = np.abs(np.diff(histograms, axis=0)).sum(axis=1) / 6 if len(histograms) > 1 else np.zeros(0)
+    """Frames at which a shot begins (frame 0 not counted): the difference from the frame before, in the channel that
+    changes most, is the greatest nearby and above the mean of the calm ones nearby by a multiple of their deviation,
+    which is taken as ``NOISE`` at least.  Calm is what is not far from the median, so that other cuts don't count."""
+    if len(histograms) < 2:
+        return []
+    d = np.max([np.abs(x).sum(axis=1) / 2 for x in np.split(np.diff(histograms, axis=0), _PARTS, axis=1)], axis=0)
     out = []
-    for k in np.flatnonzero(d >= FLOOR):
+    for k in np.flatnonzero(d > FACTOR * NOISE):
         near = np.r_[d[max(0, k - WINDOW) : k], d[k + 1 : k + 1 + WINDOW]]
-        calm = near[near < FLOOR]
-        bound = calm.mean() + FACTOR * calm.std() if len(calm) else FLOOR
+        if len(near):
+            middle = np.median(near)
+            calm = near[near <= middle + FACTOR * max(1.4826 * np.median(np.abs(near - middle)), NOISE)]
+            bound = calm.mean() + FACTOR * max(calm.std(), NOISE)
+        else:
+            bound = ALONE
         beside = max(d[k - 1] if k else 0, d[k + 1] if k + 1 < len(d) else 0)
         if d[k] > bound and d[k] >= beside:
             out.append(int(k) + 1)
@@ -397,9 +414,7 @@ def clips(media: bytes | None) -> list[tuple[int, float, float, int, float]]:
     except (BadImage, struct.error, IndexError):
         return []
     shown, known = [], []
-    for k, (a, b, key) in enumerate(avi.frames):
-        if not key:
-            continue
+    for k, (a, b, _) in enumerate(avi.frames):  # each frame of motion JPEG is whole, whatever its flag
         try:
             image = decode_jpeg(media[a:b])
         except (BadImage, struct.error, IndexError, ValueError):

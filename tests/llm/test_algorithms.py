@@ -216,6 +216,32 @@ def test_shots_are_those_drawn(seed):
     assert [c[3] for c in found] == lengths and found[0][1] == 0 and found[-1][2] == 40.0 * sum(lengths)
 
 
+@pytest.mark.parametrize("colour", [False, True])
+@pytest.mark.parametrize("levels", [(0, 255, 0), (100, 125, 90)])
+def test_cuts_of_gray_and_muted_films(levels, colour):
+    rng = np.random.default_rng(6)
+    frames = []
+    for n, level in enumerate(levels):
+        for k in range(7):
+            image = np.full((16, 16, 3), 128.0)
+            image[:, :, 0] = level + rng.normal(0, 2, (16, 16)) + np.linspace(-8, 8, 16)
+            image[:, :, 1:] += 3 * (n % 2) * colour
+            frames.append(media.encode_jpeg(np.clip(image, 0, 255).astype(np.uint8)))
+    data = media.write_avi(frames, 40000, 16, 16)
+    assert [c[3] for c in media.clips(data)] == [7, 7, 7]
+    flat = media.write_avi(frames[:7] * 3, 40000, 16, 16)
+    assert [c[3] for c in media.clips(flat)] == [21]
+
+
+def test_key_flags_of_motion_jpeg_do_not_count():
+    data, lengths = media.film([0.3, -1.2, 2.0], 2)
+    at = data.rindex(b"idx1") + 8
+    none = bytearray(data)
+    for k in range(at + 4, len(data), 16):
+        none[k : k + 4] = bytes(4)
+    assert bytes(none) != data and [c[3] for c in media.clips(bytes(none))] == lengths
+
+
 def test_damaged_files():
     data, lengths = media.film([0.1], 1)
     assert media.clips(None) == [] and media.clips(b"") == [] and media.clips(b"RIFF") == [] and media.clips(data[:40]) == []
