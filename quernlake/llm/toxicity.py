@@ -12,6 +12,7 @@ don't, with a weight from their log odds; that lexicon is fitted on a bounded sa
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -71,17 +72,17 @@ def targets() -> Transducer:
 
 
 def insults() -> Transducer:
-    """Pays 1 for an insult, half as much again for one that is aimed at someone; little for a negated or a
-    reported one.  A further insult of the clause pays 0.5 more."""
+    """Pays 1.5 for an insult that is aimed at someone, 0.6 for another: too little, whatever the word's weight, to decide
+    alone.  A further insult of the clause pays 1, or 1.5.  Negated and reported ones pay 0.2, once."""
 
     def step(state: int, symbol: int) -> tuple[int, int, float]:
         if symbol & 7 != INSULT:
             return state, symbol, 0.0
         if symbol & (NEGATED | QUOTED):
-            return state, symbol, 0.2
-        return 1, symbol, 1.0 + 0.5 * state + 0.5 * bool(symbol & AIMED)
+            return state | 2, symbol, 0.0 if state & 2 else 0.2
+        return state | 1, symbol, 1.5 if symbol & AIMED else 1.0 if state & 1 else 0.6
 
-    return Transducer(2, step)
+    return Transducer(4, step)
 
 
 def threats() -> Transducer:
@@ -169,8 +170,18 @@ _ENDS = np.zeros(256, bool)
 _ENDS[[10, 33, 46, 58, 59, 63]] = True  # line feed ! . : ; ?
 
 
-def clauses(w: textvec.Words, lexicon: Lexicon, machine: Machine) -> Iterator[tuple[int, float]]:
-    """(document, score) of each clause that scores; a clause ends at . ! ? ; : or a line break, outside of words."""
+REACH, BEFORE = 24, 13  # symbols over which insults of a clause add up; what may bear on one before it
+
+
+def _near(symbols: list[int]) -> list[tuple[int, int]]:
+    """The clause, cut where insults and threats are more than ``REACH`` apart: unpunctuated texts are no one clause."""
+    hot = [k for k, s in enumerate(symbols) if s in (INSULT, THREAT)]
+    cut = [0, *(b - BEFORE for a, b in zip(hot, hot[1:]) if b - a > REACH), len(symbols)]
+    return list(zip(cut, cut[1:]))
+
+
+def clauses(w: textvec.Words, lexicon: Lexicon, machine: Machine) -> Iterator[tuple[int, int, float]]:
+    """(document, word, score) of each clause that scores; a clause ends at . ! ? ; : or a line break, outside of words."""
     symbol, weight = lexicon.read(w.hashes)
     hot = np.flatnonzero((symbol == INSULT) | (symbol == THREAT))
     if not len(hot):
@@ -198,17 +209,29 @@ def clauses(w: textvec.Words, lexicon: Lexicon, machine: Machine) -> Iterator[tu
             inside = o
             symbols.append(s)
             weights.append(v)
-        score = machine.score(symbols, weights)
+        score = max(machine.score(symbols[x:y], weights[x:y]) for x, y in _near(symbols))
         if score > 0:
-            yield int(owner[h]), score
+            yield int(owner[h]), h, score
+
+
+PASSAGE, FAINT = 200, 0.3  # words over which clauses add up; score from above which they do: negated and reported insults don't
 
 
 def scores(texts_: pa.Array, lexicon: Lexicon, machine: Machine) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text: the sum of its clauses' scores, and the number of clauses that score."""
+    """Of each text: the score of its worst clause or passage, whichever is more, and the number of clauses that score."""
     total, many = np.zeros(len(texts_)), np.zeros(len(texts_), np.int64)
     for at, w in textvec.chunks(texts_, "words", lower=True):
-        for d, score in clauses(w, lexicon, machine):
-            total[at + d] += score
+        near: deque[tuple[int, float]] = deque()
+        held, last = 0.0, -1
+        for d, place, score in clauses(w, lexicon, machine):
+            if d != last:
+                near, held, last = deque(), 0.0, d
+            if score > FAINT:
+                near.append((place, score))
+                held += score
+                while place - near[0][0] > PASSAGE:
+                    held -= near.popleft()[1]
+            total[at + d] = max(total[at + d], score, held if score > FAINT else 0.0)
             many[at + d] += 1
     return total, many
 
@@ -246,9 +269,9 @@ def learned(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict[int
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """(doc_id, score, n_clauses): the documents whose clauses score 1 or more together, and the number of clauses that
-    score.  One insult or threat that is neither negated nor reported is enough; words that are less certain
-    to be insults need company.
+    """(doc_id, score, n_clauses): the documents of which some clause, or the clauses of some ``PASSAGE`` words together, score 1
+    or more, that score, and the number of clauses that score.  One insult or threat that is aimed at someone, and neither
+    negated nor reported, is enough; others, and words that are less certain to be insults, need company nearby.
 
     Null, empty and wordless texts have none.  Rows with a null ``doc_id`` are judged too and reported with null;
     a repeated row is reported again.  Without labels the seed lexicon alone is used.  Extra columns are ignored.

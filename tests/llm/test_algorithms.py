@@ -187,6 +187,17 @@ def test_clauses(text, toxic):
     assert (total[0] >= toxicity.THRESHOLD) == toxic, total
 
 
+def test_long_clean_documents_do_not_add_up():
+    weak = {int(textvec.hash_words(x)[0]): 0.6 for x in ("foul", "sour")}
+    filler = "the weather was calm and the road was long. " * 2000
+    for text in (
+        filler + "It went foul. " + filler + "The milk was sour. " + filler, 'The report said "what an idiot" once. ' * 12 + filler, "He is not an idiot. " * 12,
+        'The report said "idiot, moron, idiot, moron, idiot, moron" once.', "A pathetic excuse. ", "Das ist dumm gelaufen. ", ("calm words " * 200 + "pathetic ") * 2,
+    ):
+        assert toxicity.scores(pa.array([text]), toxicity.Lexicon.of(weak), MACHINE)[0][0] < toxicity.THRESHOLD, text[:50]
+    assert toxicity.scores(pa.array([filler + "You idiot. " + filler]), toxicity.Lexicon.of(weak), MACHINE)[0][0] >= toxicity.THRESHOLD
+
+
 @given(st.lists(st.integers(0, 6), max_size=20))
 def test_compiled_machine_equals_running_the_transducers_in_turn(symbols):
     parts = [toxicity.negation(), toxicity.reported(), toxicity.targets(), toxicity.insults(), toxicity.threats()]
