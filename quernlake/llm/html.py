@@ -1,12 +1,10 @@
 """Main text of web pages by text-to-tag ratios.
 
-The standard library's parser is fed a page piece by piece; its events make lines (a block-level tag or a source
-line break ends one) with their text and the number of tags in them.  The text-to-tag ratios of the lines are smoothed
-with a Gaussian, and lines are put in two clusters by the threshold that Otsu's method finds on the smoothed
-ratios' logarithms; the upper cluster is content, as is what has ``LONG`` characters a tag.  Text in links and in
-elements that are boilerplate by their tag (navigation, footers) doesn't count as text.  In forms and elements that
-are boilerplate by their name (advertisements) it counts ``FAINT``, unless such an element is a part of the page's
-frame or holds most of the page's text.
+A page is cut into whole constructs (tags, texts; comments and declarations are left out), which the standard
+library's parser is fed piece by piece, so that it never looks for the end of one that has none; its events make
+lines (a block-level tag or a source line break ends one) with their text and the number of tags in them.  Text in
+links isn't counted as text.  The logarithms of the lines' text-to-tag ratios are smoothed with a Gaussian, and lines
+are put in two clusters by the threshold that Otsu's method finds on them; the upper cluster is content.
 """
 
 from __future__ import annotations
@@ -16,174 +14,206 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE, SIGMA, LONG, FAINT = 1 << 16, 1.0, 30, 0.1
+PIECE, SIGMA, APART = 1 << 16, 1.0, 3.5
 _BLOCK = frozenset("address article aside blockquote body br center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section select table tbody td tfoot th thead title tr ul".split())
-_SILENT = frozenset("script style noscript template svg iframe object".split())
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_BOILER = frozenset("nav footer aside select button menu".split())
-_FRAME = frozenset("html body main article".split())
-# one whole class, id or role: a name with words of place or shape about it
-_NAMED = re.compile(
-    r"(?i)(?:(?:site|page|main|top|bottom|left|right|global|primary|secondary|sub|social|google)[_-]+)*(?:ads?|advert\w*|banner|breadcrumbs?|cookies?|footer|menu|nav|navbar|navigation|promo|promotions?|share|sidebar|sponsor\w*|toolbar)"
-    r"(?:[_-]+(?:\d+|area|bar|block|bottom|box|container|content|inner|item|left|links?|list|main|menu|notice|panel|primary|right|secondary|section|slot|top|unit|widget|wrap|wrapper))*"
-)
-_NONE, _NAME, _LINK, _TAG = range(4)
+# what is never shown: scripts and styles end with the page at the latest, the others need an end tag
+_RAW, _HIDDEN = frozenset(("script", "style")), frozenset("noscript template svg iframe object".split())
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_SIMPLE = re.compile(r"</?[a-zA-Z][^<>\"']*>")
+_QUOTE = re.compile(r"=\s*([\"'])|>")
+
+
+class Pieces:
+    """The constructs of a page in turn, each looked at once: what has no end is text, and the search for that
+    end isn't repeated."""
+
+    def __init__(self, html: str):
+        self.html, self.n = html, len(html)
+        self.none: set[str] = set()  # what doesn't come any more
+        self.quotes = True  # whether '>' in attribute values doesn't end tags
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.none:
+            return -1
+        k = self.html.find(what, at)
+        if k < 0:
+            self.none.add(what)
+        return k
+
+    def end_tag(self, name: str, at: int) -> int:
+        """Where ``</name`` stands next; -1 if nowhere."""
+        if "</" + name in self.none:
+            return -1
+        for m in re.compile(rf"(?i)</{name}(?=[\s/>])").finditer(self.html, at):
+            return m.start()
+        self.none.add("</" + name)
+        return -1
+
+    def tag(self, at: int) -> int:
+        """The end of the tag that begins at ``at``; -1 if it has none."""
+        m = _SIMPLE.match(self.html, at)
+        if m:
+            return m.end()
+        if self.quotes and self.html[at + 1] != "/":
+            k = at
+            while True:
+                m = _QUOTE.search(self.html, k)
+                if m is None:
+                    break
+                if m[1] is None:
+                    return m.end()
+                k = self.find(m[1], m.end()) + 1
+                if not k:
+                    break
+            self.quotes = False  # a value without an end: from here on, the next '>' ends a tag
+        return self.find(">", at) + 1 or -1
+
+    def __iter__(self) -> Iterator[str]:
+        html, at = self.html, 0
+        while at < self.n:
+            k = html.find("<", at)
+            if k < 0:
+                yield html[at:]
+                return
+            if k > at:
+                yield html[at:k]
+            at = k
+            c = html[at + 1 : at + 2]
+            if c.isascii() and c.isalpha() or c == "/" and html[at + 2 : at + 3].isascii() and html[at + 2 : at + 3].isalpha():
+                end = self.tag(at)
+                if end > 0:
+                    m = _NAME.match(html, at + 1)
+                    name = m[0].lower() if m else ""
+                    if name in _RAW:
+                        close = self.end_tag(name, end)
+                        at = self.n if close < 0 else (self.find(">", close) + 1 or self.n)
+                        yield "<x>"  # a tag without text
+                        continue
+                    if name in _HIDDEN and html[end - 2] != "/":
+                        close = self.end_tag(name, end)
+                        if close >= 0:
+                            at = self.find(">", close) + 1 or self.n
+                            yield "<x>"
+                            continue
+                    yield html[at:end]
+                    at = end
+                    continue
+            elif c in ("!", "?", "/"):
+                long = html.startswith("<!--", at)
+                close = self.find("-->" if long else ">", at + 2)
+                if close >= 0:
+                    at = close + (3 if long else 1)
+                    continue
+            yield "&lt;"
+            at += 1
 
 
 class Lines(HTMLParser):
-    """Collects the text, tags and pieces (characters, boilerplate element around them) of each line of a page, and the title."""
+    """Collects the lines of a page as (text, tags, characters in links), and the title."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, list[tuple[int, int]]]] = []
+        self.lines: list[tuple[str, int, int]] = []
         self.title: list[str] = []
         self.text: list[str] = []
-        self.tags = self.blocks = self.size = 0
-        self.pieces: list[tuple[int, int]] = []
-        self.silent = self.in_title = 0
-        self.stack: list[tuple[str, int]] = []  # open elements, and the innermost boilerplate element there
-        self.open: dict[str, int] = {}
-        # of each boilerplate element, from 1: its kind, the one around it, the characters and block tags in it
-        self.boiler: list[tuple[int, int]] = [(_NONE, 0)]
-        self.held: list[list[int]] = [[0, 0]]
+        self.tags = self.linked = 0
+        self.link = self.in_title = False
+
+    def set_cdata_mode(self, elem: str) -> None:
+        """Scripts and styles don't come here."""
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text or self.tags:
-            self.lines.append((text, self.tags, self.pieces))
-        self.text, self.tags, self.pieces = [], 0, []
-
-    def close_element(self) -> str:
-        name, at = self.stack.pop()
-        self.open[name] -= 1
-        if at != (self.stack[-1][1] if self.stack else 0):
-            self.held[at] = [self.size - self.held[at][0], self.blocks - self.held[at][1]]
-        return name
+            self.lines.append((text, self.tags, min(self.linked, len(text))))
+        self.text, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _BLOCK:
             self.end_line()
-            self.blocks += 1
+            self.link = False  # what holds blocks is no line of links; nor is what isn't closed
         self.tags += 1
-        if tag in _SILENT:
-            self.silent += 1
-        elif tag == "title":
-            self.in_title += 1
-        if tag not in _VOID:
-            kind = _NONE
-            if tag in _BOILER:
-                kind = _TAG
-            elif tag == "a":
-                kind = _LINK if any(k == "href" for k, _ in attrs) else _NONE
-            elif tag == "form" or tag not in _FRAME and any(k in ("class", "id", "role") and v and any(map(_NAMED.fullmatch, v.split())) for k, v in attrs):
-                kind = _NAME
-            around = self.stack[-1][1] if self.stack else 0
-            if kind:
-                self.boiler.append((kind, around))
-                self.held.append([self.size, self.blocks])
-                around = len(self.boiler) - 1
-            self.stack.append((tag, around))
-            self.open[tag] = self.open.get(tag, 0) + 1
+        if tag == "title":
+            self.in_title = True
+        elif tag == "a":
+            self.link = any(k == "href" for k, _ in attrs)
+        elif self.in_title:
+            self.in_title = False
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if tag in _BLOCK:
-            self.end_line()
-        self.tags += 1
+        self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag in _SILENT:
-            self.silent = max(0, self.silent - 1)
-        elif tag == "title":
-            self.in_title = max(0, self.in_title - 1)
+        if tag == "a":
+            self.link = False
+        if tag == "title":
+            self.in_title = False
         if tag in _BLOCK:
             self.end_line()
-        if self.open.get(tag):  # closes what it encloses too; an end tag without a start closes nothing
-            while self.close_element() != tag:
-                pass
+            self.link = False
 
     def handle_data(self, data: str) -> None:
         if self.in_title:
             self.title.append(data)
             return
-        if self.silent:
-            return
         for k, part in enumerate(data.split("\n")):
             if k:
                 self.end_line()
             if part:
                 self.text.append(part)
-                n = len(part.strip())
-                self.size += n
-                self.pieces.append((n, self.stack[-1][1] if self.stack else 0))
-
-    def measured(self) -> list[tuple[str, int, int, int]]:
-        """(text, tags, characters in links and elements of boilerplate tags, other characters in named ones) of each line."""
-        while self.stack:
-            self.close_element()
-        kinds = [_NONE]
-        for (kind, around), (size, blocks) in zip(self.boiler[1:], self.held[1:]):
-            if 2 * size > self.size and (kind == _NAME or kind == _LINK and blocks):  # a wrapper, or a link that wasn't closed
-                kind = _NONE
-            kinds.append(max(kind, kinds[around]))
-        return [(t, tags, sum(n for n, at in pieces if kinds[at] > _NAME), sum(n for n, at in pieces if kinds[at] == _NAME)) for t, tags, pieces in self.lines]
-
-
-def parse(html: str) -> tuple[str, list[tuple[str, int, int, int]]]:
+                self.linked += len(" ".join(part.split())) if self.link else 0
+
+
+def parse(html: str) -> tuple[str, list[tuple[str, int, int]]]:
     parser = Lines()
-    for at in range(0, len(html), PIECE):
-        parser.feed(html[at : at + PIECE])
+    held, size = [], 0
+    for x in Pieces(html):
+        held.append(x)
+        size += len(x)
+        if size >= PIECE:
+            parser.feed("".join(held))
+            held, size = [], 0
+    parser.feed("".join(held))
     parser.close()
     parser.end_line()
-    return " ".join("".join(parser.title).split()), parser.measured()
+    return " ".join("".join(parser.title).split()), parser.lines
 
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     """Gaussian smoothing; at the ends the kernel is cut and weighed anew."""
     radius = max(1, math.ceil(2 * sigma))
-    kernel = [math.exp(-((k / sigma) ** 2) / 2) for k in range(-radius, radius + 1)]
-    out = []
-    n = len(values)
-    for i in range(n):
-        total = weight = 0.0
-        for k in range(max(0, i - radius), min(n, i + radius + 1)):
-            w = kernel[k - i + radius]
-            total += w * values[k]
-            weight += w
-        out.append(total / weight)
-    return out
-
-
-def threshold(values: list[float]) -> float:
-    """The cut between two clusters that leaves the least variance within them (Otsu); with equal values, that value."""
-    order = sorted(values)
-    n, total = len(order), sum(order)
-    best, cut, below = -1.0, order[0] if order else 0.0, 0.0
-    for k in range(1, n):
-        below += order[k - 1]
-        if order[k] == order[k - 1]:
-            continue
-        gap = below / k - (total - below) / (n - k)
-        between = k * (n - k) * gap * gap
-        if between > best:
-            best, cut = between, order[k]
-    return cut
-
-
-def content(lines: list[tuple[str, int, int, int]]) -> list[int]:
-    """Indexes of the lines that are content."""
-    if not lines:
-        return []
-    ratio = [max(0, len(t) - linked - (1 - FAINT) * named) / max(1, tags) for t, tags, linked, named in lines]
-    plain = [math.log1p(x) for x in smoothed(ratio)]
-    # a line's neighbours don't make up for its own name
-    level = [math.log1p(math.expm1(x) * (1 - (1 - FAINT) * min(1, named / max(1, len(t))))) for x, (t, _, _, named) in zip(plain, lines)]
-    cut = min(threshold(level), math.log1p(LONG))
-    return [k for k, (t, _, linked, _) in enumerate(lines) if t and level[k] >= cut and 2 * linked <= len(t)]
+    kernel = np.exp(-((np.arange(-radius, radius + 1) / sigma) ** 2) / 2)
+    full = lambda x: np.convolve(x, kernel)[radius : radius + len(values)]
+    return (full(np.array(values)) / full(np.ones(len(values)))).tolist() if values else []
+
+
+def threshold(values: list[float], apart: float = APART, least: float = 0.0) -> float:
+    """The cut between two clusters that leaves the least variance within them (Otsu).  The least value, so that all
+    are one cluster, where their means aren't ``apart`` deviations, and ``least``, from each other: an even spread has no cut."""
+    order = np.sort(np.array(values, float))
+    n = len(order)
+    edge = np.flatnonzero(np.diff(order) > 0) + 1  # sizes of the lower cluster
+    if not len(edge):
+        return float(order[0]) if n else 0.0
+    sums = np.cumsum(order)
+    gap = (sums[-1] - sums[edge - 1]) / (n - edge) - sums[edge - 1] / edge
+    k = int(edge[np.argmax(edge * (n - edge) * gap * gap)])
+    low, high = order[:k], order[k:]
+    spread = math.sqrt((low.var() + high.var()) / 2)
+    return float(high[0]) if high.mean() - low.mean() > max(apart * spread, least) else float(order[0])
+
+
+def content(lines: list[tuple[str, int, int]]) -> list[int]:
+    """Indexes of the lines that are content: of the upper cluster, and not links for the most part."""
+    level = smoothed([math.log1p(max(0, len(t) - linked) / max(1, tags)) for t, tags, linked in lines])
+    cut = threshold(level, least=math.log(2))  # ratios that differ by less than twofold are alike
+    return [k for k, (t, _, linked) in enumerate(lines) if t and level[k] >= cut and 2 * linked <= len(t)]
 
 
 def extract(html: str | None) -> tuple[str, str, int, int]:
@@ -198,9 +228,10 @@ def extract(html: str | None) -> tuple[str, str, int, int]:
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, title, text, n_lines, n_kept) of each row of ``pages``.
 
-    Null, empty and tagless-and-textless pages have empty title and text.  Malformed HTML is read as far as the
-    parser makes sense of it; a page of plain text is one cluster, all content.  Each row has its row in the
-    result, repeated ones and those with nulls in other columns too.  Extra columns are ignored.
+    Null, empty and tagless-and-textless pages have empty title and text.  Malformed HTML is read as far as it makes
+    sense, in time linear in its length: a tag or comment without an end is text, a script without an end is the
+    rest of the page.  A page of which the lines are alike, as of plain text, is one cluster, all content.  Each row has
+    its row in the result, repeated ones and those with nulls in other columns too.  Extra columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
