@@ -1,18 +1,21 @@
 """Passages that repeat, by suffix sorting with bucket-pointer refinement.
 
-``refine`` is the sorter: suffixes start in buckets of equal q-grams; buckets of one suffix are final, and
-the others are refined by sorting on the bucket identifier of the suffix that starts a known depth later,
-which may have been refined already, so each pass at least doubles the depth.
+``refine`` is the sorter: suffixes start in buckets of equal q-grams, and each bucket is refined by sorting its suffixes
+on the bucket identifiers of the suffixes that start where their known common beginning ends.  Buckets near the
+sequence's end (or that of its part) come first and are refined to the end, recursively, before the buckets that come
+before them, which thus sort on identifiers that tell much more than a q-gram: mostly one sort of a bucket is enough.
 
 Over a corpus, suffixes that can't be part of a repeat are never sorted.  Each window of ``MIN_WORDS`` words
 is assigned to the q-gram with the least hash in it (winnowing): equal windows have equal q-grams, so only
-q-grams that occur more than once matter.  The few suffixes under those meet in one task for each q-gram, which
-refines the buckets to a depth of ``MIN_WORDS`` words.  Refinement reads 16 bits of each word's hash; what still
-shares a bucket is a repeat if the 64-bit hashes of the whole windows are equal too.
+q-grams that occur more than once matter.  Equal contexts of one q-gram that a task meets are repeats and are sent on
+once; the others meet in one task for each q-gram, or, of q-grams in very many contexts, for each window, and are
+sorted there.  Refinement reads 16 bits of each word's hash; what still shares a bucket is a repeat if the 64-bit hashes
+of the whole windows are equal too.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +30,8 @@ from quernlake.llm.tables import saved, texts
 U64 = np.uint64
 MIN_WORDS, Q = 50, 12
 CHUNK = 1 << 15  # contexts that one refinement takes at a time
+HOT = 1 << 14  # occurrences of a q-gram from which its windows meet one by one
+SLABS = 64
 
 
 def ranks(keys: np.ndarray) -> np.ndarray:
@@ -34,12 +39,13 @@ def ranks(keys: np.ndarray) -> np.ndarray:
     return np.unique(keys, return_inverse=True)[1].astype(np.int64)
 
 
-def refine(bucket: np.ndarray, q: int, depth: int | None = None) -> np.ndarray:
+def refine(bucket: np.ndarray, q: int, depth: int | None = None, left: np.ndarray | None = None, work: list[int] | None = None) -> np.ndarray:
     """Bucket identifiers of all suffixes of a sequence, given those of their first q items (in order).
 
-    With ``depth``, suffixes with equal first ``depth`` items share a bucket (where fewer remain, the
-    sequence's end counts as an item below all); without it, buckets are refined until each holds one
-    suffix, so that they are the inverse of the suffix array.
+    Identifiers are in the order of the suffixes.  Buckets are refined until each holds one suffix, so that they are
+    the inverse of the suffix array; with ``depth``, until their suffixes share that many items at least.
+    ``left`` says how many items a suffix has before what ends it (without it, the sequence's end does, which
+    counts as an item below all).  ``work`` gets the number of suffixes of each sort.
     """
     n = len(bucket)
     bucket = bucket.astype(np.int64).copy()
@@ -47,22 +53,36 @@ def refine(bucket: np.ndarray, q: int, depth: int | None = None) -> np.ndarray:
     first = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if n else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, n])
     bucket[order] = np.repeat(first, size)  # a bucket is named by its first place in the order
-    known, open_ = q, order[np.repeat(size > 1, size)]
-    while len(open_) and (depth is None or known < depth):
-        step = known if depth is None else min(known, depth - known)
-        later = open_ + step
-        key = np.where(later < n, bucket[np.minimum(later, n - 1)] + 1, 0)
-        by = np.lexsort((key, bucket[open_]))
-        open_, key = open_[by], key[by]
-        was = bucket[open_]
-        cut = np.r_[True, (was[1:] != was[:-1]) | (key[1:] != key[:-1])]
-        start = np.flatnonzero(cut)
-        group = np.flatnonzero(np.r_[True, was[1:] != was[:-1]])
-        offset = np.arange(len(open_)) - np.repeat(group, np.diff(np.r_[group, len(open_)]))
-        size = np.diff(np.r_[start, len(open_)])
-        bucket[open_] = was + np.repeat(offset[start], size)
-        open_ = open_[np.repeat(size > 1, size)]
-        known += step
+    known = np.full(n, q)  # items that the suffixes of a bucket share
+    left = n - np.arange(n) if left is None else left
+    # buckets in turn, those near the end first; of slabs of SLABS lengths the buckets are sorted together
+    turn = np.maximum.reduceat(left[order], first) // max(q, -(-int(left.max()) // SLABS)) if n else first
+    turn, open_ = np.repeat(turn, size)[np.repeat(size > 1, size)], order[np.repeat(size > 1, size)]
+    by = np.argsort(turn, kind="stable")
+    for part in np.split(open_[by], np.flatnonzero(np.diff(turn[by])) + 1):
+        while True:
+            if depth is not None:
+                part = part[known[part] < depth]
+            if not len(part):
+                break
+            if work is not None:
+                work.append(len(part))
+            later = part + known[part]
+            inside = later < n
+            later = np.minimum(later, n - 1)
+            key = np.where(inside, bucket[later] + 1, 0)
+            by = np.lexsort((key, bucket[part]))
+            part, key = part[by], key[by]
+            was = bucket[part]
+            cut = np.r_[True, (was[1:] != was[:-1]) | (key[1:] != key[:-1])]
+            start = np.flatnonzero(cut)
+            group = np.flatnonzero(np.r_[True, was[1:] != was[:-1]])
+            offset = start - np.repeat(group, np.diff(np.r_[np.searchsorted(start, group), len(start)]))
+            size = np.diff(np.r_[start, len(part)])
+            more = np.where(inside[by], known[later[by]], 0)
+            bucket[part] = was + np.repeat(offset, size)
+            known[part] += more
+            part = part[np.repeat(size > 1, size)]
     return bucket
 
 
@@ -102,50 +122,78 @@ def _runs(hashes: np.ndarray, least: int, q: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _anchors(least: int, q: int):
+    """(anchor, doc_id, text_key, unit): the q-grams of each document; ``unit`` tells apart all occurrences."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [], [], []
+            out = [], [], [], []
             ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             for at, w in textvec.chunks(batch.column(1), "words", lower=True):
                 for d in np.flatnonzero(np.diff(w.first) >= least):
-                    h, _, _, _ = _runs(w.hashes[w.first[d] : w.first[d + 1]], least, q)
+                    h, place, _, _ = _runs(w.hashes[w.first[d] : w.first[d + 1]], least, q)
+                    own = np.array([ids[at + d], keys[at + d]], np.int64).view(U64) * np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95], U64)
                     out[0].append(h)
                     out[1].append(np.full(len(h), ids[at + d]))
                     out[2].append(np.full(len(h), keys[at + d]))
+                    out[3].append(textvec.mix(place.astype(U64) + own[0] + textvec.mix(own[1:])))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0]).view(np.int64)), *(pa.array(np.concatenate(x).astype(np.int64)) for x in out[1:])], names=["anchor", "doc_id", "text_key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in out], names=["anchor", "doc_id", "text_key", "unit"])
 
     return run
 
 
 def _contexts(least: int, q: int):
+    """The contexts of the wanted anchors: words and windows of each that differs from those before it in this task.
+    Of the others, and of the first of each that has such, only the span is passed on, without words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+        told: set[tuple[int, int]] = set()
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            ids, keys, wanted = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
+            spans: list[tuple[int, int, int, int]] = []
+            ids, keys, wanted, hot = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)
             for at, w in textvec.chunks(batch.column(1), "words", lower=True):
                 for d in range(len(w.first) - 1):
                     hashes = w.hashes[w.first[d] : w.first[d + 1]]
                     gram, _, begin, end = _runs(hashes, least, q)
-                    keep = np.flatnonzero(np.isin(gram.view(np.int64), wanted[at + d].values.to_numpy()))
-                    window = textvec.grams(hashes, least, seed=3) if len(keep) else hashes
+                    gram = gram.view(np.int64)
+                    keep = np.flatnonzero(np.isin(gram, wanted[at + d].values.to_numpy()))
+                    if not len(keep):
+                        continue
+                    window = textvec.grams(hashes, least, seed=3)
                     short = (hashes >> U64(48)).astype(np.uint16)
-                    rows[0] += gram.view(np.int64)[keep].tolist()
-                    rows[1] += [ids[at + d]] * len(keep)
-                    rows[2] += [keys[at + d]] * len(keep)
-                    rows[3] += begin[keep].tolist()
-                    rows[4] += [short[begin[k] : end[k] + least].tobytes() for k in keep]
-                    rows[5] += [window[begin[k] : end[k] + 1].tobytes() for k in keep]
+                    crowded = np.isin(gram[keep], hot[at + d].values.to_numpy()).tolist()
+                    # a context is told by all its windows
+                    total = np.r_[U64(0), np.cumsum(textvec.mix(window))]
+                    ctx = textvec.mix(total[end[keep] + 1] - total[begin[keep]] + window[begin[keep]] * U64(3) + window[end[keep]] * U64(5)).tolist()
+                    i, j = ids[at + d], keys[at + d]
+                    for g, c, a, b, many in zip(gram[keep].tolist(), ctx, begin[keep].tolist(), end[keep].tolist(), crowded):
+                        parts = [(g, c, a, b)] if not many else [(x, x, a + k, a + k) for k, x in enumerate(window[a : b + 1].view(np.int64).tolist())]
+                        for anchor, mark, a, b in parts:
+                            own, one = (anchor, mark), (i, j, a, b + least)
+                            first = seen.setdefault(own, one)
+                            if first is not one:
+                                if first != one:  # else a repeated row
+                                    spans.append(one)
+                                    if own not in told:
+                                        told.add(own)
+                                        spans.append(first)
+                                continue
+                            for out, x in zip(rows, (anchor, i, j, a, short[a : b + least].tobytes(), window[a : b + 1].tobytes())):
+                                out.append(x)
+            for i, j, a, b in spans:
+                for out, x in zip(rows, (j ^ a, i, j, a, None, struct.pack("<q", b))):
+                    out.append(x)
             kinds = (*[pa.int64()] * 4, pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names=["anchor", "doc_id", "text_key", "begin", "words", "windows"])
 
     return run
 
 
-def _repeats(anchor: np.ndarray, doc: np.ndarray, begin: np.ndarray, words: list[bytes], least: int, windows: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _repeats(anchor: np.ndarray, doc: np.ndarray, key: np.ndarray, begin: np.ndarray, words: list[bytes], windows: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of window starts that repeat, of contexts sorted by anchor: context, first start, last start; and
-    the contexts in which some window comes first in its bucket.  ``windows`` has the hashes of each context's
-    windows; without it, 16 bits of each word decide."""
+    the contexts in which some window comes first of its equals."""
     size = np.array([len(x) // 2 for x in words])
     flat = np.frombuffer(b"".join(words), dtype=np.uint16)
     edge = np.r_[0, np.cumsum(size)]
@@ -153,40 +201,50 @@ def _repeats(anchor: np.ndarray, doc: np.ndarray, begin: np.ndarray, words: list
     which = np.repeat(np.arange(len(words)), starts)
     inside = np.arange(len(which)) - np.repeat(np.cumsum(starts) - starts, starts)
     at = edge[which] + inside
-    # initial buckets: the anchor and four words; four 16-bit words are one integer
+    # initial buckets: four 16-bit words are one integer
     pad = np.r_[flat.astype(U64), np.zeros(4, U64)]
     gram = (pad[:-4] << U64(48)) | (pad[1:-3] << U64(32)) | (pad[2:-2] << U64(16)) | pad[3:-1]
-    group = np.cumsum(np.r_[0, anchor[1:] != anchor[:-1]]) if len(anchor) else np.zeros(0, np.int64)
-    of = np.repeat(group, size)
-    bucket = ranks(textvec.mix(gram + of.astype(U64) * U64(0x9E3779B97F4A7C15)))
-    bucket = refine(bucket, 4, least)[at]
-    whole = np.zeros(len(at), U64) if windows is None else np.frombuffer(b"".join(windows), dtype=U64)
-    by = np.lexsort((doc[which], begin[which] + inside, whole, bucket))
-    change = np.r_[True, (np.diff(bucket[by]) != 0) | (whole[by][1:] != whole[by][:-1])] if len(by) else np.zeros(0, bool)
-    count = np.diff(np.r_[np.flatnonzero(change), len(by)])
+    left = np.repeat(edge[1:], size) - np.arange(len(flat))
+    bucket = refine(ranks(gram), 4, least, left)[at]
+    # suffixes that begin alike are neighbours in the order: equal first words, one class
+    order = np.argsort(bucket, kind="stable")
+    alike = textvec.grams(flat.astype(U64), least, seed=9)[at[order]] if len(at) else np.zeros(0, U64)
+    cls = np.empty(len(at), np.int64)
+    cls[order] = np.cumsum(np.r_[0, alike[1:] != alike[:-1]])[: len(at)]
+    whole, group = np.frombuffer(b"".join(windows), dtype=U64), np.cumsum(np.r_[0, anchor[1:] != anchor[:-1]])[: len(anchor)][which]
+    by = np.lexsort((begin[which] + inside, key[which], doc[which], whole, cls, group))
+    differs = lambda x: x[by][1:] != x[by][:-1]
+    change = np.r_[True, differs(cls) | differs(whole) | differs(group)] if len(by) else np.zeros(0, bool)
+    other = np.r_[True, differs(doc[which]) | differs(key[which]) | differs(begin[which] + inside)] | change if len(by) else change  # a repeated row is no repeat
+    first = np.flatnonzero(change)
+    many = np.add.reduceat(other.astype(np.int64), first) > 1 if len(by) else change
     again = np.zeros(len(at), bool)
-    again[by] = np.repeat(count > 1, count)
-    first = np.unique(which[by[change]]) if len(by) else np.zeros(0, np.int64)
+    again[by] = np.repeat(many, np.diff(np.r_[first, len(by)]))
     run = np.flatnonzero(again & np.r_[True, ~again[:-1] | (which[1:] != which[:-1])]) if len(at) else np.zeros(0, np.int64)
     stop = np.flatnonzero(again & np.r_[~again[1:] | (which[1:] != which[:-1]), True]) if len(at) else np.zeros(0, np.int64)
-    return which[run], inside[run], inside[stop], first
+    return which[run], inside[run], inside[stop], np.unique(which[by[change]])
 
 
 def _sort(least: int):
     """Reads contexts in the order of their anchors, and refines some thousands at once.  Of an anchor with
     more than fit, the contexts in which windows were first seen are carried on, so that later ones meet them."""
+    names = ["doc_id", "text_key", "start_word", "end_word"]
 
     def flush(table: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
         anchor, doc, key, begin = (table.column(k).to_numpy() for k in range(4))
-        which, a, b, first = _repeats(anchor, doc, begin, table.column(4).to_pylist(), least, table.column(5).to_pylist() if table.num_columns > 5 else None)
+        which, a, b, first = _repeats(anchor, doc, key, begin, table.column(4).to_pylist(), table.column(5).to_pylist(), least)
         out = [doc[which], key[which], begin[which] + a, begin[which] + b + least]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "text_key", "start_word", "end_word"]), first
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=names), first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         grown = CHUNK
         for batch in batches:
-            piece = pa.Table.from_batches([batch])
+            known = batch.filter(batch.column(4).is_null())
+            if len(known):
+                ends = pa.array(np.frombuffer(b"".join(known.column(5).to_pylist()), np.int64))
+                yield pa.RecordBatch.from_arrays([known.column(1), known.column(2), known.column(3), ends], names=names)
+            piece = pa.Table.from_batches([batch.filter(batch.column(4).is_valid())])
             held = piece if held is None else pa.concat_tables([held, piece])
             if len(held) < grown:
                 continue
@@ -212,15 +270,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, q: int = Q) -
     gives no row.
     """
     rows = texts(docs.where("doc_id is not null and text is not null")).withColumn("text_key", F.xxhash64("text"))
-    anchors = rows.mapInArrow(_anchors(min_words, q), "anchor bigint, doc_id bigint, text_key bigint")
-    spread = Window.partitionBy("anchor")
-    often = anchors.groupBy("anchor", "doc_id", "text_key").count().withColumn("n", F.sum("count").over(spread)).where("n > 1")
-    wanted = often.groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("anchors"))
-    marked = wanted.join(rows, ["doc_id", "text_key"]).select("doc_id", "text", "text_key", "anchors")
+    anchors = saved(rows.mapInArrow(_anchors(min_words, q), "anchor bigint, doc_id bigint, text_key bigint, unit bigint"), "anchors")
+    often = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("unit").alias("low"), F.max("unit").alias("high")).where("low <> high")
+    # one row an anchor on the right: an anchor of very many occurrences is split over tasks by adaptive execution
+    wanted = anchors.select("anchor", "doc_id", "text_key").join(often.select("anchor", (F.col("n") > HOT).alias("hot")), "anchor")
+    wanted = wanted.groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    marked = wanted.join(rows, ["doc_id", "text_key"]).select("doc_id", "text", "text_key", "anchors", "hot")
     contexts = marked.mapInArrow(_contexts(min_words, q), "anchor bigint, doc_id bigint, text_key bigint, begin bigint, words binary, windows binary")
-    contexts = contexts.dropDuplicates(["anchor", "doc_id", "text_key", "begin"])
-    sorted_ = contexts.repartition("anchor").sortWithinPartitions("anchor")
-    found = sorted_.mapInArrow(_sort(min_words), "doc_id bigint, text_key bigint, start_word bigint, end_word bigint")
+    found = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort(min_words), "doc_id bigint, text_key bigint, start_word bigint, end_word bigint")
     return merged(found, ["doc_id", "text_key"]).drop("text_key")
 
 

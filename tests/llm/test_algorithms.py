@@ -35,11 +35,23 @@ def test_suffix_array(items):
 
 @given(st.lists(st.integers(0, 2), min_size=1, max_size=80), st.integers(2, 12))
 def test_bounded_refinement(items, depth):
+    """Suffixes of one bucket share the depth, and the order is that of the beginnings: equal ones are neighbours."""
     bucket = suffix.refine(suffix.ranks(np.array(items, dtype=np.int64)), 1, depth)
     keys = [tuple(items[k : k + depth]) for k in range(len(items))]
-    for i in range(len(items)):
-        for j in range(i):
-            assert (bucket[i] == bucket[j]) == (keys[i] == keys[j])
+    order = np.argsort(bucket, kind="stable").tolist()
+    assert [keys[k] for k in order] == sorted(keys)
+    assert all(keys[a] == keys[b] for a, b in zip(order, order[1:]) if bucket[a] == bucket[b])
+
+
+def test_buckets_are_sorted_on_what_refinement_has_found_already():
+    """Prefix doubling would sort each suffix of copies of 600 items ten times."""
+    rng = np.random.default_rng(7)
+    one = rng.integers(0, 5000, 600)
+    items = np.concatenate([np.r_[one, 6000 + k] for k in range(40)])
+    work = []
+    bucket = suffix.refine(suffix.ranks(items), 1, left=np.tile(np.arange(601, 0, -1), 40), work=work)
+    assert np.array_equal(np.argsort(bucket), suffix.suffix_array(items)) and len(set(bucket.tolist())) == len(items)
+    assert sum(work) < 3.5 * len(items)
 
 
 @given(st.lists(st.integers(0, 5), min_size=1, max_size=60), st.integers(1, 9))
