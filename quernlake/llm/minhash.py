@@ -3,11 +3,13 @@
 One hash of each word shingle gives both its bin (of ``bins``) and its rank in the bin, so a signature
 costs one pass.  An empty bin borrows from a bin drawn by a universal hash of (bin, attempt) until it
 meets a filled one (optimal densification), which keeps the estimate of the Jaccard similarity unbiased.
-Bands of bins are bucket keys; within a bucket only a star of edges is made, from each member to the
-bucket's smallest document, and each edge is verified on the whole signatures.  Where members don't resemble the
-centre, one task for each bucket (buckets of the same members count once) compares them among themselves and with
-the members that do.  Left out are only pairs that are joined already, and those that the triangle inequality of
-the bins' disagreement rules out, so no pair is lost.  Verified edges are closed to connected components.
+Texts of equal words are one vertex.  Bands of bins are bucket keys; within a bucket only a star of edges is made, from
+each member to the bucket's smallest document, and each edge is verified on the whole signatures.  Members that don't
+resemble the centre are compared among themselves and with the members that do, in blocks: a task takes a pair of
+blocks of ``BLOCK`` members (buckets of the same members count once).  Left out are only pairs that are joined already, and
+those that the triangle inequality of the bins' disagreement rules out, so no pair is lost.  Verified edges are
+closed to connected components.  No step gathers a bucket, a vertex's edges or a group in one task: minima are aggregated
+and joined back, which adaptive execution splits where a key is hot.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quernlake.llm import textvec
-from quernlake.llm.tables import discard, saved, texts
+from quernlake.llm.tables import discard, discarded, dropped_rows, saved, texts
 
 U64 = np.uint64
 SHINGLE, BINS, BANDS, ROWS, SIMILARITY = 3, 256, 40, 4, 0.5
+BLOCK = 1024  # members of a bucket that a task holds of either side
 
 
 def shingles(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
@@ -66,13 +68,13 @@ def sketch(grams: np.ndarray, owner: np.ndarray, n: int, bins: int = BINS) -> tu
     return (textvec.mix(out) & U64(0xFFFF)).astype(np.uint16), some
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary())])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
-        for at, w in textvec.chunks(batch.column(1), "words", lower=True):
+        ids, keys = batch.column(0), batch.column(1)
+        for at, w in textvec.chunks(batch.column(2), "words", lower=True):
             n = len(w.first) - 1
             count = np.diff(w.first)
             grams = textvec.grams(w.hashes, SHINGLE) if len(w.hashes) >= SHINGLE else np.zeros(0, U64)
@@ -91,105 +93,99 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = textvec.mix(total[:, w.first[1:]] - total[:, w.first[:-1]] + count.astype(U64)).view(np.int64)
             keep = np.flatnonzero(some)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(at, n).take(pa.array(keep)), pa.array(key[0][keep]), pa.array(key[1][keep]), pa.array([sig[d].tobytes() for d in keep], pa.binary())],
+                [*(x.slice(at, n).take(pa.array(keep)) for x in (ids, keys)), pa.array(key[0][keep]), pa.array(key[1][keep]), pa.array([sig[d].tobytes() for d in keep], pa.binary())],
                 schema=_SIGNED,
             )
 
 
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, BINS)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, BINS)
+        sig = _signatures(batch.column(1))
         key = np.zeros((len(sig), BANDS), dtype=U64)
         for b in range(BANDS):
             value = np.full(len(sig), b, dtype=U64)
             for r in range(ROWS):
                 value = textvec.mix(value * U64(0x9E3779B97F4A7C15) + sig[:, b * ROWS + r])
             key[:, b] = value
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(key.view(np.int64).ravel())], names=["doc_id", "bucket"]
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(key.view(np.int64).ravel())], names=["unit", "bucket"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, BINS) for k in (2, 3))
-        alike = (a == b).mean(axis=1) if len(a) else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike)], names=["doc_id", "center", "similarity"])
-
-
-def leaders(sig: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """For each row the first row before it that leads and resembles it; itself where none does."""
-    out = np.arange(len(sig))
-    open_ = np.arange(len(sig))
-    while len(open_) > 1:
-        first, others = open_[0], open_[1:]
-        near = np.concatenate([(sig[part] == sig[first]).mean(axis=1) >= similarity for part in np.array_split(others, len(others) // 4096 + 1)])
-        out[others[near]] = first
-        open_ = others[~near]
-    return out
+        alike = (_signatures(batch.column(2)) == _signatures(batch.column(3))).mean(axis=1) if len(batch) else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike)], names=["unit", "center", "similarity"])
+
+
+def links(sig: np.ndarray, near: np.ndarray, side: np.ndarray, within: bool, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that resemble each other and join all such rows into the same components as all such pairs would:
+    pairs of a row of side 0 and one of side 1, and, with ``within``, pairs of side 0.  ``near`` is the similarity of each
+    row to a common centre, with which the rows of ``similarity`` are joined already."""
+    order = np.lexsort((near, side))
+    own = order[: int((side == 0).sum())]
+    group = np.where(near >= similarity, -1, np.arange(len(sig)))  # what is joined already has one number
+    a, b = [], []
+    for k, m in enumerate(own.tolist()):
+        others = order[k + 1 :] if within else order[len(own) :]
+        # they must not differ from the centre too unequally, and not be joined yet
+        others = others[(np.abs(near[others] - near[m]) <= 1 - similarity + 1e-9) & (group[others] != group[m])]
+        while len(others):
+            part, others = others[:4096], others[4096:]
+            hit = part[(sig[part] == sig[m]).mean(axis=1) >= similarity]
+            if not len(hit):
+                continue
+            _, one = np.unique(group[hit], return_index=True)
+            a.append(hit[one])
+            b.append(np.full(len(one), m))
+            group[np.isin(group, group[hit])] = group[m]
+            others = others[group[others] != group[m]]
+    return np.concatenate([*a, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*b, np.zeros(0, np.int64)]).astype(np.int64)
 
 
-def links(sig: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that resemble each other and join all such rows into the same components as all such pairs would.
-
-    A row that is taken by a leader also meets each later row that this leader didn't take, unless one of the
-    group has joined that row already, or the two differ from the leader too unequally to resemble each other."""
-    lead = leaders(sig, similarity)
-    led = np.flatnonzero(lead != np.arange(len(lead)))
-    a, b = [led], [lead[led]]
-    for first in np.unique(lead[led]):
-        group, others = led[lead[led] == first], np.flatnonzero(lead > first)
-        if not len(others):
-            continue
-        near = (sig[group] == sig[first]).mean(axis=1)
-        far = np.concatenate([(sig[part] == sig[first]).mean(axis=1) for part in np.array_split(others, len(others) // 4096 + 1)])
-        order = np.argsort(near, kind="stable")
-        for m, s in zip(group[order], near[order]):  # the least like the leader first: they can resemble the most
-            open_ = s <= far + (1 - similarity) + 1e-9
-            others, far = others[open_], far[open_]
-            if not len(others):
-                break
-            hit = np.concatenate([(sig[part] == sig[m]).mean(axis=1) >= similarity for part in np.array_split(others, len(others) // 4096 + 1)])
-            a.append(others[hit])
-            b.append(np.full(hit.sum(), m))
-            others, far = others[~hit], far[~hit]
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges within buckets, bucket by bucket; rows come sorted by bucket, and one bucket is held at a time."""
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of pairs of blocks; rows come sorted by pair, and one pair is held at a time."""
 
     def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        ids = np.concatenate([p.column(1).to_numpy() for p in parts])
-        sig = np.frombuffer(b"".join(x for p in parts for x in p.column(2).to_pylist()), dtype=np.uint16).reshape(-1, BINS)
-        a, b = links(sig)
-        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["doc_id", "center"])
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        column = lambda k: whole.column(k).combine_chunks()
+        a, b = links(_signatures(column(3)), column(4).to_numpy(), column(5).to_numpy(), whole.column(2)[0].as_py())
+        return pa.RecordBatch.from_arrays([pa.array(column(6).to_numpy()[x]) for x in (a, b)], names=["a", "b"])
 
     held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        bucket = batch.column(0).to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        bucket, pair = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        edges = [0, *(np.flatnonzero((np.diff(bucket) != 0) | (np.diff(pair) != 0)) + 1).tolist(), len(bucket)]
         for a, b in zip(edges, edges[1:]):
             if a == b:
                 continue
-            if held and held[0].column(0)[0].as_py() != bucket[a]:
+            if held and last != (bucket[a], pair[a]):
                 yield flush(held)
                 held = []
+            last = (bucket[a], pair[a])
             held.append(batch.slice(a, b - a))
     if held:
         yield flush(held)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(doc_id, group_id) for every vertex of the edges (a, b): the smallest vertex of its component.
-    Large-star and small-star steps alternate until the edges stop changing; each halves the depth."""
+    """(vertex, group) for every vertex of the edges (a, b): the smallest vertex of its component.
+    Large-star and small-star steps alternate until the edges stop changing; each halves the depth.  The result's
+    table is :func:`discarded` by the caller."""
+
+    def least(pairs: DataFrame, by: str, of: str) -> DataFrame:
+        """``pairs`` with m, the least of ``of`` by ``by``: aggregated, then joined back, so that hot keys are split."""
+        return pairs.join(pairs.groupBy(by).agg(F.min(of).alias("m")), by)
+
     now = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     seen = None
     while True:
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        least = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        large = least(both, "u", "v").where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct()
+        small = least(large, "a", "b")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
         then = saved(small.where("a <> b").distinct(), "edges")
         mark = then.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -198,7 +194,69 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen:
             break
         seen = mark
-    return now.select(F.col("a").alias("doc_id"), F.col("b").alias("group_id"))
+    return discarded(now.select(F.col("a").alias("vertex"), F.col("b").alias("group")), now)
+
+
+def _unlike(star: DataFrame, judged: DataFrame, sigs: DataFrame, block: int, tables: list[DataFrame]) -> DataFrame:
+    """(bucket, pair, within, sig, near, side, unit): for each bucket the members that don't resemble its centre, in
+    blocks, with each other block of them and each block of the members that do and might resemble one of them.
+    Adds the tables it writes to ``tables``."""
+    far = saved(star.join(judged.where(F.col("similarity") < SIMILARITY), ["unit", "center"]).select("bucket", "center", "unit", "similarity"), "far")
+    # once for each set of such members, and of the centre
+    sets = far.groupBy("bucket", "center").agg(F.count("*").alias("n"), F.max("similarity").alias("most"), F.sum(F.xxhash64("unit").cast("decimal(38,0)")).alias("h"))
+    near = star.join(sets.select("bucket", "most"), "bucket").join(judged.where(F.col("similarity") >= SIMILARITY), ["unit", "center"])
+    near = saved(near.where(F.col("similarity") <= F.col("most") + (1 - SIMILARITY) + 1e-9).select("bucket", "unit", "similarity"), "near")
+    tables += [far, near]
+    likes = near.groupBy("bucket").agg(F.count("*").alias("m"), F.sum(F.xxhash64("unit").cast("decimal(38,0)")).alias("g"))
+    sets = sets.join(likes, "bucket", "left").fillna(0, ["m"]).withColumn("g", F.coalesce("g", F.lit(0).cast("decimal(38,0)"))).where("n + m > 1")
+    one = sets.groupBy("center", "n", "h", "m", "g").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / block).alias("fars"), F.ceil(F.col("m") / block).alias("nears"))
+    place = lambda n: F.pmod(F.xxhash64("unit", F.lit(7)), n)
+    # a pair is i * (fars + nears) + j of blocks i <= j of far members, then those that resemble the centre
+    width = F.col("fars") + F.col("nears")
+    # the pairs within a block come with its first partner: itself, or the first block of the near ones
+    first = F.when(F.col("nears") > 0, F.col("fars")).otherwise(F.col("i"))
+    there = F.sequence(F.lit(0).cast("bigint"), width - 1)
+    fars = far.join(one, "bucket").withColumn("i", place(F.col("fars"))).withColumn("j", F.explode(there)).where((F.col("j") != F.col("i")) | (F.col("nears") == 0))
+    low, high = F.least("i", "j"), F.greatest("i", "j")
+    fars = fars.select("bucket", (low * width + high).alias("pair"), (F.col("j") == first).alias("within"), "unit", F.col("similarity").alias("near"), ((F.col("j") < F.col("fars")) & (F.col("i") > F.col("j"))).cast("int").alias("side"))
+    nears = near.join(one, "bucket").withColumn("j", F.col("fars") + place(F.col("nears"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("fars") - 1)))
+    nears = nears.select("bucket", (F.col("i") * width + F.col("j")).alias("pair"), (F.col("j") == F.col("fars")).alias("within"), "unit", F.col("similarity").alias("near"), F.lit(1).alias("side"))
+    return fars.union(nears).join(sigs, "unit").select("bucket", "pair", "within", "sig", "near", "side", "unit")
+
+
+def duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, kept_id, kept_key) of each document that goes: those of :func:`near_duplicates`, with the
+    hashes of their texts, as an id may stand on several."""
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    signed = saved(rows.mapInArrow(_sign, "doc_id bigint, text_key bigint, k1 bigint, k2 bigint, sig binary"), "signed")
+    # one vertex for each group of equal words, named by its smallest id, or, where that stands on several texts, by a hash
+    same = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key")).alias("u"), F.first("sig").alias("sig"))
+    one = saved(same.select("k1", "k2", "u.*", "sig"), "one")
+    several = saved(one.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("several")), "several")
+    tables = [signed, one, several]
+    one = one.join(several, "doc_id", "left").select("k1", "k2", F.struct("doc_id", "text_key").alias("u"), F.when(F.col("several"), F.xxhash64("doc_id", "text_key")).otherwise(F.col("doc_id")).alias("unit"), "sig")
+    sigs = one.select("unit", "sig")
+    buckets = saved(sigs.mapInArrow(_bands, "unit bigint, bucket bigint"), "buckets")
+    centers = buckets.groupBy("bucket").agg(F.min("unit").alias("center"), F.max("unit").alias("last")).where("center <> last").drop("last")
+    star = saved(buckets.join(centers, "bucket").where("unit <> center").select("bucket", "unit", "center"), "star")
+    pairs = star.select("unit", "center").distinct().join(sigs, "unit").join(sigs.toDF("center", "sig_c"), "center")
+    judged = saved(pairs.select("unit", "center", "sig", "sig_c").mapInArrow(_similar, "unit bigint, center bigint, similarity double"), "judged")
+    tables += [buckets, star, judged]
+    good = judged.where(F.col("similarity") >= SIMILARITY).select("unit", "center")
+    blocks = _unlike(star, judged, sigs, BLOCK, tables)
+    led = blocks.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(_link, "a bigint, b bigint")
+    groups = components(good.union(led).toDF("a", "b"))
+    tables.append(groups)
+    # the smallest id of each component, and of each group of equal words
+    grouped = groups.toDF("unit", "group")
+    grouped = grouped.union(grouped.select("group", "group").distinct()).join(one.select("unit", "u"), "unit")
+    kept = grouped.join(grouped.groupBy("group").agg(F.min("u").alias("kept")), "group").select("unit", "kept")
+    kept = one.select("k1", "k2", "unit", "u").join(kept, "unit", "left").select("k1", "k2", F.coalesce("kept", "u").alias("kept"))
+    out = signed.select(F.struct("doc_id", "text_key").alias("u"), "k1", "k2").join(kept, ["k1", "k2"]).where("u <> kept")
+    out = saved(out.select("u.*", F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_key").alias("kept_key")).distinct(), "copies")
+    for x in tables:
+        discard(x)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -207,32 +265,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Two documents are near copies if their signatures agree in half of their bins at least (estimated
     Jaccard similarity of word trigrams, 0.5); groups are the connected components of such pairs.
-    Null, empty and wordless texts resemble nothing.  Rows with a null ``doc_id`` are left out.  A repeated
-    row is the same document, not its copy.  Extra columns are ignored, an empty table gives no row.
+    Null, empty and wordless texts resemble nothing.  Rows with a null ``doc_id`` are left out.  A repeated row (same
+    id and text) is the same document, not its copy; an id on several texts is as many documents, each
+    judged by its own text, and of copies with the same id all but one go, so that an id may be its own ``kept_id``.
+    Extra columns are ignored, an empty table gives no row.
     """
-    signed = saved(texts(docs.where("doc_id is not null and text is not null")).mapInArrow(_sign, "doc_id bigint, k1 bigint, k2 bigint, sig binary"), "signed")
-    same = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min_by("sig", "doc_id").alias("sig"))
-    one = saved(same, "one")  # one row for each group of equal texts
-    exact = signed.select("doc_id", F.min("doc_id").over(Window.partitionBy("k1", "k2")).alias("center")).where("doc_id <> center")
-    buckets = one.select("doc_id", "sig").mapInArrow(_bands, "doc_id bigint, bucket bigint")
-    sigs = one.groupBy("doc_id").agg(F.min("sig").alias("sig"))  # an id that stands on two texts counts by one of them
-    star = saved(buckets.withColumn("center", F.min("doc_id").over(Window.partitionBy("bucket"))).where("doc_id <> center"), "star")
-    pairs = star.select("doc_id", "center").distinct().join(sigs, "doc_id").join(sigs.select(F.col("doc_id").alias("center"), F.col("sig").alias("sig_c")), "center")
-    judged = saved(pairs.select("doc_id", "center", "sig", "sig_c").mapInArrow(_similar, "doc_id bigint, center bigint, similarity double"), "judged")
-    good = judged.where(F.col("similarity") >= SIMILARITY).select("doc_id", "center")
-    # what doesn't resemble its bucket's centre, and what does but might resemble one of those
-    far = star.join(judged.where(F.col("similarity") < SIMILARITY), ["doc_id", "center"]).select("bucket", "center", "doc_id", "similarity")
-    most = far.groupBy("bucket").agg(F.max("similarity").alias("most"))
-    near = star.join(most, "bucket").join(judged.where(F.col("similarity") >= SIMILARITY), ["doc_id", "center"])
-    near = near.where(F.col("similarity") <= F.col("most") + (1 - SIMILARITY) + 1e-9)
-    rest = saved(far.drop("similarity").union(near.select("bucket", "center", "doc_id")), "rest")
-    # once for each set of members
-    sets = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h"), F.first("center").alias("center")).where("n > 1")
-    distinct = sets.groupBy("n", "h").agg(F.min(F.struct("bucket", "center")).alias("one")).select("one.*")
-    members = rest.select("bucket", "doc_id").join(distinct.select("bucket"), "bucket", "left_semi").union(distinct.select("bucket", F.col("center").alias("doc_id")))
-    members = members.join(sigs, "doc_id").select("bucket", "doc_id", "sig")
-    led = members.repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(_lead, "doc_id bigint, center bigint")
-    groups = components(exact.union(good).union(led).toDF("a", "b"))
-    for x in (signed, one, star, judged, rest):
-        discard(x)
-    return groups.select("doc_id", F.col("group_id").alias("kept_id"))
+    return duplicates(docs).select("doc_id", "kept_id")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of near copies; all columns as they were.  Of rows that repeat id and text
+    one stays, any of them.  Rows with a null id or text, and those of texts without words, stay."""
+    return dropped_rows(docs, duplicates(docs))

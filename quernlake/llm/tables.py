@@ -44,6 +44,12 @@ def discard(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def discarded(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, which :func:`discard` takes for ``table``, that it is made of."""
+    df._quern_path = table._quern_path
+    return df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have, whatever extra columns came with it."""
     taken = {c.lower() for c in df.columns}
@@ -57,8 +63,13 @@ def texts(docs: DataFrame, *others: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *others)
 
 
-def dropped(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose ``doc_id`` is among ``ids``; rows with a null id stay."""
-    other = fresh(docs, "dropped_id")
-    gone = ids.select(F.col(key).alias(other))
-    return docs.join(gone, F.col("doc_id") == F.col(other), "left_anti")
+def dropped_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows of which (doc_id, hash of the text) is in ``gone``, and with one row of those that
+    repeat both.  Repeats are aggregated before they are shuffled; only their rows are."""
+    names = [fresh(docs, c) for c in ("unit_id", "unit_key")]
+    keyed = docs.withColumns({names[0]: F.col("doc_id").cast("bigint"), names[1]: F.xxhash64("text")})
+    whole = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    repeated = keyed.where(whole).groupBy(*names).count().where("count > 1").select(*names)
+    keyed = keyed.join(gone.select(F.col("doc_id").alias(names[0]), F.col("text_key").alias(names[1])), names, "left_anti")
+    single = keyed.join(repeated, names, "left_anti")  # nulls are in no table
+    return single.union(keyed.join(repeated, names, "left_semi").select(single.columns).dropDuplicates(names)).select(*docs.columns)

@@ -99,22 +99,17 @@ def test_densified_estimates_are_unbiased():
     assert abs(np.mean(errors)) < 0.02 and some.all()
 
 
-def test_leaders():
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 65536, (4, minhash.BINS)).astype(np.uint16)
-    sig = np.concatenate([base, base[[2, 0]]])
-    assert minhash.leaders(sig).tolist() == [0, 1, 2, 3, 2, 0]
-
-
-def test_links_join_what_all_pairs_would():
+@pytest.mark.parametrize("size", [5, 40, 1000])
+def test_links_join_what_all_pairs_would(size):
+    """Rows of which none to two thirds of the bins are edited copies of a centre or one of two others, in blocks."""
     rng = np.random.default_rng(3)
     hubs = rng.integers(0, 65536, (3, minhash.BINS)).astype(np.uint16)
-    rows = [hubs[k % 3].copy() for k in range(90)]
-    for k, row in enumerate(rows):  # a third to two thirds of the bins edited
+    rows = [hubs[0]] + [hubs[k % 3].copy() for k in range(90)] + list(hubs[1:])
+    for row in rows[1:91]:
         at = rng.choice(minhash.BINS, rng.integers(70, 170), replace=False)
         row[at] = rng.integers(0, 65536, len(at))
-    rows[40:40] = list(hubs)
     sig = np.array(rows)
+    near = (sig == sig[0]).mean(axis=1)
 
     def joined(pairs):
         of = list(range(len(sig)))
@@ -124,8 +119,16 @@ def test_links_join_what_all_pairs_would():
         return {frozenset(k for k, x in enumerate(of) if x == y) for y in of}
 
     alike = (sig[:, None] == sig[None]).mean(axis=2) >= minhash.SIMILARITY
-    a, b = minhash.links(sig)
-    assert alike[a, b].all() and joined(zip(a, b)) == joined(np.argwhere(alike))
+    far, like = np.flatnonzero(near < minhash.SIMILARITY), np.flatnonzero(near >= minhash.SIMILARITY)
+    blocks = lambda x: [x[k : k + size] for k in range(0, len(x), size)]
+    found = [(k, 0) for k in like]
+    for i, one in enumerate(blocks(far)):
+        for other, within in [(one[:0], True)] + [(x, False) for x in blocks(far)[i + 1 :] + blocks(like)]:
+            both = np.r_[one, other]
+            a, b = minhash.links(sig[both], near[both], np.r_[np.zeros(len(one)), np.ones(len(other))], within)
+            assert alike[both[a], both[b]].all()
+            found += zip(both[a], both[b])
+    assert joined(found) == joined(np.argwhere(alike))
 
 
 # ---- tokens

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernlake.llm import fmindex, html, media, minhash, mixing, quality, sharding, suffix, textvec, tokencount, toxicity
-from quernlake.llm.tables import dropped, fresh
+from quernlake.llm.tables import fresh
 from tests.conftest import DATA
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -63,6 +63,30 @@ def test_near_duplicates(spark, odd, clashing, empty):
     assert rows(minhash.near_duplicates(empty)) == []
 
 
+def test_an_id_on_several_texts_is_as_many_documents(spark, clashing):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    docs = _docs(spark, [(1, a, "s"), (5, a, "s"), (5, b, "s"), (5, c, "s"), (9, b + " z", "s"), (9, b + " z", "s"), (7, None, "s"), (None, a, "s"), (7, None, "s")])
+    assert rows(minhash.near_duplicates(docs)) == [(5, 1), (9, 5)]
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in minhash.deduplicated(docs).collect())
+    assert kept == {(1, a): 1, (5, b): 1, (5, c): 1, (7, None): 2, (None, a): 1}
+    assert rows(minhash.near_duplicates(_docs(spark, [(5, a, "s"), (5, a + " z", "s")]))) == [(5, 5)]
+    out = minhash.deduplicated(clashing)
+    assert out.columns == clashing.columns and sorted(r["doc_id"] for r in out.where("doc_id is not null").collect()) == [1, 3, 4, 5, 6, 7, 9, 11, 12]
+
+
+def test_blocks_of_a_bucket_join_what_one_block_does(spark, monkeypatch):
+    """Copies under one heading, and near ones of the centre, in blocks of few."""
+    made = []
+    for k in range(40):
+        body = " ".join(f"w{k % 25}x{j}" for j in range(14))
+        made.append((k, "one heading that all of these documents share " + body + (f" end{k}" if k >= 25 else ""), "s"))
+    docs = _docs(spark, made)
+    expected = rows(minhash.near_duplicates(docs))
+    for size in (3, 7):
+        monkeypatch.setattr(minhash, "BLOCK", size)
+        assert rows(minhash.near_duplicates(docs)) == expected and len(expected) >= 14
+
+
 def test_near_duplicates_of_a_bucket_with_many_leaders(spark):
     """Short documents under one heading: the centre of a bucket resembles few, the others are found all the same."""
     head = "one heading that all of these documents share "
@@ -331,5 +355,3 @@ def test_media(spark):
 
 def test_helpers(spark, clashing):
     assert fresh(clashing, "dropped_id") == "_dropped_id"
-    kept = dropped(clashing, spark.createDataFrame([(1,), (2,), (2,)], "doc_id bigint"))
-    assert kept.columns == clashing.columns and kept.count() == len(ODD) - 3
