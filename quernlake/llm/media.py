@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 ZIGZAG = np.array([0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28, 35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63])
 _DCT = np.array([[(0.5 if u else np.sqrt(0.125)) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+_DCT32 = _DCT.astype(np.float32)
 # the standard's Huffman tables, which motion JPEG may leave out: (codes of each length, symbols)
 _DC = (bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes(range(12)))
 _DC_C = (bytes([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]), bytes(range(12)))
@@ -35,6 +37,8 @@ def _codes(table: tuple[bytes, bytes]) -> dict[int, tuple[int, int]]:
     out, code, at = {}, 0, 0
     for length, n in enumerate(table[0], 1):
         for _ in range(n):
+            if code >> length:
+                raise BadImage("bad Huffman table")
             out[table[1][at]] = (code, length)
             code, at = code + 1, at + 1
         code <<= 1
@@ -51,41 +55,55 @@ def _lookup(table: tuple[bytes, bytes]) -> list[int]:
     return out
 
 
+PIXELS = 1 << 26  # a frame that claims more is damaged
+
+
 class BadImage(ValueError):
     pass
 
 
-def _scan(data: bytes, components: list, mcus: int, restart: int) -> list[list[list[int]]]:
-    """Coefficients (64 a block, in zigzag order) of each component's blocks, in MCU order."""
-    out: list[list[list[int]]] = [[] for _ in components]
-    intervals = _split(data, restart)
-    left = mcus
-    for part in intervals:
-        bits = int.from_bytes(part + b"\xff\xff\xff\xff", "big")
-        have = 8 * (len(part) + 4)
-        limit = have - 32
-        used = 0
+def _scan(data: bytes, components: list, mcus: int, restart: int) -> list[array]:
+    """Coefficients (64 a block, in zigzag order) of each component's blocks, in MCU order.  Bits are read from a window
+    of some bytes, so that the time is in proportion to the data."""
+    if 2 * mcus * sum(blocks for blocks, _, _ in components) > 8 * len(data):  # a block has two codes
+        raise BadImage("cut off")
+    out = [array("h", bytes(2 * 64 * mcus * blocks)) for blocks, _, _ in components]
+    base, left = [0] * len(components), mcus
+    for part in _split(data, restart):
+        limit, part = 8 * len(part), part + b"\xff" * 16
+        window = have = pos = 0
         last = [0] * len(components)
         for _ in range(min(left, restart or left)):
             for k, (blocks, dc, ac) in enumerate(components):
+                coef, begin = out[k], base[k]
+                base[k] += 64 * blocks
                 for _ in range(blocks):
-                    block = [0] * 64
-                    code = dc[bits >> have - used - 16 & 0xFFFF]
+                    if have < 32:
+                        window = (window & (1 << have) - 1) << 48 | int.from_bytes(part[pos : pos + 6], "big")
+                        have, pos = have + 48, pos + 6
+                    code = dc[window >> have - 16 & 0xFFFF]
                     if not code:
                         raise BadImage("bad Huffman code")
-                    used += code >> 8
+                    have -= code >> 8
                     size = code & 255
                     if size:
-                        v = bits >> have - used - size & (1 << size) - 1
-                        used += size
+                        if size > 15:
+                            raise BadImage("bad Huffman code")
+                        have -= size
+                        v = window >> have & (1 << size) - 1
                         last[k] += v if v >> size - 1 else v - (1 << size) + 1
-                    block[0] = last[k]
+                    if not -32768 <= last[k] <= 32767:
+                        raise BadImage("bad coefficient")
+                    coef[begin] = last[k]
                     at = 1
                     while at < 64:
-                        code = ac[bits >> have - used - 16 & 0xFFFF]
+                        if have < 32:
+                            window = (window & (1 << have) - 1) << 48 | int.from_bytes(part[pos : pos + 6], "big")
+                            have, pos = have + 48, pos + 6
+                        code = ac[window >> have - 16 & 0xFFFF]
                         if not code:
                             raise BadImage("bad Huffman code")
-                        used += code >> 8
+                        have -= code >> 8
                         size = code & 15
                         if not size:
                             if code & 255 != 0xF0:
@@ -95,13 +113,13 @@ def _scan(data: bytes, components: list, mcus: int, restart: int) -> list[list[l
                         at += code >> 4 & 15
                         if at > 63:
                             raise BadImage("too many coefficients")
-                        v = bits >> have - used - size & (1 << size) - 1
-                        used += size
-                        block[at] = v if v >> size - 1 else v - (1 << size) + 1
+                        have -= size
+                        v = window >> have & (1 << size) - 1
+                        coef[begin + at] = v if v >> size - 1 else v - (1 << size) + 1
                         at += 1
-                    if used > limit:
+                    if 8 * pos - have > limit:
                         raise BadImage("cut off")
-                    out[k].append(block)
+                    begin += 64
         left -= restart or left
         if left <= 0:
             break
@@ -121,6 +139,8 @@ def _split(data: bytes, restart: int) -> list[bytes]:
         mark = data[at + 1]
         if mark == 0:
             at += 2
+        elif mark == 0xFF:
+            at += 1
         elif 0xD0 <= mark <= 0xD7 and restart:
             parts.append(data[begin:at])
             at = begin = at + 2
@@ -130,25 +150,51 @@ def _split(data: bytes, restart: int) -> list[bytes]:
     return [p.replace(b"\xff\x00", b"\xff") for p in parts]
 
 
-def decode_jpeg(data: bytes) -> np.ndarray:
-    """Height x width x 3 (Y, Cb, Cr) of a baseline JPEG; chroma of a gray one is 128."""
-    if data[:2] != b"\xff\xd8":
-        raise BadImage("no JPEG")
-    at, quant, huff, restart, frame = 2, {}, dict(DEFAULT), 0, None
+def _segments(data: bytes) -> Iterator[tuple[int, bytes, int]]:
+    """(marker, content, where it ends) of a JPEG's segments; after a scan's data comes the next marker."""
+    at = 2
     while at + 4 <= len(data):
         if data[at] != 0xFF:
-            raise BadImage("marker expected")
+            at = data.find(b"\xff", at)
+            if at < 0:
+                return
+            continue
         mark = data[at + 1]
-        if mark == 0xFF:
-            at += 1
+        if mark in (0x00, 0xFF, 0x01) or 0xD0 <= mark <= 0xD8:
+            at += 1 if mark == 0xFF else 2
             continue
+        if mark == 0xD9:
+            return
         size = int.from_bytes(data[at + 2 : at + 4], "big")
-        body = data[at + 4 : at + 2 + size]
+        if size < 2:
+            raise BadImage("bad segment")
+        yield mark, data[at + 4 : at + 2 + size], at + 2 + size
         at += 2 + size
+
+
+def decode_jpeg(data: bytes) -> np.ndarray:
+    """Height x width x 3 (Y, Cb, Cr) of a baseline JPEG; chroma of a gray one is 128.  Components may come in one
+    scan or in one each.  What can't be decoded is a :class:`BadImage`."""
+    try:
+        return _decode(data)
+    except BadImage:
+        raise
+    except (LookupError, ArithmeticError, ValueError, struct.error) as e:
+        raise BadImage(f"damaged: {e}") from None
+
+
+def _decode(data: bytes) -> np.ndarray:
+    if data[:2] != b"\xff\xd8":
+        raise BadImage("no JPEG")
+    quant, huff, restart = {}, dict(DEFAULT), 0
+    frame: dict[int, tuple[int, int, int]] = {}  # horizontal and vertical sampling and quantisation table of a component
+    planes: dict[int, np.ndarray] = {}
+    height = width = hmax = vmax = across = down = 0
+    for mark, body, at in _segments(data):
         if mark == 0xDB:
             while body:
                 wide, k = body[0] >> 4, body[0] & 15
-                quant[k] = np.frombuffer(body[1 : 1 + 64 * (wide + 1)], ">u2" if wide else "u1").astype(float)
+                quant[k] = np.frombuffer(body[1 : 1 + 64 * (wide + 1)], ">u2" if wide else "u1").astype(np.float32)
                 body = body[1 + 64 * (wide + 1) :]
         elif mark == 0xC4:
             while body:
@@ -156,44 +202,66 @@ def decode_jpeg(data: bytes) -> np.ndarray:
                 huff[body[0] >> 4, body[0] & 15] = (bytes(body[1:17]), bytes(body[17 : 17 + n]))
                 body = body[17 + n :]
         elif mark in (0xC0, 0xC1):
-            height, width, n = struct.unpack(">HHB", body[1:6])
-            frame = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)]
-        elif mark in (0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB):
+            depth, height, width, n = struct.unpack(">BHHB", body[:6])
+            frame = {body[6 + 3 * k]: (body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)}
+            if height * width > PIXELS:
+                raise BadImage("too large")
+            if depth != 8 or len(frame) != n or n not in (1, 3, 4) or not all(1 <= h <= 4 and 1 <= v <= 4 for h, v, _ in frame.values()) or not height or not width:
+                raise BadImage("no frame of 8 bits")
+            if n == 1:
+                frame = {c: (1, 1, q) for c, (_, _, q) in frame.items()}
+            hmax, vmax = max(h for h, _, _ in frame.values()), max(v for _, v, _ in frame.values())
+            across, down = -(-width // (8 * hmax)), -(-height // (8 * vmax))
+            if any(hmax % h or vmax % v for h, v, _ in frame.values()):
+                raise BadImage("uneven sampling")
+        elif 0xC2 <= mark <= 0xCF and mark != 0xC8 and mark != 0xCC:
             raise BadImage("not a baseline JPEG")
         elif mark == 0xDD:
             restart = int.from_bytes(body[:2], "big")
         elif mark == 0xDA:
-            break
-        elif mark == 0xD9:
-            raise BadImage("no scan")
-    else:
+            if not frame:
+                raise BadImage("no frame")
+            chosen = {body[1 + 2 * k]: (body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15) for k in range(body[0])}
+            if planes.keys() & chosen.keys():
+                raise BadImage("a component comes twice")
+            parts = [(frame[c], _lookup(huff[0, d]), _lookup(huff[1, a])) for c, (d, a) in chosen.items()]
+            if len(chosen) == 1:  # a single component isn't interleaved: its blocks come row by row
+                (c,) = chosen
+                h, v, q = frame[c]
+                wide, high = -(-(-(-width * h // hmax)) // 8), -(-(-(-height * v // vmax)) // 8)
+                (blocks,) = _scan(data[at:], [(1, *parts[0][1:])], wide * high, restart)
+                planes[c] = _plane(blocks, quant[q], high, wide, 1, 1)
+            else:
+                found = _scan(data[at:], [(h * v, dc, ac) for (h, v, _), dc, ac in parts], across * down, restart)
+                planes |= {c: _plane(x, quant[q], down, across, v, h) for c, x, ((h, v, q), _, _) in zip(chosen, found, parts)}
+            if len(planes) == len(frame):
+                break
+    if not frame or list(frame)[0] not in planes:
         raise BadImage("no scan")
-    if not frame or not height or not width:
-        raise BadImage("no frame")
-    try:
-        chosen = {body[1 + 2 * k]: (body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15) for k in range(body[0])}
-        if len(frame) == 1:  # a single component isn't interleaved
-            frame = [(frame[0][0], 1, 1, frame[0][3])]
-        hmax, vmax = max(f[1] for f in frame), max(f[2] for f in frame)
-        across, down = -(-width // (8 * hmax)), -(-height // (8 * vmax))
-        parts = [(h * v, _lookup(huff[0, chosen[c][0]]), _lookup(huff[1, chosen[c][1]])) for c, h, v, _ in frame]
-        blocks = _scan(data[at:], parts, across * down, restart)
-        out = np.full((height, width, 3), 128.0)
-        for k, (_, h, v, q) in enumerate(frame[:3]):
-            coef = np.zeros((len(blocks[k]), 64))
-            coef[:, ZIGZAG] = np.array(blocks[k]) * quant[q]
-            pixel = _DCT.T @ coef.reshape(-1, 8, 8) @ _DCT + 128
-            plane = pixel.reshape(down, across, v, h, 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(down * v * 8, across * h * 8)
-            plane = plane.repeat(vmax // v, axis=0).repeat(hmax // h, axis=1)
-            out[:, :, k] = plane[:height, :width]
-    except (KeyError, IndexError) as e:
-        raise BadImage(f"missing table: {e}") from None
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
-
-
-def encode_jpeg(image: np.ndarray, quality: int = 8, tables: bool = False) -> bytes:
-    """Baseline JPEG, 4:2:0, of height x width x 3 (Y, Cb, Cr) with sides of multiples of 16; motion JPEG omits
-    the Huffman tables.  Makes the fixtures."""
+    out = np.full((height, width, 3), 128, np.uint8)
+    for k, c in enumerate(list(frame)[:3]):
+        if c in planes:
+            h, v, _ = frame[c]
+            out[:, :, k] = planes[c].repeat(vmax // v, axis=0).repeat(hmax // h, axis=1)[:height, :width]
+    return out
+
+
+def _plane(blocks: array, quant: np.ndarray, down: int, across: int, v: int, h: int) -> np.ndarray:
+    """Pixels of a component from the coefficients of its down x across groups of v x h blocks."""
+    given = np.frombuffer(blocks, np.int16).reshape(-1, 64)
+    pixel = np.empty((len(given), 8, 8), np.uint8)
+    for k in range(0, len(given), 4096):
+        coef = np.zeros((len(given[k : k + 4096]), 64), np.float32)
+        coef[:, ZIGZAG] = given[k : k + 4096] * quant
+        pixel[k : k + 4096] = np.clip(np.rint(_DCT32.T @ coef.reshape(-1, 8, 8) @ _DCT32 + 128), 0, 255)
+    return pixel.reshape(down, across, v, h, 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(down * v * 8, across * h * 8)
+
+
+def encode_jpeg(image: np.ndarray, quality: int = 8, tables: bool = False, restart: int = 0) -> bytes:
+    """Baseline JPEG, 4:2:0, of height x width x 3 (Y, Cb, Cr); motion JPEG omits the Huffman tables.  ``restart``: MCUs
+    between restart markers.  Makes the fixtures."""
+    shape = image.shape[:2]
+    image = np.pad(image, ((0, -shape[0] % 16), (0, -shape[1] % 16), (0, 0)), mode="edge")
     height, width, _ = image.shape
     q = np.full(64, quality, float)
     y = image[:, :, 0].astype(float)
@@ -213,7 +281,18 @@ def encode_jpeg(image: np.ndarray, quality: int = 8, tables: bool = False) -> by
     def number(v: int, size: int) -> int:
         return v if v > 0 else v + (1 << size) - 1
 
+    def flush() -> bytes:
+        nonlocal value, bits
+        pad = -bits % 8
+        whole = ((value << pad) | ((1 << pad) - 1)).to_bytes((bits + pad) // 8, "big").replace(b"\xff", b"\xff\x00")
+        value = bits = 0
+        return whole
+
+    body = b""
     for mcu in range(len(coef[0])):
+        if restart and mcu and mcu % restart == 0:
+            body += flush() + bytes([0xFF, 0xD0 + (mcu // restart - 1) % 8])
+            last = [0, 0, 0]
         for k in range(3):
             for block in coef[k][mcu]:
                 d, last[k] = block[0] - last[k], block[0]
@@ -236,14 +315,15 @@ def encode_jpeg(image: np.ndarray, quality: int = 8, tables: bool = False) -> by
                     run = 0
                 if end < 63:
                     put(*ac[k][0])
-    pad = -bits % 8
-    body = ((value << pad) | ((1 << pad) - 1)).to_bytes((bits + pad) // 8, "big").replace(b"\xff", b"\xff\x00")
+    body += flush()
 
     def segment(mark: int, content: bytes) -> bytes:
         return bytes([0xFF, mark]) + struct.pack(">H", len(content) + 2) + content
 
     out = b"\xff\xd8" + segment(0xDB, b"\0" + bytes([quality] * 64))
-    out += segment(0xC0, struct.pack(">BHHB", 8, height, width, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    out += segment(0xC0, struct.pack(">BHHB", 8, *shape, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    if restart:
+        out += segment(0xDD, struct.pack(">H", restart))
     if tables:
         for (c, k), (counts, symbols) in DEFAULT.items():
             out += segment(0xC4, bytes([c << 4 | k]) + counts + symbols)
@@ -261,7 +341,8 @@ def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
 
 
 class Avi:
-    """Frames of the first video stream: ``frames`` as (offset, end, key frame), ``microseconds`` a frame."""
+    """Frames of the first video stream: ``frames`` as (offset, end), ``microseconds`` a frame.  An index that tells of
+    more bytes than there are is damaged; then, and without one, the chunks count in turn."""
 
     def __init__(self, data: bytes):
         if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
@@ -283,7 +364,7 @@ class Avi:
                             for y, g, h in _chunks(data, e + 4, f):
                                 if y == b"strh" and data[g : g + 4] == b"vids" and self.stream == n:
                                     video, handler = True, data[g + 4 : g + 8]
-                                    scale, rate = struct.unpack("<II", data[g + 20 : g + 28])
+                                    scale, rate = (int.from_bytes(data[k : k + 4], "little") for k in (g + 20, g + 24))
                                     if scale and rate:
                                         self.microseconds = scale * 1e6 / rate
                                 elif y == b"strh" and self.stream == n:
@@ -298,68 +379,93 @@ class Avi:
         if handler.upper() not in (b"MJPG", b"\0\0\0\0", b"AVRN", b"LJPG"):
             raise BadImage("not motion JPEG")
         ids = {b"%02d" % self.stream + x for x in (b"dc", b"db")}
-        self.frames: list[tuple[int, int, bool]] = []
-        if standard:
-            for a, b in standard:
-                self.frames += self._indx(data, a, b)
-        if not self.frames and index and movi:
-            self.frames = self._idx1(data, index, movi[0][0], ids)
-        if not self.frames:  # no index: the chunks in turn
-            todo = [(c + 4, d) for c, d in movi]
-            while todo:
-                a, b = todo.pop(0)
-                inner = []
-                for name, c, d in _chunks(data, a, b):
-                    if name in ids:
-                        self.frames.append((c, d, True))
-                    elif name == b"LIST" and data[c : c + 4] == b"rec ":
-                        inner.append((c + 4, d))
-                todo = inner + todo
-        self.data = data
-
-    @staticmethod
-    def _idx1(data: bytes, index: tuple[int, int], movi: int, ids: set[bytes]) -> list[tuple[int, int, bool]]:
+        self.data, self.frames = data, []
+        for found in (self._indx(standard), self._idx1(index, movi[0][0], ids) if index and movi else [], self._walk(movi, ids)):
+            size = sum(max(0, end - begin) for begin, end in dict.fromkeys(found))
+            if found and size <= len(data):
+                self.frames = found
+                break
+
+    def _walk(self, movi: list[tuple[int, int]], ids: set[bytes]) -> Iterator[tuple[int, int]]:
+        todo = [_chunks(self.data, c + 4, d) for c, d in reversed(movi)]
+        out = []
+        while todo:
+            name, c, d = next(todo[-1], (None, 0, 0))
+            if name is None:
+                todo.pop()
+            elif name in ids:
+                out.append((c, d))
+            elif name == b"LIST" and self.data[c : c + 4] == b"rec ":
+                todo.append(_chunks(self.data, c + 4, d))
+        return out
+
+    def _idx1(self, index: tuple[int, int], movi: int, ids: set[bytes]) -> list[tuple[int, int]]:
+        data = self.data
         rows = [struct.unpack("<4sIII", data[k : k + 16]) for k in range(index[0], index[1] - 15, 16)]
         rows = [r for r in rows if r[0] in ids]
         if not rows:
             return []
         # offsets count from the list's name, or from the file's start
         base = movi if data[movi + rows[0][2] : movi + rows[0][2] + 4] in ids else 0
-        return [(base + o + 8, min(len(data), base + o + 8 + size), bool(flags & 0x10)) for _, flags, o, size in rows]
-
-    def _indx(self, data: bytes, a: int, b: int) -> list[tuple[int, int, bool]]:
-        width, _, kind, used = struct.unpack("<HBBI", data[a : a + 8])
-        if kind == 0:  # an index of indexes
-            out = []
-            for k in range(used):
-                at = a + 24 + 16 * k
+        return [(base + o + 8, min(len(data), base + o + 8 + size)) for _, _, o, size in rows]
+
+    def _indx(self, todo: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Frames of OpenDML indexes; an index of indexes leads to standard ones only, to each once."""
+        data, out, seen = self.data, [], set()
+        for a, b in todo:
+            if data[a + 3 : a + 4] != b"\0":
+                out += self._standard(a, b)
+                continue
+            used = min(int.from_bytes(data[a + 4 : a + 8], "little"), (b - a - 24) // 16)
+            for at in range(a + 24, a + 24 + 16 * used, 16):
                 offset = int.from_bytes(data[at : at + 8], "little")
-                if at + 16 <= b and offset + 8 < len(data):
-                    out += self._indx(data, offset + 8, offset + 8 + int.from_bytes(data[offset + 4 : offset + 8], "little"))
-            return out
-        base, out = int.from_bytes(data[a + 12 : a + 20], "little"), []
-        for k in range(used):
-            at = a + 24 + 4 * width * k
+                if offset not in seen and offset + 8 <= len(data) and data[offset + 11 : offset + 12] == b"\1":
+                    seen.add(offset)
+                    out += self._standard(offset + 8, min(len(data), offset + 8 + int.from_bytes(data[offset + 4 : offset + 8], "little")))
+                if len(out) > len(data) // 8:  # a frame has a header of eight bytes
+                    return []
+        return out
+
+    def _standard(self, a: int, b: int) -> list[tuple[int, int]]:
+        data = self.data
+        width, used = 4 * int.from_bytes(data[a : a + 2], "little"), int.from_bytes(data[a + 4 : a + 8], "little")
+        if width < 8:
+            return []
+        base = int.from_bytes(data[a + 12 : a + 20], "little")
+        out = []
+        for at in range(a + 24, a + 24 + width * max(0, min(used, (b - a - 24) // width)), width):
             offset, size = struct.unpack("<II", data[at : at + 8])
-            out.append((base + offset, min(len(data), base + offset + (size & 0x7FFFFFFF)), not size >> 31))
+            out.append((min(len(data), base + offset), min(len(data), base + offset + (size & 0x7FFFFFFF))))
         return out
 
 
-def write_avi(frames: list[bytes], microseconds: int, width: int, height: int) -> bytes:
-    """An AVI with an idx1 index.  Makes the fixtures."""
+def write_avi(frames: list[bytes], microseconds: int, width: int, height: int, index: str = "idx1") -> bytes:
+    """An AVI with an ``idx1`` index, OpenDML indexes (``indx``, of some frames each) or none.  Makes the fixtures."""
 
     def chunk(name: bytes, body: bytes) -> bytes:
         return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
 
+    parts = [frames[k : k + 5] for k in range(0, len(frames), 5)] if index == "indx" else [frames]
     avih = struct.pack("<14I", microseconds, 0, 0, 0x10, len(frames), 0, 1, 0, width, height, 0, 0, 0, 0)
     strh = b"vidsMJPG" + struct.pack("<IHHIIIIIIIIhhhh", 0, 0, 0, 0, microseconds, 1000000, 0, len(frames), 0, 0, 0, 0, 0, width, height)
     strf = struct.pack("<IiiHH4sIiiII", 40, width, height, 1, 24, b"MJPG", 0, 0, 0, 0, 0)
-    hdrl = b"hdrl" + chunk(b"avih", avih) + chunk(b"LIST", b"strl" + chunk(b"strh", strh) + chunk(b"strf", strf))
-    movi, index = b"movi", b""
-    for f in frames:
-        index += struct.pack("<4sIII", b"00dc", 0x10, len(movi), len(f))
-        movi += chunk(b"00dc", f)
-    return chunk(b"RIFF", b"AVI " + chunk(b"LIST", hdrl) + chunk(b"LIST", movi) + chunk(b"idx1", index))
+
+    def head(places: list[int]) -> bytes:
+        indx = chunk(b"indx", struct.pack("<HBBI4s12x", 4, 0, 0, len(places), b"00dc") + b"".join(struct.pack("<QII", p, 0, 0) for p in places)) if index == "indx" else b""
+        return chunk(b"LIST", b"hdrl" + chunk(b"avih", avih) + chunk(b"LIST", b"strl" + chunk(b"strh", strh) + chunk(b"strf", strf) + indx))
+
+    begin = 12 + len(head([0] * len(parts)))  # of the list of frames
+    movi, old, places = b"movi", b"", []
+    for part in parts:
+        entries = b""
+        for f in part:
+            old += struct.pack("<4sIII", b"00dc", 0x10, len(movi), len(f))
+            entries += struct.pack("<II", begin + 8 + len(movi) + 8, len(f))
+            movi += chunk(b"00dc", f)
+        if index == "indx":
+            places.append(begin + 8 + len(movi))
+            movi += chunk(b"ix00", struct.pack("<HBBI4sQ4x", 2, 0, 1, len(part), b"00dc", 0) + entries)
+    return chunk(b"RIFF", b"AVI " + head(places) + chunk(b"LIST", movi) + (chunk(b"idx1", old) if index == "idx1" else b""))
 
 
 # ---- shots -----------------------------------------------------------------------------------------------
@@ -411,16 +517,20 @@ def clips(media: bytes | None) -> list[tuple[int, float, float, int, float]]:
         return []
     try:
         avi = Avi(media)
-    except (BadImage, struct.error, IndexError):
+    except (BadImage, struct.error, LookupError):
         return []
     shown, known = [], []
-    for k, (a, b, _) in enumerate(avi.frames):  # each frame of motion JPEG is whole, whatever its flag
-        try:
-            image = decode_jpeg(media[a:b])
-        except (BadImage, struct.error, IndexError, ValueError):
-            continue  # a damaged frame shows what was before it
-        shown.append(k)
-        known.append((histogram(image), float(image[:, :, 0].mean())))
+    done: dict[tuple[int, int], tuple[np.ndarray, float] | None] = {}  # an index may name a frame again
+    for k, span in enumerate(avi.frames):  # each frame of motion JPEG is whole, whatever its flag
+        if span not in done:
+            try:
+                image = decode_jpeg(media[span[0] : span[1]])
+                done[span] = histogram(image), float(image[:, :, 0].mean())
+            except BadImage:
+                done[span] = None  # a damaged frame shows what was before it
+        if done[span]:
+            shown.append(k)
+            known.append(done[span])
     if not known:
         return []
     edges = [0, *cuts(np.array([h for h, _ in known])), len(known)]
@@ -435,8 +545,9 @@ def clips(media: bytes | None) -> list[tuple[int, float, float, int, float]]:
 def clip_rows(files: DataFrame, key: str = "media_id", column: str = "media") -> DataFrame:
     """(media_id, clip, start_ms, end_ms, frames, luma) of every shot of every file.
 
-    Null, empty and other files, and files of which no frame can be decoded, have no row; damaged frames are skipped, their
-    time belongs to the shot around them.  Repeated rows are reported again.  Extra columns are ignored.
+    Null, empty and other files, and files of which no frame can be decoded, have no row; damaged frames, and those that
+    claim more than ``PIXELS``, are skipped, their time belongs to the shot around them.  No file makes a task fail, and
+    the time is in proportion to its bytes.  Repeated rows are reported again.  Extra columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,24 +563,27 @@ def clip_rows(files: DataFrame, key: str = "media_id", column: str = "media") ->
 # ---- the media column of the test tables -----------------------------------------------------------------
 
 
+SIZES = [(16, 16), (16, 16), (12, 20), (9, 23)]  # height and width of films
+
+
 def film(embedding: list[float], seed: int) -> tuple[bytes, list[int]]:
-    """An AVI drawn from a vector, and the lengths of its shots: each shot has colours of its own, with flicker."""
+    """An AVI drawn from a vector, and the lengths of its shots: each shot has colours of its own, with flicker.
+    Sizes that aren't whole MCUs, restart markers, Huffman tables and each kind of index occur."""
     v = [float(x or 0) for x in embedding or [0.0]]
-    shots = 2 + seed % 3
+    shots, (height, width) = 2 + seed % 3, SIZES[seed % 4]
     frames, lengths = [], []
-    ramp = np.linspace(-12, 12, 16)
+    ramp = np.linspace(-12, 12, width)
     for s in range(shots):
-        x, y = v[(3 * s) % len(v)], v[(3 * s + 1) % len(v)]
+        x, y = np.nan_to_num([v[(3 * s) % len(v)], v[(3 * s + 1) % len(v)]])
         base = (40 + 150 * (s % 2) + 20 * np.tanh(x), 90 + 70 * ((s // 2) % 2) + 15 * np.tanh(y), 100 + 60 * (s % 2))
         n = 4 + (seed // 3 + s) % 3
         lengths.append(n)
         for k in range(n):
-            image = np.empty((16, 16, 3))
-            for c in range(3):
-                image[:, :, c] = base[c]
+            image = np.empty((height, width, 3))
+            image[:] = base
             image[:, :, 0] += ramp[None, :] + 2 * (k % 2)
-            frames.append(encode_jpeg(np.clip(image, 0, 255).astype(np.uint8)))
-    return write_avi(frames, 40000, 16, 16), lengths
+            frames.append(encode_jpeg(np.clip(image, 0, 255).astype(np.uint8), tables=seed % 5 == 0, restart=seed % 2))
+    return write_avi(frames, 40000, width, height, ("idx1", "indx", "none")[seed % 7 % 3]), lengths
 
 
 def films(embeddings: DataFrame) -> DataFrame:

@@ -37,7 +37,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.sharded(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return sharding.sharded(docs, sharding.map_path(docs, "documents"))
+
+
+def sharding_slot_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the map of op7 is made of."""
+    return sharding.slot_bytes(_table(spark, sf_dir, "documents"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_minhash, op4_suffix_array, op5_media, op6_mixing, op7_sharding, op8_decontamination, op9_quality, op10_token_counts, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_minhash, op4_suffix_array, op5_media, op6_mixing, op7_sharding, op8_decontamination, op9_quality, op10_token_counts, pipeline, sharding_slot_bytes)}
 
 _WORDS = "regexp_extract_all(lower(text), '[0-9a-z_\\x{80}-\\x{10FFFF}]+')"
 # windows that stand in the corpus twice, or phrases of the benchmark; those that touch or overlap are one stretch
@@ -68,6 +74,7 @@ placed AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDE
 
 #: Trained models, samples, parsers and vocabularies have no SQL; tests/llm holds those queries against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "sharding_slot_bytes": f"SELECT coalesce(('0x' || substring(md5(doc_id::VARCHAR), 1, 8))::BIGINT % {sharding.SLOTS}, 0)::INTEGER AS slot, coalesce(sum(strlen(text)), 0)::BIGINT AS bytes, count(*) AS records FROM documents GROUP BY 1",
     "op4_suffix_array": f"""WITH w AS (SELECT DISTINCT doc_id, text, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (SELECT doc_id, i - 1 AS s, md5(array_to_string(w[i:i + {suffix.MIN_WORDS - 1}], ' ')) AS h FROM w, unnest(range(1, len(w) - {suffix.MIN_WORDS - 2})) AS t(i)),
 hits AS (SELECT doc_id, s FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(*) > 1))"""

@@ -1,18 +1,17 @@
 """Sharding by fixed virtual slots.
 
-A record's slot is a hash of its id, for ever; only the small map from slots to shards changes.  The map is a table
-of versions in the shared folder: version 1 gives every shard an equal run of slots, and each rebalancing is
-an edit that moves the fewest slots it can from shards with too many bytes to those with too few.
+A record's slot is a hash of its id, for ever; only the small map from slots to shards changes.  The map is stored
+under a path of its own, a folder for each version: version 1 gives every shard an equal run of slots, and each rebalancing
+loads the newest version and stores an edited one, which moves few slots: from shards with too many bytes, or that
+are no more, to those with too few.  Where nothing is to be moved, the version stays.
 """
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernlake.llm.tables import fresh, saved
+from quernlake.llm.tables import children, fresh, shared_dir
 
 SLOTS, SHARDS, TOLERANCE = 4096, 16, 0.02
 
@@ -37,15 +36,30 @@ def first_map(shards: int = SHARDS, slots: int = SLOTS) -> list[int]:
 def rebalanced(now: list[int], size: dict[int, int], shards: int = SHARDS, tolerance: float = TOLERANCE) -> list[int]:
     """The map with slots moved until no shard exceeds the mean by more than ``tolerance``, or no move helps.
 
-    The fullest shard gives the emptiest the slot that comes nearest to half of their difference; ties go to the
-    least shard and slot.  Slots without records stay."""
+    Slots of shards from ``shards`` on, which are no more, go first, the largest to the emptiest shard.  Then the
+    fullest shard gives the emptiest the slot that comes nearest to half of their difference; ties go to the
+    least shard and slot.  Other slots without records stay."""
     out = list(now)
     load = [0] * shards
     held: list[list[int]] = [[] for _ in range(shards)]
-    for s, shard in enumerate(out):
+
+    def put(s: int, shard: int) -> None:
+        out[s] = shard
         load[shard] += size.get(s, 0)
         if size.get(s, 0):
             held[shard].append(s)
+
+    homeless = []
+    for s, shard in enumerate(out):
+        if shard < shards:
+            put(s, shard)
+        else:
+            homeless.append(s)
+    many = [sum(x == k for x in out) for k in range(shards)]
+    for s in sorted(homeless, key=lambda s: (-size.get(s, 0), s)):
+        k = min(range(shards), key=lambda k: (load[k], many[k], k))
+        many[k] += 1
+        put(s, k)
     mean = sum(load) / shards
     while True:
         high = max(range(shards), key=lambda k: (load[k], -k))
@@ -64,30 +78,51 @@ def rebalanced(now: list[int], size: dict[int, int], shards: int = SHARDS, toler
         out[s] = low
 
 
-def slot_map(docs: DataFrame, shards: int = SHARDS, previous: DataFrame | None = None) -> DataFrame:
-    """The stored map (version, slot, shard), with one version more than ``previous``: its newest, edited for the
-    bytes of ``docs``.  Without ``previous`` it begins with version 1, which is then edited."""
-    spark = docs.sparkSession
-    size = {r["slot"]: r["bytes"] for r in slot_bytes(docs).collect()}  # one row for each of 4096 slots at most
-    rows = [(1, s, shard) for s, shard in enumerate(first_map(shards))] if previous is None else [(r["version"], r["slot"], r["shard"]) for r in previous.select("version", "slot", "shard").collect()]
-    newest = max(v for v, _, _ in rows)
-    now = [shard for _, shard in sorted((s, shard) for v, s, shard in rows if v == newest)]
-    rows += [(newest + 1, s, shard) for s, shard in enumerate(rebalanced(now, size, shards))]
-    return saved(spark.createDataFrame(rows, "version int, slot int, shard int").coalesce(1), "slot-map")
+def stored(docs: DataFrame, path: str) -> tuple[int, list[int]] | None:
+    """(version, shard of each slot) of the newest whole version under ``path``."""
+    versions = [int(name.removeprefix("version-")) for name in children(docs.sparkSession, path) if name.startswith("version-") and "_SUCCESS" in children(docs.sparkSession, f"{path}/{name}")]
+    if not versions:
+        return None
+    rows = docs.sparkSession.read.schema("slot int, shard int").parquet(f"{path}/version-{max(versions):06d}").collect()  # SLOTS rows
+    return max(versions), [r["shard"] for r in sorted(rows, key=lambda r: r["slot"])]
+
 
+def store(docs: DataFrame, path: str, version: int, shard: list[int]) -> None:
+    """Versions are never overwritten: of two that store the same one, the second fails."""
+    docs.sparkSession.createDataFrame(list(enumerate(shard)), "slot int, shard int").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version-{version:06d}")
 
-def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(doc_id, slot, shard, version) of each row under the newest version of the map.
+
+def slot_map(docs: DataFrame, path: str, shards: int = SHARDS) -> tuple[int, list[int]]:
+    """(version, shard of each slot) for the bytes of ``docs``: the newest stored version, edited and stored as the next
+    where that moves any slot.  Without a stored one it begins with version 1."""
+    found = stored(docs, path)
+    if found is None:
+        found = 1, first_map(shards)
+        store(docs, path, *found)
+    version, now = found
+    edited = rebalanced(now, {r["slot"]: r["bytes"] for r in slot_bytes(docs).collect()}, shards)  # a row a slot
+    if edited != now:
+        version, now = version + 1, edited
+        store(docs, path, version, now)
+    return version, now
+
+
+def sharded(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
+    """(doc_id, slot, shard, version) of each row under the newest version of the map at ``path``, edited for ``docs``.
 
     Repeated rows and ids lie together; a null id is in slot 0; an empty table gives no row.  Extra columns are ignored."""
-    return placed(docs.select("doc_id", "text"), shards).select(F.col("doc_id").cast("bigint").alias("doc_id"), "slot", "shard", "version")
+    return placed(docs.select("doc_id", "text"), path, shards).select(F.col("doc_id").cast("bigint").alias("doc_id"), "slot", "shard", "version")
 
 
-def placed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``docs`` with the columns slot, shard and version; where it has such names already, with ``_`` before."""
+def placed(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
+    """``docs`` with the columns slot, shard and version, of the newest version of the map at ``path``, edited for ``docs``;
+    where it has such names already, with ``_`` before.  Rows and nulls stay as they are."""
     names = [fresh(docs, c) for c in ("slot", "shard", "version")]
-    table = slot_map(docs, shards)
-    newest = table.agg(F.max("version")).first()[0]
-    chosen = table.where(F.col("version") == newest).select(F.col("slot").alias(names[0]), F.col("shard").alias(names[1]), F.col("version").alias(names[2]))
-    out = docs.withColumn(names[0], slot(F.col("doc_id"))).join(F.broadcast(chosen), names[0])  # 4096 rows always
-    return out.select(*[docs[c] for c in docs.columns], *[F.col(c) for c in names])
+    version, now = slot_map(docs, path, shards)
+    at = slot(F.col("doc_id"))
+    return docs.select("*", at.alias(names[0]), F.element_at(F.lit(now), at + 1).alias(names[1]), F.lit(version).alias(names[2]))  # the map is a constant of SLOTS integers
+
+
+def map_path(docs: DataFrame, name: str) -> str:
+    """The place of a named map in the shared folder, the same in each run."""
+    return f"{shared_dir(docs.sparkSession)}/slot-maps/{name}"

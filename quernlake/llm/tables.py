@@ -44,6 +44,13 @@ def discard(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any Hadoop file system; none of what isn't there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
+
+
 def discarded(df: DataFrame, table: DataFrame) -> DataFrame:
     """``df``, which :func:`discard` takes for ``table``, that it is made of."""
     df._quern_path = table._quern_path

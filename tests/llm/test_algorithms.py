@@ -290,6 +290,7 @@ def test_cuts_of_gray_and_muted_films(levels, colour):
 
 def test_key_flags_of_motion_jpeg_do_not_count():
     data, lengths = media.film([0.3, -1.2, 2.0], 2)
+    data = media.write_avi([data[a:b] for a, b in media.Avi(data).frames], 40000, 16, 16)
     at = data.rindex(b"idx1") + 8
     none = bytearray(data)
     for k in range(at + 4, len(data), 16):
@@ -306,6 +307,113 @@ def test_damaged_files():
     assert sum(c[3] for c in media.clips(data.replace(b"idx1", b"junk"))) == sum(lengths)
 
 
+def test_sizes_restarts_and_indexes():
+    rng = np.random.default_rng(2)
+    for height, width in ((9, 23), (40, 17), (64, 64)):
+        image = np.clip(np.cumsum(rng.normal(0, 4, (height, width, 3)), axis=1) + 120, 0, 255).astype(np.uint8)
+        plain = media.decode_jpeg(media.encode_jpeg(image, 2))
+        assert plain.shape == image.shape and np.abs(plain[:, :, 0].astype(int) - image[:, :, 0]).mean() < 3
+        for restart in (1, 2, 5):
+            assert np.array_equal(media.decode_jpeg(media.encode_jpeg(image, 2, restart=restart)), plain)
+    frames = [media.encode_jpeg(np.full((16, 16, 3), 10 * k, np.uint8)) for k in range(13)]
+    spans = [[data[a:b] for a, b in media.Avi(data).frames] for data in (media.write_avi(frames, 40000, 16, 16, i) for i in ("idx1", "indx", "none"))]
+    assert spans == [frames] * 3
+
+
+def test_scans_of_one_component_each():
+    """Not interleaved: each component's blocks in rows of their own."""
+    rng = np.random.default_rng(3)
+    planes = [np.clip(np.cumsum(rng.normal(0, 4, (h, w)), axis=1) + 120, 0, 255) for h, w in ((24, 40), (16, 24), (16, 24))]
+    scans = []
+    for p in planes:  # a gray file of each plane has its scan
+        image = np.full((*p.shape, 3), 128, np.uint8)
+        image[:, :, 0] = p
+        scans.append(image)
+    whole = media.encode_jpeg(np.full((24, 40, 3), 128, np.uint8), 2)
+    head = whole[: whole.index(b"\xff\xda")]
+
+    def scan(image, component):
+        data = _gray_scan(image)
+        return b"\xff\xda\x00\x08\x01" + bytes([component, 0, 0, 63, 0]) + data
+
+    data = head + b"".join(scan(i, k + 1) for k, i in enumerate(scans)) + b"\xff\xd9"
+    out = media.decode_jpeg(data)
+    assert out.shape == (24, 40, 3) and np.abs(out[:, :, 0].astype(int) - planes[0]).mean() < 3
+    chroma = planes[1][:12, :20].repeat(2, 0).repeat(2, 1)
+    assert np.abs(out[:, :, 1].astype(int) - chroma).mean() < 3
+
+
+def _gray_scan(image):
+    """Entropy-coded blocks of one plane, in rows, by the luma tables."""
+    h, w, _ = image.shape
+    blocks = (image[:, :, 0].astype(float) - 128).reshape(h // 8, 8, w // 8, 8).transpose(0, 2, 1, 3).reshape(-1, 8, 8)
+    coef = np.rint((media._DCT @ blocks @ media._DCT.T).reshape(-1, 64)[:, media.ZIGZAG] / 2).astype(int)
+    dc, ac, bits, last = media._codes(media._DC), media._codes(media._AC), "", 0
+
+    def put(code, length):
+        nonlocal bits
+        bits += format(code, f"0{length}b")
+
+    for block in coef.tolist():
+        d, last = block[0] - last, block[0]
+        n = abs(d).bit_length()
+        put(*dc[n])
+        if n:
+            put(d if d > 0 else d + (1 << n) - 1, n)
+        run = 0
+        for v in block[1:]:
+            if not v:
+                run += 1
+                continue
+            while run > 15:
+                put(*ac[0xF0])
+                run -= 16
+            n = abs(v).bit_length()
+            put(*ac[run << 4 | n])
+            put(v if v > 0 else v + (1 << n) - 1, n)
+            run = 0
+        if run:
+            put(*ac[0])
+    bits += "1" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+
+
+def test_decoding_takes_time_in_proportion_to_the_bytes():
+    rng = np.random.default_rng(1)
+    images = [np.clip(np.cumsum(rng.normal(0, 4, (n, n, 3)), axis=1) + 120, 0, 255).astype(np.uint8) for n in (128, 512)]
+    small, large = (media.encode_jpeg(i, 4) for i in images)
+    times = []
+    for data in (small, large):
+        began = time.process_time()
+        media.decode_jpeg(data)
+        times.append((time.process_time() - began) / len(data))
+    assert len(large) > 10 * len(small) and times[1] < 3 * times[0]
+
+
+def test_no_bytes_make_clips_fail():
+    rnd = random.Random(1)
+    films = [media.film([0.3, -1.2, 2.0], k)[0] for k in range(21)]
+    for k in range(300):
+        data = bytearray(films[k % len(films)])
+        for _ in range(rnd.choice([1, 3, 10, 60])):
+            data[rnd.randrange(len(data))] = rnd.choice([0, 255, rnd.randrange(256)])
+        media.clips(bytes(data[: rnd.randrange(len(data))] if k % 3 == 0 else data))
+    frame = bytearray(media.encode_jpeg(np.zeros((16, 16, 3), np.uint8)))
+    at = frame.index(b"\xff\xc0")
+    for change in ({11: 0}, {11: 0x55}, {5: 255, 6: 255, 7: 255, 8: 255}, {9: 0}, {4: 12}):  # sampling, size, components, depth
+        bad = bytearray(frame)
+        for k, v in change.items():
+            bad[at + k] = v
+        with pytest.raises(media.BadImage):
+            media.decode_jpeg(bytes(bad))
+    # an index of indexes that leads to itself, many times
+    data = bytearray(media.write_avi([bytes(frame)] * 10, 40000, 16, 16, "indx"))
+    a = data.index(b"indx")
+    data[a + 12 : a + 16] = b"\xff" * 4
+    data[a + 32 : a + 40] = a.to_bytes(8, "little")
+    assert sum(c[3] for c in media.clips(bytes(data))) in (5, 10)
+
+
 # ---- mixing, sharding, quality
 
 def test_flight_keeps_documents_and_tokens():
@@ -332,6 +440,11 @@ def test_rebalancing_moves_few_slots():
     out = sharding.rebalanced(start, size)
     load = [sum(size[s] for s in size if out[s] == k) for k in range(sharding.SHARDS)]
     assert max(load) <= sum(load) / len(load) * 1.02 and sum(a != b for a, b in zip(start, out)) < 400
+    fewer, more = sharding.rebalanced(out, size, 5), sharding.rebalanced(out, size, 20)
+    for now, shards in ((fewer, 5), (more, 20)):
+        load = [sum(size[s] for s in size if now[s] == k) for k in range(shards)]
+        assert max(load) <= sum(load) / shards * 1.02 and set(now) == set(range(shards))
+    assert sum(a != b for a, b in zip(out, more)) < 1200
     assert sharding.rebalanced(out, size) == out and sharding.rebalanced(start, {}) == start and sharding.rebalanced(start, {7: 9}) == start
 
 

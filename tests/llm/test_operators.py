@@ -305,17 +305,34 @@ def test_a_small_source_does_not_shrink_the_mixture(spark):
     assert len(found) >= 2990 and 3000 in set(found.doc_id)
 
 
-def test_sharding(spark, odd, clashing, empty):
-    out = rows(sharding.sharded(odd))
+def test_sharding(spark, odd, clashing, empty, tmp_path):
+    path = str(tmp_path / "map")
+    out = rows(sharding.sharded(odd, path))
     assert len(out) == len(ODD) and {r[1] for r in out if r[0] is None} == {0} and len({r[1:] for r in out if r[0] == 2}) == 1 and {r[3] for r in out} == {2}
-    assert rows(sharding.sharded(clashing)) == out and rows(sharding.sharded(empty)) == []
-    placed = sharding.placed(clashing)
+    assert rows(sharding.sharded(clashing, path)) == out and rows(sharding.sharded(empty, path)) == []
+    placed = sharding.placed(clashing, path)
     assert placed.columns == [*clashing.columns, "_slot", "_shard", "_version"]
-    table = sharding.slot_map(odd).toPandas()
-    assert len(table) == 2 * sharding.SLOTS and set(table.version) == {1, 2}
-    grown = sharding.slot_map(odd.union(odd), previous=sharding.slot_map(odd)).toPandas()
-    by = {v: list(x.sort_values("slot").shard) for v, x in grown.groupby("version")}
-    assert set(by) == {1, 2, 3} and sum(a != b for a, b in zip(by[2], by[3])) <= sum(a != b for a, b in zip(by[1], by[3]))
+    by = {r[1]: r[2] for r in out}
+    size = collections.Counter()
+    for i, t, _ in ODD:
+        size[next(r[1] for r in out if r[0] == i)] += len(t or "")
+    assert sharding.stored(odd, path) == (2, sharding.rebalanced(sharding.first_map(), size)) and all(sharding.stored(odd, path)[1][s] == shard for s, shard in by.items())
+
+
+def test_the_stored_map_is_edited(spark, tmp_path):
+    """Runs agree; other bytes move few slots; shards may be fewer or more; a version that wasn't finished isn't read."""
+    path = str(tmp_path / "map")
+    docs = _docs(spark, [(k, "x" * (1 + k % 50), "s") for k in range(5000)])
+    version, one = sharding.slot_map(docs, path)
+    assert sharding.slot_map(docs, path) == (version, one)
+    grown = docs.union(_docs(spark, [(k, "y" * 2000, "s") for k in range(100)]))
+    after, two = sharding.slot_map(grown, path)
+    assert after == version + 1 and 0 < sum(a != b for a, b in zip(one, two)) < 200
+    for shards in (5, 24):
+        _, three = sharding.slot_map(grown, path, shards)
+        assert set(three) == set(range(shards))
+    (tmp_path / "map/version-000099").mkdir()
+    assert sharding.slot_map(grown, path, 24) == (after + 2, three)
 
 
 def test_slots_are_even(spark):
@@ -345,6 +362,36 @@ def test_html(spark):
     assert found >= 0.98 * total
 
 
+def _java_jpeg(spark, pixels, gray):
+    """A JPEG by Java's encoder, and its own decoding as luma."""
+    jvm = spark._jvm
+    jvm.java.lang.System.setProperty("java.awt.headless", "true")
+    height, width, _ = pixels.shape
+    image = jvm.java.awt.image.BufferedImage(width, height, 10 if gray else 1)
+    flat = (pixels[:, :, 0].astype(int) << 16) | (pixels[:, :, 1].astype(int) << 8) | pixels[:, :, 2].astype(int)
+    for y in range(height):
+        for x in range(width):
+            image.setRGB(x, y, int(flat[y, x]))
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    data = bytes(out.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data)))
+    rgb = np.array([[back.getRaster().getSample(x, y, 0) if gray else back.getRGB(x, y) for x in range(width)] for y in range(height)])
+    return data, rgb if gray else 0.299 * (rgb >> 16 & 255) + 0.587 * (rgb >> 8 & 255) + 0.114 * (rgb & 255)
+
+
+@pytest.mark.parametrize("gray", [False, True])
+@pytest.mark.parametrize("height, width", [(16, 16), (9, 23), (33, 18)])
+def test_jpegs_of_another_encoder(spark, gray, height, width):
+    rng = np.random.default_rng(height)
+    pixels = np.clip(np.cumsum(rng.normal(0, 6, (height, width, 3)), axis=1) + 120, 0, 255).astype(np.uint8)
+    if gray:
+        pixels[:, :, 1:] = pixels[:, :, :1]
+    data, luma = _java_jpeg(spark, pixels, gray)
+    found = media.decode_jpeg(data)
+    assert found.shape == (height, width, 3) and np.abs(found[:, :, 0] - luma).mean() < 1.5 and (not gray or (found[:, :, 1:] == 128).all())
+
+
 def test_media(spark):
     vectors = spark.createDataFrame([(0, [0.5, 1.0, -2.0], 1), (1, [], 1), (2, None, 1), (3, [float("nan"), None], 1), (0, [0.5, 1.0, -2.0], 1)], "vec_id bigint, embedding array<float>, clip int")
     out = media.clip_rows(media.films(vectors)).toPandas()
