@@ -34,7 +34,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sharding_slots(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their slot and shard."""
-    return sharding.placed(docs)
+    return sharding.placed(docs, sharding.map_path(docs, "pipeline"))
 
 
 STAGES = [
