@@ -245,12 +245,13 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE) -
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE) -> DataFrame:
-    """``docs`` with the contaminated spans cut from ``text``, and ``n_chars``, if there, set to the new length.
+    """``docs`` with the contaminated spans cut from ``text``, and ``n_chars``, if it is an integer, set to the new length.
 
     A document of which no word is left goes; one that had no word from the start stays.  All other columns and
     rows are as they were, nulls included."""
     items, schema, columns = _items(benchmark), docs.schema, docs.columns
     text = columns.index("text")
+    counted = columns.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("tinyint", "smallint", "int", "bigint") else None
 
     def cut(value: str, spans: list[tuple]) -> str:
         data, out, at = value.encode(), [], 0
@@ -293,8 +294,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE) -> Da
         mask[at] = True
         arrays = list(batch.columns)
         arrays[text] = pc.replace_with_mask(arrays[text], pa.array(mask), pa.array(values, arrays[text].type))
-        if "n_chars" in columns:
-            k = columns.index("n_chars")
+        if counted is not None:
+            k = counted
             arrays[k] = pc.replace_with_mask(arrays[k], pa.array(mask), pa.array([len(v) for v in values], arrays[k].type))
         mask[at] = [not len(textvec.hash_words(v)) for v in values]
         out = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)

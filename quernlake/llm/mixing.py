@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quernlake.llm.tables import fresh, saved
+from quernlake.llm.tables import discard, fresh, saved
 
 CELL, POWER, EPS = 4096, 0.5, 1e-9
 SHARE, TAIL = 0.5, 0.01  # of the tokens: what the mixture holds at least, and what the sources that don't bound it have at most
@@ -136,9 +136,9 @@ def balanced_sample(docs: DataFrame, weights: dict[str, float] | None = None, po
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("unit"), F.col("source").cast("string").alias("source"), F.coalesce(F.expr(TOKENS), F.lit(0)).cast("bigint").alias("tokens"))
     units = saved(rows.groupBy("unit").agg(F.max(F.struct("tokens", "source")).alias("m")).select("unit", "m.source", "m.tokens"), "units")
     sizes = units.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
-    p = probabilities(sizes.select("source", "tokens"), weights, power).withColumnRenamed("source", "from")
+    p = saved(probabilities(sizes.select("source", "tokens"), weights, power).withColumnRenamed("source", "from"), "probabilities")
     state = units.join(p, F.col("source").eqNullSafe(F.col("from"))).select("unit", "source", "tokens", F.col("p").alias("pi"))
-    decided, level = [], 0
+    decided, level, tables = [], 0, [units, p]
     open_ = state
     while True:
         counts = open_.groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "of")
@@ -147,6 +147,7 @@ def balanced_sample(docs: DataFrame, weights: dict[str, float] | None = None, po
         final = counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] <= cell
         placed = placed.withColumn("seed", F.xxhash64("source", "cell", F.lit(seed + level))).drop("of", "n")
         flown = saved(placed.groupBy("source", "cell").applyInPandas(_fly(final), "unit bigint, source string, tokens bigint, pi double"), "flown")
+        tables.append(flown)
         decided.append(flown.where("pi = 1"))
         if final:
             break
@@ -155,12 +156,19 @@ def balanced_sample(docs: DataFrame, weights: dict[str, float] | None = None, po
     chosen = decided[0]
     for x in decided[1:]:
         chosen = chosen.union(x)
-    return chosen.drop("pi").join(p, F.col("source").eqNullSafe(F.col("from"))).select(F.col("unit").alias("doc_id"), "source", "tokens", "p")
+    out = saved(chosen.drop("pi").join(p, F.col("source").eqNullSafe(F.col("from"))).select(F.col("unit").alias("doc_id"), "source", "tokens", "p"), "chosen")
+    for x in tables:
+        discard(x)
+    return out
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, power: float = POWER) -> DataFrame:
-    """``docs`` without the rows that the sample doesn't hold; all columns as they were.  Rows with a null id
-    go; rows that repeat an id stay or go together."""
+    """``docs`` without the rows that the sample doesn't hold; all columns as they were.
+
+    Rows with a null id go; rows that repeat an id stay or go together, decided by the row with the most tokens.  Null and
+    blank texts are documents of 0 tokens and as probable as the others of their source; a null source is one.  An
+    empty table stays empty.
+    """
     chosen = balanced_sample(docs, weights, power).select(F.col("doc_id").alias(fresh(docs, "chosen_id")))
     kept = docs.join(chosen, F.col("doc_id").cast("bigint") == F.col(chosen.columns[0]), "left_semi")
     return kept

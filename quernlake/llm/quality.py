@@ -90,13 +90,14 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> Model:
-    """Stochastic gradient descent on the embeddings and the softmax layer, classes weighted alike."""
+    """Stochastic gradient descent on the embeddings and the softmax layer, classes weighted alike.  Labels are 0 or 1;
+    pairs with another are left out, and blank texts."""
     rng = np.random.default_rng(seed)
     sample = sample[::-1]
     bags = []
     while sample:
         t, y = sample.pop()
-        if t and t.strip():
+        if t and t.strip() and y in (0, 1):
             bags.append((*bag(t), int(y)))
     size = np.bincount([y for *_, y in bags], minlength=2)
     if not size.all():  # one class only: always that one
@@ -124,8 +125,8 @@ def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RAT
 
 def fitted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     """The classifier of ``bound`` labelled documents at most, those with the least hash of their id: a documented
-    bound on what one task trains on.  Nulls are left out, a repeated row counts once."""
-    named = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("y"))
+    bound on what one task trains on.  Nulls and labels other than 0 and 1 are left out, a repeated row counts once."""
+    named = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     few = named.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     rows = texts(docs.where("text is not null and doc_id is not null")).join(F.broadcast(few), "doc_id").select("doc_id", "text", "y").distinct()
 
@@ -161,7 +162,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> D
 
 
 def accepted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; all columns as they were."""
+    """``docs`` without the rows that the classifier rejects; all columns as they were.
+
+    Null, empty and blank texts go.  Rows with a null ``doc_id`` and repeated ones are judged each by its text.  An empty
+    table stays empty; without labels, or with one class only, every text gets that class (good, if there is none).
+    """
     model = fitted(docs, labels, bound)
     shared, bias, at = docs.sparkSession.sparkContext.broadcast(model.weight), model.bias, docs.columns.index("text")
 

@@ -255,7 +255,7 @@ def learned(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict[int
     """Weights of the words that tell toxic documents: their log odds, ``CERTAIN`` being weight 1, from ``ODDS`` up, of
     words in ``SUPPORT`` toxic documents at least that aren't copies of each other.  Fitted on ``bound`` labelled documents at most (those with the
     least hash of their id), whose words are counted in the cluster; the words found come to the driver."""
-    named = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    named = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     few = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     rows = texts(docs.where("text is not null and doc_id is not null")).join(F.broadcast(few), "doc_id").select("text", "toxic")
     words = rows.mapInArrow(_words, "word bigint, toxic int, sketch bigint")
@@ -274,7 +274,7 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) ->
     negated nor reported, is enough; others, and words that are less certain to be insults, need company nearby.
 
     Null, empty and wordless texts have none.  Rows with a null ``doc_id`` are judged too and reported with null;
-    a repeated row is reported again.  Without labels the seed lexicon alone is used.  Extra columns are ignored.
+    a repeated row is reported again.  Labels other than 0 and 1 are left out; without labels the seed lexicon alone is used.  Extra columns are ignored.
     """
     words = learned(docs, labels, bound)
 

@@ -220,6 +220,8 @@ def test_decontaminated(spark, odd, clashing, empty, benchmark):
         kept = {r["doc_id"]: r for r in out.collect()}
         assert 10 not in kept and kept[9]["text"] == "before  after it" and kept[9]["n_chars"] == 16 and kept[7]["text"] == VERY
     assert fmindex.decontaminated(empty, benchmark).count() == 0
+    named = fmindex.decontaminated(odd.withColumn("n_chars", F.lit("many")), benchmark).where("doc_id = 9").first()
+    assert named["n_chars"] == "many" and named["text"] == "before  after it"
     changed = _docs(spark, [(1, f"İÉ {ITEM.upper()}! ẞ", "s"), (2, "x " * 9, "s")])
     assert fmindex.decontaminated(changed, benchmark).where("doc_id = 1").first()["text"] == "İÉ ! ẞ"
 
@@ -243,6 +245,8 @@ def test_quality(spark, odd, clashing, empty, labels):
     kept = quality.accepted(clashing, labels)
     assert kept.columns == clashing.columns and {r["doc_id"] for r in kept.collect()} <= {r["doc_id"] for r in out.where("keep").collect()}
     assert quality.quality_scores(odd, labels.where("false")).where("keep").count() == 12
+    strange = labels.union(spark.createDataFrame([(9, 2, 5), (10, -1, -1)], labels.schema))
+    assert rows(quality.quality_scores(odd, strange)) == rows(out) and rows(toxicity.toxic_documents(odd, strange)) == rows(toxicity.toxic_documents(odd, labels))
 
 
 def test_quality_on_held_out_labels(spark):
@@ -258,6 +262,71 @@ def test_toxicity(spark, odd, clashing, empty, labels):
     assert rows(toxicity.toxic_documents(empty, labels)) == [] and [r[0] for r in rows(toxicity.toxic_documents(odd, labels.where("false")))] == [11]
 
 
+def _plain_score(text, table):
+    """The score of a text and its clauses that score, word by word, by the five transducers in turn."""
+    import re
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    text = pc.utf8_lower(pa.array([text or ""]))[0].as_py()
+    words = list(re.finditer(r"[0-9a-z_\x80-\U0010ffff]+", text))
+    parts = [toxicity.negation(), toxicity.reported(), toxicity.targets(), toxicity.insults(), toxicity.threats()]
+    clauses_, begin = [], 0
+    for k, m in enumerate(words):
+        if k + 1 == len(words) or re.search(r"[\n!.:;?]", text[m.end() : words[k + 1].start()]):
+            clauses_.append((begin, k + 1))
+            begin = k + 1
+    scored = []
+    for a, b in clauses_:
+        symbols, inside = [], False
+        for m in words[a:b]:
+            opened = text[words[a].start() : m.start()].count('"') % 2 == 1
+            if opened and not inside:
+                symbols.append((toxicity.QUOTE, 1.0))
+            inside = opened
+            symbols.append(table.get(m[0], (toxicity.OTHER, 1.0)))
+        hot = [k for k, (s, _) in enumerate(symbols) if s in (toxicity.INSULT, toxicity.THREAT)]
+        if not hot:
+            continue
+        cut = [0, *(y - toxicity.BEFORE for x, y in zip(hot, hot[1:]) if y - x > toxicity.REACH), len(symbols)]
+        best = 0.0
+        for x, y in zip(cut, cut[1:]):
+            states, total = [0] * 5, 0.0
+            for s, w in symbols[x:y]:
+                for k, t in enumerate(parts):
+                    states[k], s, pay = t.step(states[k], s)
+                    total += pay * w
+            best = max(best, total)
+        at = next(k for k in range(a, b) if table.get(words[k][0], (0, 0))[0] in (toxicity.INSULT, toxicity.THREAT))
+        if best > 0:
+            scored.append((at, best))
+    loud = [(at, s) for at, s in scored if s > toxicity.FAINT]
+    passages = [sum(s for p, s in loud if at - toxicity.PASSAGE <= p <= at) for at, _ in loud]
+    return max([0.0, *passages, *(s for _, s in scored)]), len(scored)
+
+
+def test_toxicity_is_that_of_a_plain_reading(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.Lexicon.of(toxicity.learned(docs, labels))
+    known = dict(zip(lexicon.hashes.tolist(), zip(lexicon.symbols.tolist(), lexicon.weights.tolist())))
+    more = _docs(spark, [(-1, 'He said "you idiot" and left. You are no moron! I will kill you; they said so', "s"), (-2, "dumm " * 40 + "du trottel. " * 3, "s")])
+    both = docs.select("doc_id", "text").union(more.select("doc_id", "text"))
+    table, expected = {}, []
+    for r in both.collect():
+        for w in textvec.word_list(r["text"]):
+            if w not in table:
+                found = known.get(int(textvec.hash_words(w)[0]))
+                table[w] = found or (toxicity.OTHER, 1.0)
+        score, n = _plain_score(r["text"], table)
+        if score >= toxicity.THRESHOLD:
+            expected.append((r["doc_id"], pytest.approx(score), n))
+    found = sorted(map(tuple, toxicity.toxic_documents(docs, labels).collect()))
+    assert len(found) > 5 and [r for r in sorted(expected, key=lambda r: r[0]) if r[0] >= 0] == found
+    alone = toxicity.scores(__import__("pyarrow").array([r["text"] for r in more.collect()]), lexicon, toxicity.Machine(toxicity.grammar()))
+    assert [(pytest.approx(s), n) for s, n in zip(*alone)] == [_plain_score(r["text"], table) for r in more.collect()]
+
+
 def test_toxicity_on_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     found = {r["doc_id"] for r in toxicity.toxic_documents(docs, labels).collect()}
@@ -346,6 +415,16 @@ def test_token_counts(spark, odd, clashing, empty):
     assert rows(tokencount.token_counts(clashing)) == out and rows(tokencount.token_counts(empty)) == []
 
 
+def test_token_counts_of_a_whole_table_are_the_encoders(spark):
+    import tiktoken
+
+    other = tiktoken.Encoding("t", pat_str=tokencount.PATTERN, mergeable_ranks=tokencount.load_ranks(), special_tokens={})
+    long = _docs(spark, [(10**9, "x" * 7000 + " " + "é" * 6000 + "?!" * 4000, "s")])
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").union(long.select("doc_id", "text"))
+    expected = sorted((r["doc_id"], len(other.encode_ordinary(r["text"]))) for r in docs.collect())
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in tokencount.token_counts(docs).collect()) == expected
+
+
 def test_html(spark):
     pages = spark.createDataFrame([(1, "u", "<p>some text here", 0), (1, "u", "<p>some text here", 0), (2, None, None, 0), (None, "v", "", 0)], "page_id bigint, url string, html string, text int")
     out = rows(html.extracted(pages))
