@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import argparse
-import glob
-import os
-import shutil
 import sys
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -20,10 +18,17 @@ from quernlake.plans.predicates import parse_predicate
 from quernlake.sources import documents, store
 
 
-def _files(spark: SparkSession, target: str, suffix: str) -> list[str]:
-    if documents.is_s3(target) and not target.endswith(suffix) or os.path.isdir(target) and not os.path.exists(f"{target}/manifest.json"):
-        return documents.list_files(spark, target, suffix)
-    return sorted(glob.glob(target)) or [target]
+def _files(spark: SparkSession, target: str) -> list[str]:
+    """What a target names: an index, or the files of a path, folder or glob of any Hadoop file system."""
+    return [target] if store.exists(spark, f"{target}/manifest.json") else documents.data_files(spark, target) or [target]
+
+
+def _work(spark: SparkSession) -> str:
+    """A folder for indexes under way, that all executors share; of this machine's own only where Spark runs on it alone."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(place or tempfile.gettempdir()).rstrip('/')}/quernlake-{uuid.uuid4().hex}"
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -32,7 +37,7 @@ def _parser() -> argparse.ArgumentParser:
     b = sub.add_parser("build", help="index a JSON column of Parquet files")
     b.add_argument("target")
     b.add_argument("-c", "--column", required=True)
-    b.add_argument("-o", "--output")
+    b.add_argument("-o", "--output", help="one index of all files, with their row groups numbered through; else each file has a sidecar")
     b.add_argument("--embed", action="store_true")
     b.add_argument("--key", default=store.KEY)
     q = sub.add_parser("query", help="row groups that may match a predicate")
@@ -58,12 +63,14 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("quernlake").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    work = tempfile.mkdtemp(prefix="quernlake-cli-")
+    work = _work(spark)
     try:
         if args.command == "experiment":
-            return _experiment(spark, args)
+            return _experiment(spark, args, work)
         failed = 0
-        targets = _files(spark, args.target, ".parquet")
+        targets = _files(spark, args.target)
+        if args.command == "build" and args.output and not args.embed:  # one index of all files
+            targets = [targets]
         for t in targets:
             try:
                 _one(spark, args, t, work)
@@ -74,7 +81,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(f"{len(targets) - failed} of {len(targets)} files done")
         return 1 if failed else 0
     finally:
-        shutil.rmtree(work, ignore_errors=True)
+        store.remove(spark, work)
 
 
 def _open(spark: SparkSession, target: str, work: str):
@@ -83,7 +90,7 @@ def _open(spark: SparkSession, target: str, work: str):
     return store.load_index(spark, target, work)
 
 
-def _one(spark: SparkSession, args: argparse.Namespace, target: str, work: str) -> None:
+def _one(spark: SparkSession, args: argparse.Namespace, target: str | list[str], work: str) -> None:
     if args.command == "build":
         docs, n = documents.parquet_documents(spark, target, args.column)
         index = build_index(docs, n, Config())
@@ -92,9 +99,10 @@ def _one(spark: SparkSession, args: argparse.Namespace, target: str, work: str)
             print(f"{target}: index embedded")
         elif args.output:
             store.write_index(index, args.output)
-            print(f"{target}: index in {args.output}")
+            print(f"{args.target}: index in {args.output}")
         else:
             print(f"{target}: index in {store.write_sidecar(index, target)}")
+        index.discard()
     elif args.command == "query":
         index = _open(spark, target, work)
         found = to_list(candidates(index, [parse_predicate(args.predicate)], "compat" if args.compat else "sound"))
@@ -109,12 +117,11 @@ def _one(spark: SparkSession, args: argparse.Namespace, target: str, work: str)
         print(f"{target}: index in {args.output}")
 
 
-def _experiment(spark: SparkSession, args: argparse.Namespace) -> int:
+def _experiment(spark: SparkSession, args: argparse.Namespace, work: str) -> int:
     path = args.input
     if path == "-":
-        with tempfile.NamedTemporaryFile("w", suffix=".jsonl", delete=False) as f:
-            f.write(sys.stdin.read())
-        path = f.name
+        path = f"{work}/stdin.jsonl"
+        store.write_bytes(spark, path, sys.stdin.read().encode())
     try:
         report = experiment(spark, path, args.rg_size, sample=args.sample, predicate=parse_predicate(args.test) if args.test else None, on_error=args.on_error)
         if args.output and report.index is not None:
@@ -124,9 +131,6 @@ def _experiment(spark: SparkSession, args: argparse.Namespace) -> int:
     except Exception as e:
         print(f"{args.input}: {e}", file=sys.stderr)
         return 1
-    finally:
-        if args.input == "-":
-            os.unlink(path)
 
 
 if __name__ == "__main__":

@@ -16,10 +16,12 @@ def ngrams(column: Column, n: int = 3, padding: str = "") -> Column:
     text = F.lower(column)
     if padding:
         text = F.concat(F.lit(padding * (n - 1)), text, F.lit(padding * (n - 1)))
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
-    kept = F.filter(grams, lambda g: ~g.rlike(r"(?U)^(\s+|[\p{P}\p{S}]+)$"))
+    # one pass cuts the text into characters, which are then reached by their place: linear in the length
+    characters = F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
+    grams = F.transform(characters, lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*[F.get(c, i + k) for k in range(n)])))[0]
+    kept = F.filter(F.array_distinct(grams), lambda g: ~g.rlike(r"(?U)^(\s+|[\p{P}\p{S}]+)$"))
     empty = F.array().cast("array<string>")
-    return F.when(F.length(text) >= n, F.array_distinct(kept)).otherwise(F.when(column.isNotNull(), empty))
+    return F.when(F.length(text) >= n, kept).otherwise(F.when(column.isNotNull(), empty))
 
 
 def python_ngrams(text: str, n: int = 3, padding: str = "") -> list[str]:

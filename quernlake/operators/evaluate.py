@@ -21,15 +21,20 @@ from quernlake.plans import jsonpath, regex_literals
 from quernlake.plans.predicates import Aliased, Predicate, as_term, exact_int, is_number, rounded_int
 
 ALL, NONE = "all", "none"
+FLAGS = 64  # trigrams that one aggregation looks for
 Rgs = "DataFrame | str"
 
 
 @dataclass
 class _Plan:
-    """A set of row groups: everything, nothing, or a plan; ``exact`` if no row group is in it for want of knowledge."""
+    """A set of row groups: everything, nothing, or a plan; ``exact`` if no row group is in it for want of knowledge (or a
+    function that finds out)."""
 
     rgs: Any
-    exact: bool = True
+    exact: Any = True
+
+    def is_exact(self) -> bool:
+        return self.exact() if callable(self.exact) else self.exact
 
 
 def _resolve(index: Index, p: Predicate) -> tuple[str, Any] | None:
@@ -133,20 +138,22 @@ class _Evaluator:
         if e.mode == BLOOM_ONLY:
             return _Plan(ALL, False)
         if e.mode == ADAPTIVE:
-            hot = self.table("promoted").where(F.col("term") == term).select("rg_id")
-            if not hot.isEmpty():
-                return _Plan(hot)
+            # in each segment: where the term is promoted those row groups, else those of its bucket
+            hot = self.table("promoted").where(F.col("term") == term)
             cold = self.table("buckets").where(F.col("bucket") == bucket(F.lit(term), self.index.config.adaptive_buckets))
-            return _Plan(cold.select("rg_id"), False)
+            found = hot.select("rg_id").union(cold.join(hot.select("segment").distinct(), "segment", "left_anti").select("rg_id"))
+            if self.index.written:  # segments in which the path isn't adaptive have exact postings
+                found = found.union(self.table("string_postings").where(F.col("term") == term).select("rg_id"))
+            return _Plan(found, lambda: not hot.isEmpty())
         return _Plan(self.table("string_postings").where(F.col("term") == term).select("rg_id"))
 
     def number(self, value: Any) -> _Plan:
-        stats = self.table("numeric_stats")
+        stats, i, d = self.table("numeric_stats"), exact_int(value), float(value)
+        whole = (F.col("imin") <= i) & (F.col("imax") >= i) if i is not None else F.lit(False)
         if self.e.numeric == "int":
-            v = exact_int(value)
-            return _Plan(NONE) if v is None else _Plan(stats.where((F.col("imin") <= v) & (F.col("imax") >= v)).select("rg_id"), False)
-        v = float(value)
-        return _Plan(stats.where((F.col("dmin") <= v) & (F.col("dmax") >= v)).select("rg_id"), False)
+            return _Plan(NONE) if i is None else _Plan(stats.where(whole).select("rg_id"), False)
+        # row groups of integers only are compared as such: doubles would merge neighbours
+        return _Plan(stats.where(F.when(F.col("floats"), (F.col("dmin") <= d) & (F.col("dmax") >= d)).otherwise(whole)).select("rg_id"), False)
 
     def isin(self, values: Any) -> _Plan:
         if not isinstance(values, tuple):
@@ -155,7 +162,8 @@ class _Evaluator:
         if any(isinstance(p.rgs, str) and p.rgs == ALL for p in plans):
             return _Plan(ALL, False)
         terms = [as_term(v) for v in values if as_term(v) is not None]
-        exact = all(p.exact for p in plans)
+        every = list(plans)
+        exact = lambda: all(p.is_exact() for p in every)
         parts = []
         if terms and self.e.mode not in (BLOOM_ONLY, ADAPTIVE) and self.e.has_strings:
             parts.append(self.table("string_postings").where(F.col("term").isin(terms)).select("rg_id"))
@@ -170,7 +178,7 @@ class _Evaluator:
 
     def complement(self, plan: _Plan, terms: bool) -> _Plan:
         """Present row groups that aren't in ``plan``.  On an adaptive path, a set that isn't exact rules out nothing."""
-        if self.e.mode == ADAPTIVE and terms and not plan.exact:
+        if self.e.mode == ADAPTIVE and terms and not plan.is_exact():
             return _Plan(self.present())
         if isinstance(plan.rgs, str):
             return _Plan(NONE) if plan.rgs == ALL else _Plan(self.present())
@@ -195,14 +203,11 @@ class _Evaluator:
             for v in numbers:
                 same = same | ((F.col("dmin") == v) & (F.col("dmax") == v))
             exact_ints = [exact_int(v) for v in values if is_number(v)]
-            if e.numeric == "int":  # doubles may merge neighbours
-                same = F.lit(False)
-                for v in exact_ints:
-                    if v is not None:
-                        same = same | ((F.col("imin") == v) & (F.col("imax") == v))
-            parts.append(stats.where(~same).select("rg_id"))
-        if e.types & 16:  # nulls differ from nothing and equal nothing: they are no match
-            pass
+            whole = F.lit(False)  # of row groups of integers only, as doubles may merge neighbours
+            for v in exact_ints:
+                if v is not None:
+                    whole = whole | ((F.col("imin") == v) & (F.col("imax") == v))
+            parts.append(stats.where(~F.when(F.col("floats"), same).otherwise(whole)).select("rg_id"))
         if not parts:
             return _Plan(self.present(), False) if not e.types & 15 else _Plan(NONE)
         out = parts[0]
@@ -216,18 +221,17 @@ class _Evaluator:
         e = self.e
         if not is_number(value) or not e.numeric:
             return _Plan(ALL, False)
-        stats = self.table("numeric_stats")
+        tests = {">": lambda low, high, v: high > v, ">=": lambda low, high, v: high >= v, "<": lambda low, high, v: low < v, "<=": lambda low, high, v: low <= v}
+        stats, test, i, d = self.table("numeric_stats"), tests[op], rounded_int(value, up=op in (">=", "<")), float(value)
         if e.numeric == "int":
-            v = rounded_int(value, up=op in (">=", "<"))
-            if v is None:
+            if i is None:
                 return _Plan(ALL, False)
-            low, high, least, most = F.col("imin"), F.col("imax"), e.imin, e.imax
-        else:
-            v = float(value)
-            low, high, least, most = F.col("dmin"), F.col("dmax"), e.dmin, e.dmax
-        tests = {">": (high > v, most > v), ">=": (high >= v, most >= v), "<": (low < v, least < v), "<=": (low <= v, least <= v)}
-        column, anywhere = tests[op]
-        return _Plan(stats.where(column).select("rg_id"), False) if anywhere else _Plan(NONE)
+            if not test(e.imin, e.imax, i):
+                return _Plan(NONE)
+            return _Plan(stats.where(test(F.col("imin"), F.col("imax"), i)).select("rg_id"), False)
+        # of a mixed path, row groups of integers only are compared as such
+        whole = test(F.col("imin"), F.col("imax"), i) if i is not None else test(F.col("dmin"), F.col("dmax"), d)
+        return _Plan(stats.where(F.when(F.col("floats"), test(F.col("dmin"), F.col("dmax"), d)).otherwise(whole)).select("rg_id"), False)
 
     # -- text
 
@@ -243,14 +247,29 @@ class _Evaluator:
         grams = list(dict.fromkeys(g for x in literals for g in python_ngrams(x)))
         if not grams:
             return _Plan(ALL, False)
-        rows = self.table("trigrams").where(F.col("gram").isin(grams))
-        full = rows.groupBy("rg_id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("rg_id")
+        if self.index.written:
+            rows = self.table("trigrams").where(F.col("gram").isin(grams))
+            full = rows.groupBy("rg_id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("rg_id")
+        else:
+            full = self.holding(grams)
         if self.sound and self.index.config.trigram_min_length > 3:
             # shorter strings aren't in the trigram table
             short = self.table("strlen_stats").where(F.col("len_min") < self.index.config.trigram_min_length).select("rg_id")
             full = full.union(short)
         return _Plan(full, False)
 
+    def holding(self, grams: list[str]) -> DataFrame:
+        """Row groups whose texts hold all trigrams, without the table of all trigrams: one flag for each asked, some at a
+        time, in one aggregation over the texts."""
+        rows = self.table("observations").where("kind in ('string', 'bool')").where(F.octet_length("s") >= self.index.config.trigram_min_length)
+        out = None
+        for k in range(0, len(grams), FLAGS):
+            some = grams[k : k + FLAGS]
+            flags = rows.groupBy("rg_id").agg(*[F.bool_or(F.contains(F.lower("s"), F.lit(g))).alias(f"g{j}") for j, g in enumerate(some)])
+            found = flags.where(" and ".join(f"g{j}" for j in range(len(some)))).select("rg_id")
+            out = found if out is None else out.join(found, "rg_id", "left_semi")
+        return out
+
     def regex(self, value: Any) -> _Plan:
         if not isinstance(value, str) or not self.e.has_trigrams:
             return _Plan(ALL, False)

@@ -1,8 +1,8 @@
 """The pruning index: tall tables keyed by path.
 
 ``string_postings`` (path, term, rg_id), ``numeric_stats`` (path, rg_id, imin, imax, dmin, dmax), ``strlen_stats``, ``null_stats``
-(path, rg_id, has_null, is_present), ``trigrams`` (path, gram, rg_id), ``promoted``/``buckets`` of adaptive paths and the
-``path_directory``.  Each is a lazy plan over the observations, so a query builds only what it asks for; a
+(path, rg_id, has_null, is_present), ``trigrams`` (path, gram, rg_id), ``promoted``/``buckets`` of adaptive paths (with the
+segment they are of, as a term may be promoted in some segments only) and the ``path_directory``.  Each is a lazy plan over the observations, so a query builds only what it asks for; a
 written index (sources.store) serves the same tables from Parquet, sorted by path for row-group skipping.
 """
 
@@ -22,12 +22,12 @@ from quernlake.operators import shred as shredding
 from quernlake.operators.observe import observed
 from quernlake.plans import jsonpath
 from quernlake.plans.config import Config
+from quernlake.sources import scratch
 
 EXACT_MODE, BLOOM_ONLY, ADAPTIVE = "exact", "bloom-only", "adaptive-hybrid"
 TYPES = {"string": 1, "int": 2, "float": 4, "bool": 8, "null": 16}
 TYPE_NAMES = ("string", "int", "float", "bool", "null")
 TABLES = ("row_groups", "path_directory", "string_postings", "promoted", "buckets", "numeric_stats", "strlen_stats", "null_stats", "trigrams", "hll", "doc_id_map")
-RG_LIMIT = 1_000_000
 
 
 def bucket(term: Column, n: int) -> Column:
@@ -55,7 +55,7 @@ def null_stats(obs: DataFrame) -> DataFrame:
 def trigrams(obs: DataFrame, config: Config) -> DataFrame:
     """(path, gram, rg_id) of the paths with full-text search, from strings and booleans."""
     rows = obs.where("kind in ('string', 'bool')").where(F.octet_length("s") >= config.trigram_min_length)
-    rows = rows.where(full_text(F.col("path"), config)).select("path", "rg_id", "s").distinct()
+    rows = rows.where(full_text(F.col("path"), config))
     return rows.select("path", "rg_id", F.explode(ngrams(F.col("s"))).alias("gram")).distinct().select("path", "gram", "rg_id")
 
 
@@ -133,6 +133,8 @@ class Index:
     rejects: DataFrame | None = None
     skipped: DataFrame | None = None
     bloom: Bloom | None = None
+    raw: DataFrame | None = None
+    written: bool = False  # whether the tables are stored, so that reading them is cheaper than making them
     _entries: dict[str, Entry | None] = field(default_factory=dict)
 
     def table(self, name: str, path: str | None = None) -> DataFrame:
@@ -154,6 +156,11 @@ class Index:
     def representations(self) -> dict[tuple[str, str], str]:
         return {(r.path, r.alias): r.target for r in self.config.representations}
 
+    def discard(self) -> None:
+        """Deletes the intermediate table of :func:`build_index`; the index isn't to be asked any more."""
+        if self.raw is not None:
+            scratch.discard(self.raw)
+
     def header(self) -> DataFrame:
         """(num_row_groups, num_docs, num_paths)."""
         docs = self.table("doc_id_map").agg(F.count("*").alias("num_docs"))
@@ -197,10 +204,10 @@ def _provider(spark: SparkSession, observe: Callable[[str | None], DataFrame], r
             return postings
         hot = promoted_terms(postings, config, n)
         if name == "promoted":
-            return postings.join(hot.select("path", "term"), ["path", "term"], "left_semi")
+            return postings.join(hot.select("path", "term"), ["path", "term"], "left_semi").withColumn("segment", F.lit(0))
         if name == "buckets":
             cold = postings.join(hot.select("path", "term"), ["path", "term"], "left_anti")
-            return cold.select("path", bucket(F.col("term"), config.adaptive_buckets).alias("bucket"), "rg_id").distinct()
+            return cold.select("path", bucket(F.col("term"), config.adaptive_buckets).alias("bucket"), "rg_id").distinct().withColumn("segment", F.lit(0))
         raise KeyError(name)
 
     return provide
@@ -227,22 +234,23 @@ def index_table(df: DataFrame, rg_id: Column, row_groups: DataFrame, num_row_gro
 def build_index(docs: DataFrame, num_row_groups: int, config: Config | None = None, keep=None, parser=None) -> Index:
     """Index of JSON documents (rg_id, doc_seq, json and, if ids aren't positions, doc_id).
 
-    ``keep`` stores the observations, which all tables are made of, once: a function from DataFrame to DataFrame
-    (by default they are cached).
+    ``keep`` stores what the one pass over the texts gives, which all tables are made of: a function from DataFrame to
+    DataFrame (by default a table in the shared folder, which :meth:`Index.discard` deletes).
     """
     config = config or Config()
-    if not 0 < num_row_groups <= RG_LIMIT:
-        raise ValueError(f"the number of row groups must be from 1 to {RG_LIMIT}")
+    if num_row_groups <= 0:
+        raise ValueError("the number of row groups must be positive")
     spark = docs.sparkSession
     beyond = docs.where((F.col("rg_id") >= num_row_groups) | (F.col("rg_id") < 0)).limit(1).count()
     if beyond:
         raise ValueError("a document lies beyond the last row group")
-    shredded = shredding.shred(docs, config, parser)
+    shredded = shredding.shred(docs, config, parser, keep or scratch.saved)
     shredding.raise_first(shredded, config)
-    obs = keep(shredded.observations) if keep else shredded.observations.cache()
+    # where every failure is hard, no document is rejected from here on
+    obs = shredded.all_ if shredding.all_hard(config) else shredded.observations
     row_groups = spark.range(num_row_groups).select(F.col("id").alias("rg_id"))
     ids = docs.select(F.col("rg_id").cast("bigint"), F.col("doc_id").cast("bigint")).distinct() if "doc_id" in docs.columns else None
-    return Index(config, num_row_groups, spark, _provider(spark, lambda _: obs, row_groups, num_row_groups, config, ids), shredded.rejects, shredded.skipped_representations)
+    return Index(config, num_row_groups, spark, _provider(spark, lambda _: obs, row_groups, num_row_groups, config, ids), shredded.rejects, shredded.skipped_representations, raw=shredded.raw)
 
 
 def type_names(types: int) -> list[str]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,12 +65,9 @@ def experiment(spark: SparkSession, path: str, rg_size: int, config: Config | No
     config = config or Config()
     lines = jsonl_documents(spark, path, rg_size)
     total = lines.count()
-    docs = lines if sample is None or on_error == "abort" else lines
+    docs = lines.where(F.col("doc_seq") < sample) if sample is not None and on_error == "abort" else lines
     shredded = shredding.shred(docs, config)
     if on_error == "abort":
-        if sample is not None:
-            docs = docs.where(F.col("doc_seq") < sample)
-            shredded = shredding.shred(docs, config)
         shredding.raise_first(shredded, config)
     rejects = shredded.rejects.cache()
     accepted = accepted_positions(docs, rejects, rg_size)
@@ -85,8 +82,6 @@ def experiment(spark: SparkSession, path: str, rg_size: int, config: Config | No
     summary = {"lines": total, "documents": n, "rejected": bad, "row_groups": rgs, "paths": 0}
     if not n:
         return Report(status, summary, failures, [])
-    from dataclasses import replace
-
     index = build_index(accepted, rgs, replace(config, parser_failure=SOFT, numeric_failure=SOFT))
     rows = [r.asDict() for r in path_report(index).orderBy("path").collect()]
     summary |= {"paths": len(rows), "bloom_occupancy": round(index.build_bloom().occupancy, 6)}

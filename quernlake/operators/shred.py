@@ -10,6 +10,7 @@ integers, ``d`` any number as a double.  Objects, arrays and nulls have a row to
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 from collections.abc import Iterator
@@ -129,11 +130,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 @dataclass
 class Shredded:
-    """Observations of the accepted documents, and (doc_seq, layer, path, value, message) of the others."""
+    """Observations of the accepted documents, and (doc_seq, layer, path, value, message) of the others; ``all_``: the
+    observations where it is known that no document is rejected; ``raw``: what the pass over the texts gave."""
 
     observations: DataFrame
     rejects: DataFrame
     skipped_representations: DataFrame
+    all_: DataFrame
+    raw: DataFrame
 
 
 def epoch_ms(column: Column, kind: str) -> Column:
@@ -196,56 +200,72 @@ def companions(observations: DataFrame, config: Config) -> tuple[DataFrame | Non
     return made, failed
 
 
+FLOAT, HUGE, BOTH = 1, 2, 3  # what a document has of a path: a float, an integer beyond 2^53, both
+
+
 def _promotions(good: DataFrame) -> DataFrame:
     """Documents that the ordered numeric promotion rejects.  A path's first number decides whether it holds integers
     only; a float later makes it mixed, unless an integer so far is beyond 2^53, and a mixed path takes no
-    such integer.  Only paths that hold both kinds are folded, each in one group, in document order."""
+    such integer.
+
+    So of each path the first accepted document with either decides, and those with the other are rejected, as are those
+    with both.  The first documents are aggregated path by path.  Only where one that decides is rejected for another
+    path does the order of documents matter across paths: then, and then only, they are read in order.
+    """
     numbers = good.where("kind in ('int', 'float')")
-    large = (F.col("kind") == "int") & ((F.col("i") > EXACT) | (F.col("i") < -EXACT))
-    risky = numbers.groupBy("path").agg(F.max(large).alias("large"), F.max(F.col("kind") == "float").alias("floats")).where("large and floats").select("path")
-    events = numbers.join(F.broadcast(risky), "path", "left_semi").select("path", "doc_seq", "kind", large.alias("huge"), F.lit(1).alias("one"))
-
-    def fold(pdf):
-        import pandas as pd
-
-        out, gone = [], set()
-        state: dict[str, list] = {}
-        for seq, rows in pdf.sort_values("doc_seq", kind="stable").groupby("doc_seq", sort=True):
-            trial = {p: list(state[p]) for p in rows["path"].unique() if p in state}
-            why = None
-            for p, kind, huge in zip(rows["path"], rows["kind"], rows["huge"]):
-                mixed, big = trial.get(p, [None, False])
-                if mixed is None:
-                    mixed = kind == "float"
-                if kind == "float" and not mixed:
-                    if big:
-                        why = (p, "an integer beyond 2^53 stands in the way of a float")
-                    mixed = True
-                if mixed and huge:
-                    why = why or (p, "the integer is beyond 2^53 on a path of floats")
-                trial[p] = [mixed, big or huge]
-                if why:
-                    break
-            if why:
-                out.append((int(seq), *why))
-                gone.add(seq)
-            else:
-                state.update(trial)
-        return pd.DataFrame(out, columns=["doc_seq", "path", "message"])
-
-    # one group, as a rejected document takes all its paths with it; it holds such paths only
-    return events.groupBy("one").applyInPandas(fold, "doc_seq bigint, path string, message string")
-
-
-def shred(docs: DataFrame, config: Config | None = None, parser=None) -> Shredded:
+    huge = (F.col("kind") == "int") & ((F.col("i") > EXACT) | (F.col("i") < -EXACT))
+    risky = numbers.groupBy("path").agg(F.max(huge).alias("large"), F.max(F.col("kind") == "float").alias("floats")).where("large and floats").select("path")
+    events = numbers.where((F.col("kind") == "float") | huge).join(risky, "path", "left_semi")
+    events = events.groupBy("path", "doc_seq").agg(F.bit_or(F.when(huge, HUGE).otherwise(FLOAT)).alias("has"))
+    both = events.where(F.col("has") == BOTH)
+    single = events.join(both.select("doc_seq"), "doc_seq", "left_anti")
+    first = single.groupBy("path").agg(F.min("doc_seq").alias("doc_seq"), F.min_by("has", "doc_seq").alias("takes"))
+    other = single.join(first.select("path", "takes"), "path").where(F.col("has") != F.col("takes"))
+    # a document that decides and is rejected all the same
+    tangled = first.join(other.select("doc_seq").distinct(), "doc_seq", "left_semi").select(F.lit(True).alias("tangled")).distinct()
+    why = F.when(F.col("has") == FLOAT, "an integer beyond 2^53 stands in the way of a float").otherwise("the integer is beyond 2^53 on a path of floats")
+    rejected = both.union(other.select(*both.columns)).select("doc_seq", "path", why.alias("message"))
+    plain = rejected.withColumn("tangled", F.lit(True)).join(tangled, "tangled", "left_anti").drop("tangled")
+    ordered = single.withColumn("tangled", F.lit(True)).join(tangled, "tangled", "left_semi").select("doc_seq", "path", "has")
+    ordered = ordered.repartition(1).sortWithinPartitions("doc_seq", "path").mapInArrow(_in_order, "doc_seq bigint, path string, message string")
+    late = ordered.union(both.withColumn("tangled", F.lit(True)).join(tangled, "tangled", "left_semi").select("doc_seq", "path", why.alias("message")))
+    return plain.union(late).groupBy("doc_seq").agg(F.min(F.struct("path", "message")).alias("r")).select("doc_seq", "r.path", "r.message")
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads documents in order and remembers what each path takes; a rejected document decides nothing."""
+    takes: dict[str, int] = {}
+    doc: list[tuple[int, str, int]] = []
+
+    def judge() -> tuple[int, str, str] | None:
+        for seq, path, has in doc:
+            if takes.get(path, has) != has:
+                return seq, path, "an integer beyond 2^53 stands in the way of a float" if has == FLOAT else "the integer is beyond 2^53 on a path of floats"
+        takes.update((path, has) for _, path, has in doc)
+        return None
+
+    for batch in itertools.chain(batches, [None]):
+        out = []
+        for row in zip(*(c.to_pylist() for c in batch.columns)) if batch is not None else [(None, "", 0)]:
+            if doc and doc[0][0] != row[0]:
+                out.append(judge())
+                doc = []
+            doc.append(row)
+        rows = [r for r in out if r]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_seq", "path", "message"])
+
+
+def shred(docs: DataFrame, config: Config | None = None, parser=None, keep=None) -> Shredded:
     """Observations of ``docs`` (rg_id, doc_seq, json).  A null json is no document.
 
     Hard failure modes leave it to the caller to raise the first reject (:func:`raise_first`); soft ones drop the
-    document.  ``parser`` may turn the json column into one of strict JSON first.
+    document.  ``parser`` may turn the json column into one of strict JSON first; ``keep`` may store what the one pass
+    over the texts gives, which is read several times.
     """
     config = config or Config()
     rows = docs.select(F.col("rg_id").cast("bigint"), F.col("doc_seq").cast("bigint"), (parser(F.col("json")) if parser else F.col("json")).alias("json"))
     raw = rows.mapInArrow(_shred, FIELDS)
+    raw = keep(raw) if keep else raw
     bad = raw.where(F.col("kind").startswith(_REJECT))
     parts = F.split("s", "\x00")
     rejects = bad.select("rg_id", "doc_seq", F.substring("kind", 2, 20).alias("layer"), "path", parts[0].alias("value"), parts[1].alias("message"))
@@ -262,7 +282,12 @@ def shred(docs: DataFrame, config: Config | None = None, parser=None) -> Shredde
     numeric = late.select(F.lit(None).cast("bigint").alias("rg_id"), "doc_seq", F.lit(NUMERIC).alias("layer"), "path", F.lit(None).cast("string").alias("value"), "message")
     rejects = rejects.unionByName(numeric)
     gone = rejects.select("doc_seq").distinct()
-    return Shredded(good.join(gone, "doc_seq", "left_anti").select("rg_id", "doc_seq", "path", "kind", "s", "i", "d"), rejects, skipped.join(gone, "doc_seq", "left_anti"))
+    good = good.select("rg_id", "doc_seq", "path", "kind", "s", "i", "d")
+    return Shredded(good.join(gone, "doc_seq", "left_anti"), rejects, skipped.join(gone, "doc_seq", "left_anti"), good, raw)
+
+
+def all_hard(config: Config) -> bool:
+    return config.parser_failure == config.numeric_failure == HARD and all(r.failure_mode == HARD for r in config.representations)
 
 
 def raise_first(shredded: Shredded, config: Config) -> None:

@@ -111,15 +111,30 @@ def InSubnet(path: str, cidr: str, alias: str = "ipv4_int") -> list[Predicate]:
 
 # ---- text grammar ------------------------------------------------------------------------------------------
 
-_FORMS = (
-    (re.compile(r"(?is)^(.+?)\s+IS\s+NOT\s+NULL$"), "IS NOT NULL", None),
-    (re.compile(r"(?is)^(.+?)\s+IS\s+NULL$"), "IS NULL", None),
-    (re.compile(r"(?is)^(.+?)\s+NOT\s+IN\s*\((.*)\)$"), "NOT IN", "list"),
-    (re.compile(r"(?is)^(.+?)\s+IN\s*\((.*)\)$"), "IN", "list"),
-    (re.compile(r"(?is)^(.+?)\s+CONTAINS\s+(.+)$"), "CONTAINS", "one"),
-    (re.compile(r"(?is)^(.+?)\s+REGEX\s+(.+)$"), "REGEX", "one"),
-    (re.compile(r"(?s)^(.+?)\s*(!=|>=|<=|=|>|<)\s*(.+)$"), "", "one"),
-)
+_WORDS = {("IS", "NULL"): "IS NULL", ("IS", "NOT", "NULL"): "IS NOT NULL", ("IN",): "IN", ("NOT", "IN"): "NOT IN", ("CONTAINS",): "CONTAINS", ("REGEX",): "REGEX"}
+_SIGN = re.compile(r"[!<>]?=|[<>]")
+
+
+def _split(text: str) -> tuple[str, str, str] | None:
+    """(path, operator, operand) at the first operator after a path: signs, or words between blanks outside of brackets."""
+    at, depth = 0, 0
+    while at < len(text):
+        c = text[at]
+        depth += (c == "[") - (c == "]")
+        sign = _SIGN.match(text, at) if depth == 0 else None
+        if sign and at:
+            return text[:at].strip(), sign[0], text[sign.end() :].strip()
+        if depth == 0 and c.isspace():
+            words = text[at:].replace("(", " (").split(None, 3)
+            for n in (3, 2, 1):
+                op = _WORDS.get(tuple(w.upper() for w in words[:n]))
+                if op and len(words) >= n:
+                    rest = text[at:].lstrip()
+                    for w in words[:n]:
+                        rest = rest[len(w) :].lstrip()
+                    return text[:at].strip(), op, rest
+        at += 1
+    return None
 
 
 def parse_value(text: str, exact: bool = True) -> Any:
@@ -151,22 +166,17 @@ def parse_list(text: str, exact: bool = True) -> tuple:
 
 def parse_predicate(text: str, exact: bool = True) -> Predicate:
     """``$.path OP literal``.  Keywords are case-insensitive; the path must be of the supported subset."""
-    text = text.strip()
-    for form, op, kind in _FORMS:
-        m = form.match(text)
-        if not m:
-            continue
-        path = m[1].strip()
-        if not path.startswith("$"):
-            continue
-        path = jsonpath.canonical(path)
-        if kind is None:
-            return Predicate(path, op)
-        if kind == "list":
-            return Predicate(path, op, parse_list(m[2], exact))
-        if op:
-            return Predicate(path, op, parse_value(m[2], exact))
-        return Predicate(path, m[2], parse_value(m[3], exact))
+    found = _split(text.strip())
+    if found and found[0].startswith("$"):
+        path, op, operand = jsonpath.canonical(found[0]), found[1], found[2]
+        if op in ("IS NULL", "IS NOT NULL"):
+            if not operand:
+                return Predicate(path, op)
+        elif op in ("IN", "NOT IN"):
+            if operand[:1] == "(" and operand[-1:] == ")":
+                return Predicate(path, op, parse_list(operand[1:-1], exact))
+        elif operand:
+            return Predicate(path, op, parse_value(operand, exact))
     raise ValueError(f"can't read the predicate {text!r}")
 
 

@@ -1,8 +1,12 @@
-"""The registered queries of the pruning engine, with their twins in DuckDB's SQL.  Row groups are 100 keys each."""
+"""The registered queries of the pruning engine, with their twins in DuckDB's SQL.  Row groups are 100 keys each, or fewer
+where the tables' even spread would leave nothing to prune."""
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +18,12 @@ from quernlake.operators import index as ix
 from quernlake.operators import shred as shredding
 from quernlake.operators.evaluate import candidates, matching_doc_ids
 from quernlake.operators.index import Index, index_table
+from quernlake.operators.report import experiment
 from quernlake.operators.rows import filtered_rows, matching_documents, pruning
 from quernlake.plans.config import Config
-from quernlake.plans.predicates import EQ, GT, GTE, IN, LT, LTE, NE, NIN, Contains, InSubnet, IsNotNull, IsNull, Predicate, Regex, aliased
+from quernlake.plans.predicates import EQ, GT, GTE, IN, LT, LTE, NE, NIN, Contains, InSubnet, IsNotNull, IsNull, Predicate, Regex, aliased, parse_predicate
+from quernlake.sources import documents, scratch, store
+from quernlake.streaming.incremental import merged_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,57 +46,74 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def rg_of(key: str) -> Column:
-    return F.expr(f"{key} div {RG}").cast("bigint")
+def rg_of(key: str, rg: int = RG) -> Column:
+    return F.expr(f"{key} div {rg}").cast("bigint")
 
 
-def over(df: DataFrame, key: str, columns: list[str] | None = None, config: Config | None = None, count: bool = False) -> Index:
-    groups = df.select(rg_of(key).alias("rg_id")).distinct()
-    return index_table(df, rg_of(key), groups, groups.count() if count else 0, columns, config)
+def over(df: DataFrame, key: str, columns: list[str] | None = None, config: Config | None = None, count: bool = False, rg: int = RG) -> Index:
+    groups = df.select(rg_of(key, rg).alias("rg_id")).distinct()
+    return index_table(df, rg_of(key, rg), groups, groups.count() if count else 0, columns, config)
 
 
-def table_index(spark: SparkSession, sf_dir: str, table: str, config: Config | None = None, count: bool = False) -> Index:
-    return over(read(spark, sf_dir, table), KEYS[table], config=config, count=count)
+def table_index(spark: SparkSession, sf_dir: str, table: str, config: Config | None = None, count: bool = False, rg: int = RG) -> Index:
+    return over(read(spark, sf_dir, table), KEYS[table], config=config, count=count, rg=rg)
 
 
-def pruned(name: str, table: str, predicates: list[Predicate], sql: str, mode: str = "sound") -> None:
+#: What bench.py reports the pruning of: (table, predicates, mode, keys of a row group).
+PRUNED: dict[str, tuple[str, list[Predicate], str, int]] = {}
+
+
+def pruned(name: str, table: str, predicates: list[Predicate], sql: str, mode: str = "sound", rg: int = RG) -> None:
     """Registers the candidate row groups of a conjunction."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return candidates(table_index(spark, sf_dir, table), predicates, mode)
+        return candidates(table_index(spark, sf_dir, table, rg=rg), predicates, mode)
 
     run.__name__ = name
+    PRUNED[name] = (table, predicates, mode, rg)
     query(sql)(run)
 
 
-def _terms(table: str, where: str) -> str:
-    return f"SELECT DISTINCT {KEYS[table]} // {RG} AS rg_id FROM {table} WHERE {where}"
+def _terms(table: str, where: str, rg: int = RG) -> str:
+    return f"SELECT DISTINCT {KEYS[table]} // {rg} AS rg_id FROM {table} WHERE {where}"
+
+
+def _having(table: str, having: str, rg: int = RG) -> str:
+    return f"SELECT {KEYS[table]} // {rg} AS rg_id FROM {table} GROUP BY 1 HAVING {having}"
 
 
-def _having(table: str, having: str) -> str:
-    return f"SELECT {KEYS[table]} // {RG} AS rg_id FROM {table} GROUP BY 1 HAVING {having}"
+def none_of(name: str, table: str, predicates: list[Predicate]) -> None:
+    """Registers a conjunction that nothing can satisfy: how many of how many row groups are left."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = table_index(spark, sf_dir, table)
+        return candidates(index, predicates).agg(F.count("*").alias("kept")).crossJoin(index.table("row_groups").agg(F.count("*").alias("total")))
+
+    run.__name__ = name
+    query(f"SELECT 0 AS kept, count(DISTINCT {KEYS[table]} // {RG}) AS total FROM {table}")(run)
 
 
-pruned("eq_string", "orders", [EQ("$.o_orderstatus", "F")], _terms("orders", "o_orderstatus = 'F'"))
-pruned("eq_absent_term", "orders", [EQ("$.o_orderstatus", "Z")], _terms("orders", "o_orderstatus = 'Z'"))
+pruned("eq_string", "orders", [EQ("$.o_orderstatus", "F")], _terms("orders", "o_orderstatus = 'F'", 4), rg=4)
+none_of("eq_absent_term", "orders", [EQ("$.o_orderstatus", "Z")])
 pruned("eq_high_cardinality", "customer", [EQ("$.c_name", "Customer#000000042")], _terms("customer", "c_name = 'Customer#000000042'"))
-pruned("in_list", "orders", [IN("$.o_orderpriority", "1-URGENT", "2-HIGH")], _terms("orders", "o_orderpriority IN ('1-URGENT', '2-HIGH')"))
-pruned("in_mixed_list", "part", [IN("$.p_size", 11, 49)], _having("part", "(min(p_size) <= 11 AND max(p_size) >= 11) OR (min(p_size) <= 49 AND max(p_size) >= 49)"))
-pruned("eq_numeric", "lineitem", [EQ("$.l_quantity", 17)], _having("lineitem", "min(l_quantity) <= 17 AND max(l_quantity) >= 17"))
+pruned("in_list", "orders", [IN("$.o_orderpriority", "1-URGENT", "2-HIGH")], _terms("orders", "o_orderpriority IN ('1-URGENT', '2-HIGH')", 4), rg=4)
+pruned("in_mixed_list", "part", [IN("$.p_size", 11, 49)], _having("part", "(min(p_size) <= 11 AND max(p_size) >= 11) OR (min(p_size) <= 49 AND max(p_size) >= 49)", 4), rg=4)
+pruned("eq_numeric", "lineitem", [EQ("$.l_quantity", 17)], _having("lineitem", "min(l_quantity) <= 17 AND max(l_quantity) >= 17", 1), rg=1)
 pruned("eq_int_exact", "orders", [EQ("$.o_custkey", 42)], _having("orders", "min(o_custkey) <= 42 AND max(o_custkey) >= 42"))
-pruned("eq_int_fraction", "orders", [EQ("$.o_custkey", 42.5)], _having("orders", "false"))
+none_of("eq_int_fraction", "orders", [EQ("$.o_custkey", 42.5)])
 pruned("gt", "orders", [GT("$.o_totalprice", 495000.0)], _having("orders", "max(o_totalprice) > 495000"))
 pruned("gte", "lineitem", [GTE("$.l_extendedprice", 104500.0)], _having("lineitem", "max(l_extendedprice) >= 104500"))
 pruned("lt", "orders", [LT("$.o_totalprice", 2000.0)], _having("orders", "min(o_totalprice) < 2000"))
 pruned("lte", "customer", [LTE("$.c_acctbal", -990.0)], _having("customer", "min(c_acctbal) <= -990"))
 pruned("gt_int_fraction", "part", [GT("$.p_size", 48.5)], _having("part", "max(p_size) > 48"))
 pruned("gt_timestamp", "events", [GTE("$.ts", 1704153600000)], _having("events", "max(epoch_ms(ts)) >= 1704153600000"))
-pruned("ne_compat", "orders", [NE("$.o_orderstatus", "F")], _having("orders", "count(*) FILTER (o_orderstatus = 'F') = 0"), "compat")
-pruned("nin_compat", "part", [NIN("$.p_brand", "Brand#1", "Brand#2")], _having("part", "count(*) FILTER (p_brand IN ('Brand#1', 'Brand#2')) = 0"), "compat")
-pruned("ne_numeric_compat", "lineitem", [NE("$.l_linenumber", 3)], _having("lineitem", "NOT (min(l_linenumber) <= 3 AND max(l_linenumber) >= 3)"), "compat")
-pruned("ne_sound", "orders", [NE("$.o_orderstatus", "F")], _terms("orders", "o_orderstatus <> 'F'"))
-pruned("nin_sound", "part", [NIN("$.p_brand", "Brand#1", "Brand#2")], _terms("part", "p_brand NOT IN ('Brand#1', 'Brand#2')"))
-pruned("ne_numeric_sound", "part", [NE("$.p_size", 7)], _having("part", "min(p_size) <> 7 OR max(p_size) <> 7"))
+pruned("ne_compat", "orders", [NE("$.o_orderstatus", "F")], _having("orders", "count(*) FILTER (o_orderstatus = 'F') = 0", 4), "compat", rg=4)
+pruned("nin_compat", "part", [NIN("$.p_brand", "Brand#1", "Brand#2")], _having("part", "count(*) FILTER (p_brand IN ('Brand#1', 'Brand#2')) = 0", 4), "compat", rg=4)
+pruned("ne_numeric_compat", "lineitem", [NE("$.l_linenumber", 3)], _having("lineitem", "NOT (min(l_linenumber) <= 3 AND max(l_linenumber) >= 3)", 1), "compat", rg=1)
+pruned("ne_sound", "orders", [NE("$.o_orderstatus", "F")], _terms("orders", "o_orderstatus <> 'F'", 2), rg=2)
+_BRANDS = [f"Brand#{k}" for k in range(1, 21)]
+pruned("nin_sound", "part", [NIN("$.p_brand", *_BRANDS)], _terms("part", f"p_brand NOT IN ({', '.join(map(repr, _BRANDS))})", 4), rg=4)
+pruned("ne_numeric_sound", "part", [NE("$.p_size", 7)], _having("part", "min(p_size) <> 7 OR max(p_size) <> 7", 1), rg=1)
 pruned("and_rg", "orders", [EQ("$.o_orderstatus", "F"), GTE("$.o_totalprice", 495000.0), IN("$.o_orderpriority", "1-URGENT", "5-LOW")],
        " INTERSECT ".join([_terms("orders", "o_orderstatus = 'F'"), _having("orders", "max(o_totalprice) >= 495000"), _terms("orders", "o_orderpriority IN ('1-URGENT', '5-LOW')")]))
 pruned("no_predicate", "orders", [], _terms("orders", "true"))
@@ -120,10 +144,10 @@ def is_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- text --------------------------------------------------------------------------------------------------
 
-_GRAMS = "SELECT DISTINCT {key} // 100 AS rg, g FROM {table}, unnest(list_distinct(list_transform(range(1, greatest(length({col}) - 1, 1)), lambda i: substring(lower({col}), i, 3)))) AS u(g)"
+_GRAMS = "SELECT DISTINCT {key} // {rg} AS rg, g FROM {table}, unnest(list_distinct(list_transform(range(1, greatest(length({col}) - 1, 1)), lambda i: substring(lower({col}), i, 3)))) AS u(g)"
 
 
-def _all_grams(table: str, column: str, literals: list[str]) -> str:
+def _all_grams(table: str, column: str, literals: list[str], rg: int = RG) -> str:
     """Row groups that have all trigrams of one of the literals."""
     parts = []
     for x in literals:
@@ -131,13 +155,13 @@ def _all_grams(table: str, column: str, literals: list[str]) -> str:
         grams = sorted({x[k : k + 3] for k in range(len(x) - 2)})
         listed = ", ".join("'" + g.replace("'", "''") + "'" for g in grams)
         parts.append(f"SELECT rg FROM grams WHERE g IN ({listed}) GROUP BY rg HAVING count(DISTINCT g) = {len(grams)}")
-    return f"WITH grams AS ({_GRAMS.format(key=KEYS[table], table=table, col=column)}) SELECT DISTINCT rg AS rg_id FROM ({' UNION ALL '.join(parts)})"
+    return f"WITH grams AS ({_GRAMS.format(key=KEYS[table], table=table, col=column, rg=rg)}) SELECT DISTINCT rg AS rg_id FROM ({' UNION ALL '.join(parts)})"
 
 
-pruned("contains_candidates", "part", [Contains("$.p_name", "GREEN")], _all_grams("part", "p_name", ["green"]))
+pruned("contains_candidates", "part", [Contains("$.p_name", "RING")], _all_grams("part", "p_name", ["ring"], 4), rg=4)
 pruned("contains_documents", "documents", [Contains("$.text", "pathetic")], _all_grams("documents", "text", ["pathetic"]))
 pruned("contains_short_literal", "part", [Contains("$.p_name", "ab")], _terms("part", "true"))
-pruned("regex_candidates", "customer", [Regex("$.c_mktsegment", "BUILDING|MACHIN.*")], _all_grams("customer", "c_mktsegment", ["building", "machin"]))
+pruned("regex_candidates", "customer", [Regex("$.c_mktsegment", "BUILDING|MACHIN.*")], _all_grams("customer", "c_mktsegment", ["building", "machin"], 4), rg=4)
 pruned("regex_without_literal", "part", [Regex("$.p_name", "[a-z]+")], _terms("part", "true"))
 pruned("url_contains", "pages", [Contains("$.url", "casino-win")], _all_grams("pages", "url", ["casino-win"]))
 
@@ -202,7 +226,7 @@ def null_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return over(_flagged(spark, sf_dir), "o_orderkey").table("null_stats", "$.maybe").drop("path")
 
 
-@query("WITH g AS (" + _GRAMS.format(key="p_partkey", table="part", col="p_type") + ") SELECT g AS gram, count(*) AS row_groups FROM g GROUP BY g")
+@query("WITH g AS (" + _GRAMS.format(key="p_partkey", table="part", col="p_type", rg=RG) + ") SELECT g AS gram, count(*) AS row_groups FROM g GROUP BY g")
 def trigram_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_index(spark, sf_dir, "part").table("trigrams", "$.p_type").groupBy("gram").agg(F.count("*").alias("row_groups"))
 
@@ -218,23 +242,25 @@ def path_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_index(spark, sf_dir, "customer").table("path_directory").select("path", "types", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("len_min", "len_max")], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("dmin", "dmax")], F.coalesce("numeric", F.lit("")).alias("numeric"))
 
 
-@query("SELECT '$.' || c AS path, abs(est) < 5 AS close FROM (VALUES ('c_name', 0), ('c_mktsegment', 0)) v(c, est)")
+@query("SELECT '$.c_name' AS path, count(DISTINCT c_name) AS n, true AS close FROM customer UNION ALL SELECT '$.c_mktsegment', count(DISTINCT c_mktsegment), true FROM customer")
 def distinct_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the sketches' estimates are within 5 % of the exact counts."""
+    """Exact counts, and whether the sketches' estimates are within 5 % of them."""
     index = table_index(spark, sf_dir, "customer")
     exact = index.table("string_postings").groupBy("path").agg(F.count_distinct("term").alias("n"))
     est = index.table("hll").select("path", sketches.sketch_estimate("sketch").alias("e"))
-    return exact.join(est, "path").select("path", (F.abs(F.col("e") - F.col("n")) <= 0.05 * F.col("n")).alias("close"))
+    return exact.join(est, "path").select("path", "n", (F.abs(F.col("e") - F.col("n")) <= 0.05 * F.col("n")).alias("close"))
 
 
-@query("SELECT count(DISTINCT c_name) AS terms, true AS all_found FROM customer")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
 def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every term is found in the Bloom filter of all terms."""
-    df = read(spark, sf_dir, "customer").select("c_name").distinct()
-    bloom = sketches.build_bloom(df, "c_name", 65536, 5)
-    on = F.lit(sorted(bloom.on))
-    hit = F.forall(sketches.bloom_positions(F.col("c_name"), 65536, 5), lambda p: F.array_contains(on, p))
-    return df.agg(F.count("*").alias("terms"), F.min(hit).alias("all_found"))
+    """Customers whose names pass the Bloom filter of one segment's names, which are all different."""
+    df = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    bits = 1 << 23
+    bloom = sketches.build_bloom(df.where("c_mktsegment = 'BUILDING'"), "c_name", bits, 7)
+    on = df.sparkSession.createDataFrame([(p,) for p in sorted(bloom.on)], "p bigint")
+    probes = df.select("c_custkey", "c_name", F.explode(sketches.bloom_positions(F.col("c_name"), bits, 7)).alias("p"))
+    missing = probes.join(on, "p", "left_anti").select("c_custkey").distinct()
+    return df.join(missing, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 _ADAPTIVE = Config(cardinality_threshold=10, adaptive_cap=8, adaptive_min_coverage=2, adaptive_ceiling=0.8, adaptive_buckets=16)
@@ -247,20 +273,32 @@ def adaptive_promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.promoted_terms(index.table("string_postings", "$.p_name"), _ADAPTIVE, index.num_row_groups).select("term", "coverage")
 
 
-@query()
+@query(f"""WITH cov AS (SELECT p_name AS term, count(DISTINCT p_partkey // {RG}) AS coverage FROM part GROUP BY 1), n AS (SELECT count(DISTINCT p_partkey // {RG}) AS n FROM part),
+ranked AS (SELECT term, coverage, row_number() OVER (ORDER BY coverage DESC, term) AS r FROM cov, n WHERE coverage >= 2 AND coverage / n.n <= 0.8) SELECT term, coverage FROM cov WHERE term NOT IN (SELECT term FROM ranked WHERE r <= 8)""")
 def adaptive_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table_index(spark, sf_dir, "part", _ADAPTIVE, count=True).table("buckets", "$.p_name")
+    """Of each term that isn't promoted, the row groups that its bucket has: all of them."""
+    index = table_index(spark, sf_dir, "part", _ADAPTIVE, count=True)
+    postings, hot = index.table("string_postings", "$.p_name"), index.table("promoted", "$.p_name").select("term").distinct()
+    cold = postings.join(hot, "term", "left_anti").withColumn("bucket", ix.bucket(F.col("term"), _ADAPTIVE.adaptive_buckets))
+    held = cold.join(index.table("buckets", "$.p_name").select("bucket", "rg_id"), ["bucket", "rg_id"], "left_semi")
+    return held.groupBy("term").agg(F.count("*").alias("coverage"))
 
 
-@query("SELECT true AS superset, count(DISTINCT o_orderkey // 100) AS exact_groups FROM orders WHERE o_orderpriority = '2-HIGH'")
+@query(_terms("orders", "o_orderpriority = '2-HIGH'", 4))
 def adaptive_superset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact candidates are within those of an adaptive path."""
+    """The exact row groups that an adaptive path's candidates hold: all."""
     df = read(spark, sf_dir, "orders")
     term = EQ("$.o_orderpriority", "2-HIGH")
-    exact = candidates(over(df, "o_orderkey", ["o_orderpriority"]), [term])
-    loose = candidates(over(df, "o_orderkey", ["o_orderpriority"], Config(cardinality_threshold=1, adaptive_cap=2, adaptive_buckets=4), count=True), [term])
-    flag = exact.join(loose.withColumn("there", F.lit(True)), "rg_id", "left")
-    return flag.agg(F.min(F.coalesce("there", F.lit(False))).alias("superset"), F.count("*").alias("exact_groups"))
+    exact = candidates(over(df, "o_orderkey", ["o_orderpriority"], rg=4), [term])
+    loose = candidates(over(df, "o_orderkey", ["o_orderpriority"], Config(cardinality_threshold=1, adaptive_cap=2, adaptive_buckets=4), count=True, rg=4), [term])
+    return exact.join(loose, "rg_id", "left_semi")
+
+
+@query(_terms("orders", "o_orderpriority = '2-HIGH'", 4))
+def adaptive_promoted_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A promoted term's candidates are exact."""
+    config = Config(cardinality_threshold=1, adaptive_cap=5, adaptive_buckets=4)
+    return candidates(table_index(spark, sf_dir, "orders", config, count=True, rg=4), [EQ("$.o_orderpriority", "2-HIGH")])
 
 
 @query(f"SELECT count(DISTINCT p_partkey // {RG}) AS n FROM part")
@@ -276,7 +314,7 @@ def front_coding_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.front_decoded(sketches.front_coded(terms, "path", block=4), "path").select("term")
 
 
-@query("SELECT count(DISTINCT c_custkey // 100) AS num_row_groups, count(DISTINCT c_custkey // 100) AS num_docs, 5::BIGINT AS num_paths FROM customer")
+@query("SELECT count(DISTINCT c_custkey // 100) AS num_row_groups, count(DISTINCT c_custkey // 100) AS num_docs, (SELECT count(*) FROM (DESCRIBE customer)) AS num_paths FROM customer")
 def header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_index(spark, sf_dir, "customer", count=True).header()
 
@@ -341,14 +379,14 @@ def json_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_range_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _props(spark, sf_dir)
     n = docs.agg(F.max("rg_id")).first()[0] + 1
-    return candidates(ix.build_index(docs, n, keep=lambda df: df), [GTE("$.k", 98), LTE("$.k", 0)])
+    return candidates(ix.build_index(docs, n), [GTE("$.k", 98), LTE("$.k", 0)])
 
 
 @query("SELECT event_id AS doc_seq FROM events WHERE json_extract(props, '$.k')::BIGINT = 42")
 def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _props(spark, sf_dir)
     n = docs.agg(F.max("rg_id")).first()[0] + 1
-    index = ix.build_index(docs, n, keep=lambda df: df)
+    index = ix.build_index(docs, n)
     return matching_documents(docs, index, [EQ("$.k", 42)]).select("doc_seq")
 
 
@@ -417,8 +455,100 @@ def alias_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(index, [LT("$.c_acctbal", aliased("thousands", 0)), GTE("$.c_acctbal", aliased("thousands", 9000))])
 
 
-@query("SELECT p_partkey // 100 AS rg_id FROM part GROUP BY 1 HAVING max(167772160 + (p_size % 4) * 65536 + p_size) >= 167837696 AND min(167772160 + (p_size % 4) * 65536 + p_size) <= 167903231")
+@query("SELECT p_partkey // 2 AS rg_id FROM part GROUP BY 1 HAVING max(167772160 + (p_size % 4) * 65536 + p_size) >= 167837696 AND min(167772160 + (p_size % 4) * 65536 + p_size) <= 167903231")
 def in_subnet(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("10."), F.col("p_size") % 4, F.lit(".0."), "p_size").alias("ip"))
-    index = over(df, "p_partkey", ["ip"], Config().with_representation("$.ip", "ipv4_int", "ipv4_to_int"))
+    index = over(df, "p_partkey", ["ip"], Config().with_representation("$.ip", "ipv4_int", "ipv4_to_int"), rg=2)
     return candidates(index, InSubnet("$.ip", "10.1.0.0/16"))
+
+
+# ---- written indexes, sources, text grammar, reports ------------------------------------------------------------
+
+
+def stored_index(spark: SparkSession, sf_dir: str, table: str, columns: list[str], config: Config | None = None, rg: int = 4) -> Index:
+    """The index of a table, written once in the shared folder and read by whoever asks."""
+
+    def build() -> Index:
+        df = read(spark, sf_dir, table)
+        n = df.agg(F.max(rg_of(KEYS[table], rg))).first()[0]
+        return replace(over(df, KEYS[table], columns, config, count=True, rg=rg), num_row_groups=0 if n is None else n + 1)
+
+    name = f"{table}-{rg}" + (f"-{zlib.crc32(config.to_json().encode()):08x}" if config else "")
+    return store.kept_index(spark, f"{sf_dir}/{table}.parquet", name, build, f"{scratch.shared_dir(spark)}/indexes")
+
+
+def written(name: str, table: str, columns: list[str], predicates: list[Predicate], sql: str, config: Config | None = None) -> None:
+    """Registers the candidate row groups of a conjunction, by a written index."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return candidates(stored_index(spark, sf_dir, table, columns, config), predicates)
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_ORDERS, _ALIASED = ["o_orderstatus", "o_orderpriority", "o_totalprice", "o_custkey"], Config().with_representation("$.c_name", "lower", "to_lower")
+written("written_eq", "orders", _ORDERS, [EQ("$.o_orderstatus", "F")], _terms("orders", "o_orderstatus = 'F'", 4))
+written("written_in", "orders", _ORDERS, [IN("$.o_orderpriority", "1-URGENT", "2-HIGH")], _terms("orders", "o_orderpriority IN ('1-URGENT', '2-HIGH')", 4))
+written("written_range", "orders", _ORDERS, [GT("$.o_totalprice", 400000.0), LT("$.o_custkey", 300)], _having("orders", "max(o_totalprice) > 400000 AND min(o_custkey) < 300", 4))
+written("written_contains", "part", ["p_name", "p_type"], [Contains("$.p_name", "RING")], _all_grams("part", "p_name", ["ring"], 4))
+written("written_regex", "part", ["p_name", "p_type"], [Regex("$.p_type", "ECON.*|PROMO")], _all_grams("part", "p_type", ["econ", "promo"], 4))
+written("written_alias", "customer", ["c_name"], [EQ("$.c_name", aliased("lower", "customer#000000042"))], _terms("customer", "lower(c_name) = 'customer#000000042'", 4), _ALIASED)
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'ring') AND p_type = 'PROMO'")
+def written_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact rows of the row groups that a written index leaves."""
+    index = stored_index(spark, sf_dir, "part", ["p_name", "p_type"])
+    return filtered_rows(read(spark, sf_dir, "part"), rg_of("p_partkey", 4), index, [Contains("$.p_name", "ring"), EQ("$.p_type", "PROMO")]).select("p_partkey", "p_name")
+
+
+@query("SELECT CASE WHEN p_partkey % 2 = 0 THEN p_partkey // 8 ELSE (SELECT max(p_partkey) FROM part) // 8 + 1 + p_partkey // 8 END AS rg_id FROM part WHERE p_name = 'hot ring' GROUP BY 1")
+def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A term over two segments, parts of even and of odd keys: the exact row groups that the merged index holds."""
+    df, source = read(spark, sf_dir, "part"), f"{sf_dir}/part.parquet"
+    n = (df.agg(F.max("p_partkey")).first()[0] or 0) // 8 + 1
+    mark = zlib.crc32(repr((source, n, df.count())).encode())
+    folder = f"{scratch.shared_dir(spark)}/indexes/part-segments-{mark:08x}"
+    for k in (0, 1):
+        if not store.exists(spark, f"{folder}/segment-{k:012d}/manifest.json"):
+            some = df.where(F.col("p_partkey") % 2 == k)
+            index = replace(over(some, "p_partkey", ["p_name"], Config(cardinality_threshold=10, adaptive_cap=30, adaptive_min_coverage=2, adaptive_buckets=64), count=True, rg=8), num_row_groups=n)
+            store.write_index(index, f"{folder}/segment-{k:012d}")
+    loose = candidates(merged_index(spark, folder), [EQ("$.p_name", "hot ring")])
+    exact = df.where("p_name = 'hot ring'").select((F.expr("p_partkey div 8") + F.when(F.col("p_partkey") % 2 == 1, n).otherwise(0)).alias("rg_id")).distinct()
+    return exact.join(loose, "rg_id", "left_semi")
+
+
+@query("SELECT props AS json, count(*) AS n FROM events WHERE json_extract(props, '$.k')::BIGINT >= 90 GROUP BY 1")
+def data_set_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a folder of several Parquet files, by their row groups."""
+    folder = f"{scratch.shared_dir(spark)}/data-sets/{uuid.uuid4().hex}"
+    df = read(spark, sf_dir, "events").select("props", (F.col("event_id") % 4).alias("part"))
+    df.repartition("part").write.partitionBy("part").parquet(folder)
+    docs, n = documents.parquet_documents(spark, f"{folder}/part=*", "props")
+    found = matching_documents(docs, ix.build_index(docs, n), [GTE("$.k", 90)])
+    return found.groupBy("json").agg(F.count("*").alias("n"))
+
+
+@query("SELECT '$.k' AS path, 'int' AS types, 'exact' AS mode, (SELECT count(*) FROM events) AS documents UNION ALL SELECT '$', '', 'exact', (SELECT count(*) FROM events)")
+def experiment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report over JSON lines."""
+    folder = f"{scratch.shared_dir(spark)}/data-sets/{uuid.uuid4().hex}"
+    read(spark, sf_dir, "events").select("props").write.text(folder)
+    found = experiment(spark, folder, RG)
+    return spark.createDataFrame([(p["path"], p["types"], p["mode"], found.summary["documents"]) for p in found.paths], "path string, types string, mode string, documents bigint")
+
+
+pruned("text_grammar", "orders", [parse_predicate("$.o_orderstatus in ('F', 'P')"), parse_predicate("$['o_totalprice']>=400000"), parse_predicate("$.o_orderpriority NOT IN (\"5-LOW\")")],
+       " INTERSECT ".join([_terms("orders", "o_orderstatus IN ('F', 'P')", 4), _having("orders", "max(o_totalprice) >= 400000", 4), _terms("orders", "o_orderpriority <> '5-LOW'", 4)]), rg=4)
+
+
+@query("WITH m AS (SELECT min(p_partkey) AS m FROM part) SELECT p_partkey AS doc_seq FROM part, m WHERE (p_partkey % 3 < 2 AND p_partkey % 3 <> m % 3) OR (p_partkey % 5 < 2 AND p_partkey % 5 <> m % 5)")
+def promotion_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Floats and integers beyond 2^53 on two paths: the first document decides for both."""
+    big = "9007199254740993"
+    a = F.when(F.col("p_partkey") % 3 == 0, "1.5").when(F.col("p_partkey") % 3 == 1, big).otherwise("1")
+    b = F.when(F.col("p_partkey") % 5 == 0, big).when(F.col("p_partkey") % 5 == 1, "2.5").otherwise("1")
+    docs = read(spark, sf_dir, "part").select(rg_of("p_partkey").alias("rg_id"), F.col("p_partkey").alias("doc_seq"), F.concat(F.lit('{"a":'), a, F.lit(',"b":'), b, F.lit("}")).alias("json"))
+    return shredding.shred(docs, Config(numeric_failure="soft"), keep=scratch.saved).rejects.select("doc_seq")

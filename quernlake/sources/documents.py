@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import os
-from urllib.parse import urlparse
+from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,45 +16,106 @@ from pyspark.sql.window import Window
 
 from quernlake.operators.observe import observed
 
+_FOOTER = "file string, column boolean, rows array<bigint>"
+FILES = 64  # files whose footers a task reads
+
+
+def _opened(uri: str, options: dict[str, str]) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system of a Hadoop path, and the path in it; also in a task, which has no JVM to ask."""
+    u = urlparse(uri)
+    if u.scheme in ("s3", "s3a", "s3n"):
+        endpoint = urlparse(options.get("fs.s3a.endpoint", ""))
+        keys = {"access_key": options.get("fs.s3a.access.key"), "secret_key": options.get("fs.s3a.secret.key"), "region": options.get("fs.s3a.endpoint.region"), "endpoint_override": endpoint.netloc or endpoint.path or None, "scheme": endpoint.scheme or None}
+        return pafs.S3FileSystem(**{k: v for k, v in keys.items() if v}), f"{u.netloc}/{u.path.lstrip('/')}"
+    if u.scheme in ("", "file"):
+        return pafs.LocalFileSystem(), unquote(u.path) if u.scheme else uri
+    return pafs.FileSystem.from_uri(uri)
+
+
+def _options(spark: SparkSession) -> dict[str, str]:
+    """The S3 settings of the session, for tasks."""
+    conf = spark._jsc.hadoopConfiguration()
+    names = ("fs.s3a.endpoint", "fs.s3a.endpoint.region", "fs.s3a.access.key", "fs.s3a.secret.key")
+    return {n: conf.get(n) for n in names if conf.get(n)}
+
+
+def arrow_file(spark: SparkSession, file: str) -> tuple[pafs.FileSystem, str]:
+    return _opened(file, _options(spark))
+
+
+def _footers(column: str, options: dict[str, str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files, there, rows = batch.column(0).to_pylist(), [], []
+            for file in files:
+                fs, path = _opened(file, options)
+                with fs.open_input_file(path) as f:
+                    meta = pq.read_metadata(f)
+                there.append(column in meta.schema.to_arrow_schema().names)
+                rows.append([meta.row_group(k).num_rows for k in range(meta.num_row_groups)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(there), pa.array(rows, pa.list_(pa.int64()))], names=["file", "column", "rows"])
+
+    return run
+
+
+def _groups(column: str, options: dict[str, str]):
+    """The documents of row groups: each task reads the column's chunks of its own ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, k, rg, first in zip(*(c.to_pylist() for c in batch.columns)):
+                fs, path = _opened(file, options)
+                with fs.open_input_file(path) as f:
+                    for part in pq.ParquetFile(f).iter_batches(row_groups=[k], columns=[column], batch_size=8192):
+                        text = part.column(0).cast(pa.string())
+                        seq = pa.array(range(first, first + len(text)), pa.int64())
+                        first += len(text)
+                        some = pc.is_valid(text)
+                        yield pa.RecordBatch.from_arrays([pa.array([rg] * len(text), pa.int64()), seq, text], names=["rg_id", "doc_seq", "json"]).filter(some)
+
+    return run
+
 
 @observed("read_parquet")
-def parquet_documents(spark: SparkSession, file: str, column: str) -> tuple[DataFrame, int]:
-    """((rg_id, doc_seq, json) of a file's JSON column by its real row groups, their number).
+def parquet_documents(spark: SparkSession, source: str | list[str], column: str) -> tuple[DataFrame, int]:
+    """((rg_id, doc_seq, json) of the JSON column of Parquet files by their real row groups, the number of those).
 
-    The footer gives the row groups' first rows; rows find theirs by a range condition on their number in the file.
-    Null cells are no documents, and row groups keep their own number even when all their cells are null.
+    ``source``: a file, folder or glob of any Hadoop file system, or a list of files.  Files count in the order of
+    their names; row groups and rows are numbered through.  Footers are read in tasks, and then the driver holds one
+    entry a row group, as the index has; a task reads the column of whole row groups, so documents find theirs without
+    a join.  Null cells are no documents, and row groups keep their own number even when all their cells are null.
     """
-    meta = pq.read_metadata(file)
-    if column not in meta.schema.to_arrow_schema().names:
-        raise KeyError(f"{file} has no column {column!r}")
-    bounds, at = [], 0
-    for k in range(meta.num_row_groups):
-        n = meta.row_group(k).num_rows
-        bounds.append((k, at, at + n))
-        at += n
-    rows = spark.read.parquet(file).select(F.col(column).cast("string").alias("json"), F.col("_metadata.row_index").alias("doc_seq"))
-    rg = F.lit(None).cast("bigint")
-    if len(bounds) <= 64:
-        for k, a, _ in bounds:
-            rg = F.when(F.col("doc_seq") >= a, F.lit(k).cast("bigint")).otherwise(rg)
-        rows = rows.withColumn("rg_id", rg)
-    else:
-        table = spark.createDataFrame(bounds, "rg_id bigint, first bigint, end bigint")
-        rows = rows.join(F.broadcast(table), (F.col("doc_seq") >= F.col("first")) & (F.col("doc_seq") < F.col("end"))).drop("first", "end")
-    return rows.where("json is not null").select("rg_id", "doc_seq", "json"), meta.num_row_groups
+    files = sorted(dict.fromkeys(source if isinstance(source, list) else data_files(spark, source)))
+    if not files:
+        raise FileNotFoundError(str(source))
+    options = _options(spark)
+    listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, -(-len(files) // FILES)))
+    found = sorted(tuple(r) for r in listed.mapInArrow(_footers(column, options), _FOOTER).collect())
+    units, rg, at = [], 0, 0
+    for file, there, rows in found:
+        if not there:
+            raise KeyError(f"{file} has no column {column!r}")
+        for k, n in enumerate(rows):
+            units.append((file, k, rg, at))
+            rg, at = rg + 1, at + n
+    tasks = max(1, min(len(units), 100_000))
+    groups = spark.createDataFrame(units, "file string, k int, rg bigint, first bigint").repartition(tasks, "rg")
+    return groups.mapInArrow(_groups(column, options), "rg_id bigint, doc_seq bigint, json string"), rg
 
 
 def jsonl_documents(spark: SparkSession, path: str, rg_size: int, sample: int | None = None) -> DataFrame:
     """(rg_id, doc_seq, json) of JSON lines, ``rg_size`` to a synthetic row group; ``sample`` takes the first lines.
 
-    Lines are numbered in file order by counting those of each partition; a carriage return at the end goes, a blank line
-    is a document that fails to parse.
+    Lines are numbered through in the order of the files' names and of their places there: those of each split of a file are
+    counted, and each line adds its place in the split.  A carriage return at the end goes, a blank line is a
+    document that fails to parse.
     """
     if rg_size <= 0:
         raise ValueError("rg_size must be positive")
-    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("json"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-    counts = lines.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = lines.join(F.broadcast(counts.select("part", "before")), "part").select("json", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("doc_seq"))
+    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("json"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    counts = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))  # one row a split
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = lines.join(counts.select("file", "block", "first", "before"), ["file", "block"]).select("json", (F.col("before") + F.col("at") - F.col("first")).alias("doc_seq"))
     if sample is not None:
         numbered = numbered.where(F.col("doc_seq") < sample)
     return numbered.select(F.floor(F.col("doc_seq") / rg_size).cast("bigint").alias("rg_id"), "doc_seq", "json")
@@ -62,7 +127,7 @@ def accepted_positions(docs: DataFrame, rejected: DataFrame, rg_size: int) -> Da
     parts = kept.withColumn("part", F.floor(F.col("doc_seq") / 65536))
     counts = parts.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("part").orderBy("doc_seq")) - 1 + F.col("before")
-    return parts.join(F.broadcast(counts.select("part", "before")), "part").withColumn("place", place).select(F.floor(F.col("place") / rg_size).cast("bigint").alias("rg_id"), F.col("place").cast("bigint").alias("doc_seq"), "json")
+    return parts.join(counts.select("part", "before"), "part").withColumn("place", place).select(F.floor(F.col("place") / rg_size).cast("bigint").alias("rg_id"), F.col("place").cast("bigint").alias("doc_seq"), "json")
 
 
 def table_documents(df: DataFrame, rg_id, doc_seq) -> DataFrame:
@@ -93,13 +158,30 @@ def s3_options(env: dict[str, str] | None = None) -> dict[str, str]:
     return out
 
 
+def data_files(spark: SparkSession, source: str) -> list[str]:
+    """The Parquet files of a path: itself, those in a folder (not below it), or those that a glob matches."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(source.replace("s3://", "s3a://"))
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for status in fs.globStatus(p) or []:
+        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        out += [_name(s.getPath()) for s in inside if s.isFile() and (not status.isDirectory() or s.getPath().getName().endswith(".parquet"))]
+    return sorted(out)
+
+
+def _name(path) -> str:
+    """A path as this library writes it: local ones without a scheme."""
+    uri = path.toUri()
+    return uri.getPath() if uri.getScheme() in (None, "file") else path.toString()
+
+
 def list_files(spark: SparkSession, folder: str, suffix: str) -> list[str]:
     """Entries of a folder (not below it) with a suffix, by Hadoop's file systems, so local and S3 alike."""
     p = spark._jvm.org.apache.hadoop.fs.Path(folder.replace("s3://", "s3a://"))
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(p):
         raise FileNotFoundError(folder)
-    return sorted(str(s.getPath().toUri().getPath()) if not is_s3(folder) else str(s.getPath()) for s in fs.listStatus(p) if s.getPath().getName().endswith(suffix))
+    return sorted(_name(s.getPath()) for s in fs.listStatus(p) if s.getPath().getName().endswith(suffix))
 
 
 def list_parquet(spark: SparkSession, folder: str) -> list[str]:

@@ -1,13 +1,17 @@
-"""Written indexes: Parquet tables and a manifest, beside the data file or elsewhere; a pointer in a file's metadata."""
+"""Written indexes: Parquet tables and a manifest, beside the data file or elsewhere; a copy in a file's metadata.
+
+Everything but the footer of a Parquet file goes through Hadoop's file systems, so that local paths, HDFS and S3 are alike;
+Parquet files themselves are read and rewritten by pyarrow's (sources.documents).
+"""
 
 from __future__ import annotations
 
 import base64
 import json
-import os
-import shutil
+import uuid
 import zlib
-from pathlib import Path
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +22,33 @@ from quernlake.operators.index import ADAPTIVE, BLOOM_ONLY, EXACT_MODE, TABLES,
 from quernlake.operators.observe import observed
 from quernlake.plans import jsonpath
 from quernlake.plans.config import Config
+from quernlake.sources.documents import arrow_file
 
-VERSION, KEY, SUFFIX = 1, "quernlake.index", ".idx"
-MAX_PATHS, MAX_RGS, MAX_DOCS, MAX_MANIFEST, MAX_EMBEDDED = 65535, 1_000_000, 100_000_000_000, 1 << 20, 64 << 20
+VERSION, KEY, SUFFIX = 2, "quernlake.index", ".idx"
 SORT = {"string_postings": ("path", "term"), "promoted": ("path", "term"), "buckets": ("path", "bucket"), "trigrams": ("path", "gram"), "numeric_stats": ("path", "rg_id"), "strlen_stats": ("path", "rg_id"), "null_stats": ("path", "rg_id")}
+WRITERS = 4  # tables that are written at a time
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What an index may have at most, against damaged and hostile ones; held on writing and on reading.  Row groups,
+    documents and terms are rows of tables, which the driver never holds; their bounds are as large as ids."""
+
+    paths: int = 65_535
+    row_groups: int = 1 << 40
+    documents: int = 1 << 50
+    terms: int = 1 << 40  # of a path, as are the next three
+    grams: int = 1 << 40
+    promoted: int = 65_535
+    buckets: int = 4_096
+    bloom_bits: int = 1 << 26
+    bloom_hashes: int = 64
+    registers: int = 1 << 16
+    manifest: int = 16 << 20  # bytes
+    embedded: int = 64 << 20
+
+
+LIMITS = Limits()
 
 
 class FormatError(ValueError):
@@ -54,14 +81,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     fs, p = _fs(spark, path)
     out = fs.create(p, True)
-    out.write(bytearray(text.encode()))
-    out.close()
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
 
 
-def read_text(spark: SparkSession, path: str, limit: int) -> str:
+def read_bytes(spark: SparkSession, path: str, limit: int) -> bytes:
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         raise NoIndex(path)
@@ -69,95 +98,178 @@ def read_text(spark: SparkSession, path: str, limit: int) -> str:
         raise LimitExceeded(f"{path} is larger than {limit} bytes")
     stream = fs.open(p)
     try:
-        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
     finally:
         stream.close()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def _files(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Relative names and sizes of the files of a written index."""
+    fs, p = _fs(spark, folder)
+    root = fs.makeQualified(p).toString()
+    found, it = {}, fs.listFiles(p, True)
+    while it.hasNext():
+        status = it.next()
+        name = status.getPath().toString().removeprefix(root).lstrip("/")
+        if not name.rsplit("/", 1)[-1].startswith((".", "_")):
+            found[name] = status.getLen()
+    return found
+
+
+def _hold(name: str, found: int, most: int) -> None:
+    if not 0 <= found <= most:
+        raise LimitExceeded(f"{name}: {found}; at most {most}")
+
+
+def _held(counts: dict[str, int], largest: dict[str, int], row_groups: int, config: Config, limits: Limits) -> None:
+    for name, found, most in (
+        ("paths", counts["path_directory"], limits.paths), ("row groups", row_groups, limits.row_groups), ("documents", counts["doc_id_map"], limits.documents),
+        ("terms of a path", largest["string_postings"], limits.terms), ("trigrams of a path", largest["trigrams"], limits.grams), ("promoted terms of a path", largest["promoted"], limits.promoted),
+        ("buckets", config.adaptive_buckets, limits.buckets), ("bits of the filter", config.bloom_bits, limits.bloom_bits), ("hashes of the filter", config.bloom_hashes, limits.bloom_hashes), ("registers", 1 << config.hll_precision, limits.registers),
+    ):
+        _hold(name, found, most)
+
+
+def _stored(index: Index, name: str, modes: DataFrame) -> DataFrame:
+    """What is written of a table: exact postings of the paths that have such, hot terms and buckets of adaptive ones."""
+    df = index.table(name)
+    if name == "string_postings":
+        return df.join(modes.where(F.col("mode") == EXACT_MODE).select("path"), "path", "left_semi")
+    if name in ("promoted", "buckets"):
+        return df.join(modes.where(F.col("mode") == ADAPTIVE).select("path"), "path", "left_semi")
+    return df
+
+
 @observed("encode")
-def write_index(index: Index, path: str, level: int = 3) -> None:
+def write_index(index: Index, path: str, level: int = 3, limits: Limits = LIMITS) -> None:
     """Writes an index: a table a folder, sorted for row-group skipping, then the manifest, so that a half-written
-    index is none.  ``level`` is that of zstd; 0 leaves the tables uncompressed."""
+    index is none.  ``level`` is that of zstd; 0 leaves the tables uncompressed.  An index that couldn't be read within
+    ``limits`` isn't written."""
     if index is None:
         raise NoIndex("no index to write")
     if not 0 <= level <= 19:
         raise ValueError("the compression level goes from 0 to 19")
     spark = index.spark
     config = index.config.to_json()
-    bloom = index.build_bloom()
-    counts = {}
-    for name in TABLES:
-        df = index.table(name)
+    if exists(spark, path):
+        remove(spark, path)
+
+    def write(name: str) -> int:
+        df = _stored(index, name, modes) if name != "path_directory" else index.table(name)
         if name in SORT:
             df = df.repartitionByRange(*SORT[name]).sortWithinPartitions(*SORT[name])
-        writer = df.write.mode("overwrite").option("compression", "zstd" if level else "none").option("parquet.compression.codec.zstd.level", max(1, level))
-        writer.parquet(f"{path}/{name}")
-        counts[name] = spark.read.parquet(f"{path}/{name}").count()
-    bits = bytearray(-(-bloom.bits // 8))
-    for p in bloom.on:
-        bits[p >> 3] |= 1 << (p & 7)
-    manifest = {"version": VERSION, "config": json.loads(config), "num_row_groups": index.num_row_groups, "counts": counts, "bloom": {"bits": bloom.bits, "hashes": bloom.hashes, "on": base64.b64encode(zlib.compress(bytes(bits))).decode()}}
-    write_text(spark, f"{path}/manifest.json", json.dumps(manifest))
+        df.write.option("compression", "zstd" if level else "none").option("parquet.compression.codec.zstd.level", max(1, level)).parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}").count()
+
+    modes = None
+    counts = {"path_directory": write("path_directory")}
+    modes = spark.read.parquet(f"{path}/path_directory").select("path", "mode")
+    rest = [t for t in TABLES if t != "path_directory"]
+    with ThreadPoolExecutor(WRITERS) as pool:
+        bloom = pool.submit(index.build_bloom)
+        counts |= dict(zip(rest, pool.map(write, rest)))
+        bloom = bloom.result()
+    largest = {}
+    for name, column in (("string_postings", "term"), ("promoted", "term"), ("trigrams", "gram")):
+        distinct = spark.read.parquet(f"{path}/{name}").select("path", column).distinct().groupBy("path").count()
+        largest[name] = distinct.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    try:
+        _held(counts, largest, index.num_row_groups, index.config, limits)
+        bits = bytearray(-(-bloom.bits // 8))
+        for p in bloom.on:
+            bits[p >> 3] |= 1 << (p & 7)
+        manifest = {"version": VERSION, "config": json.loads(config), "num_row_groups": index.num_row_groups, "counts": counts, "largest": largest, "bloom": {"bits": bloom.bits, "hashes": bloom.hashes, "on": base64.b64encode(zlib.compress(bytes(bits))).decode()}}
+        text = json.dumps(manifest).encode()
+        _hold("bytes of the manifest", len(text), limits.manifest)
+    except LimitExceeded:
+        remove(spark, path)
+        raise
+    write_bytes(spark, f"{path}/manifest.json", text)
 
 
-@observed("decode")
-def read_index(spark: SparkSession, path: str, check: bool = True) -> Index:
-    """Reads what :func:`write_index` wrote; ``check`` also holds the tables against each other."""
-    text = read_text(spark, f"{path}/manifest.json", MAX_MANIFEST)
+def _manifest(text: bytes, limits: Limits) -> tuple[dict, Config, Bloom]:
+    """The manifest, its configuration and filter; whatever is wrong with it is a :class:`FormatError`."""
     try:
         manifest = json.loads(text)
         if manifest["version"] != VERSION:
             raise VersionMismatch(f"version {manifest['version']}; this reads {VERSION}")
-        counts, n = manifest["counts"], manifest["num_row_groups"]
         config = Config.from_json(json.dumps(manifest["config"]))
-        raw = manifest["bloom"]
-        bits = zlib.decompressobj().decompress(base64.b64decode(raw["on"]), -(-raw["bits"] // 8) + 1)
+        counts, largest, n, raw = (manifest[k] for k in ("counts", "largest", "num_row_groups", "bloom"))
+        for x in (n, raw["bits"], raw["hashes"], *counts.values(), *largest.values()):
+            if type(x) is not int or x < 0:
+                raise FormatError(f"{x!r} is no count")
+        if set(counts) != set(TABLES):
+            raise FormatError("the manifest lacks tables")
+        _held(counts, largest, n, config, limits)
+        if (raw["bits"], raw["hashes"]) != (config.bloom_bits, config.bloom_hashes):
+            raise FormatError("the filter isn't that of the configuration")
+        size = -(-raw["bits"] // 8)
+        bits = zlib.decompressobj().decompress(base64.b64decode(raw["on"], validate=True), size + 1)
+        if len(bits) != size:
+            raise FormatError("the filter's bits don't have the length it says")
+        on = frozenset(8 * k + j for k, byte in enumerate(bits) if byte for j in range(8) if byte >> j & 1)
+        if any(p >= raw["bits"] for p in on):
+            raise FormatError("the filter has bits beyond its end")
+        for r in config.representations:
+            if not jsonpath.is_valid(r.path):
+                raise FormatError(f"representation of {r.path!r}")
     except FormatError:
         raise
     except Exception as e:
-        raise FormatError(f"{path}: {e}") from None
-    if counts.get("path_directory", 0) > MAX_PATHS or n > MAX_RGS or counts.get("doc_id_map", 0) > MAX_DOCS:
-        raise LimitExceeded(f"{path}: too many paths, row groups or documents")
-    for r in config.representations:
-        if not jsonpath.is_valid(r.path):
-            raise FormatError(f"representation of {r.path!r}")
+        raise FormatError(f"bad manifest: {e}") from None
+    return manifest, config, Bloom(raw["bits"], raw["hashes"], on)
+
+
+@observed("decode")
+def read_index(spark: SparkSession, path: str, check: bool = True, limits: Limits = LIMITS) -> Index:
+    """Reads what :func:`write_index` wrote; ``check`` also holds the tables against the manifest and each other."""
+    manifest, config, bloom = _manifest(read_bytes(spark, f"{path}/manifest.json", limits.manifest), limits)
     missing = [t for t in TABLES if not exists(spark, f"{path}/{t}")]
     if missing:
         raise FormatError(f"{path} lacks {missing}")
-    bloom = Bloom(raw["bits"], raw["hashes"], frozenset(k for k in range(raw["bits"]) if bits[k >> 3] >> (k & 7) & 1))
 
     def provide(name: str, _: str | None) -> DataFrame:
         return spark.read.parquet(f"{path}/{name}")
 
-    index = Index(config, n, spark, provide, bloom=bloom)
+    index = Index(config, manifest["num_row_groups"], spark, provide, bloom=bloom, written=True)
     if check:
-        _validate(index)
+        _validate(index, manifest["counts"])
     return index
 
 
-def _validate(index: Index) -> None:
-    """Tables name only paths of the directory, each once, and only row groups of the universe."""
+def _validate(index: Index, counts: dict[str, int]) -> None:
+    """Tables have the rows that the manifest says, name only paths of the directory, each once, and only row groups of
+    the universe."""
     directory = index.table("path_directory")
-    if not directory.groupBy("path").count().where("count > 1").isEmpty():
-        raise FormatError("a path stands twice in the directory")
-    if not directory.where(~F.col("mode").isin(EXACT_MODE, BLOOM_ONLY, ADAPTIVE)).isEmpty():
-        raise FormatError("unknown path mode")
     known = directory.select("path")
+    checks = [("a path stands twice in the directory", directory.groupBy("path").count().where("count > 1")), ("unknown path mode", directory.where(~F.col("mode").isin(EXACT_MODE, BLOOM_ONLY, ADAPTIVE)))]
     for name in SORT:
         table = index.table(name)
-        if not table.join(known, "path", "left_anti").isEmpty():
-            raise FormatError(f"{name} has an unknown path")
-        if not table.where((F.col("rg_id") < 0) | (F.col("rg_id") >= index.num_row_groups)).isEmpty():
-            raise FormatError(f"{name} has an unknown row group")
+        checks += [(f"{name} has an unknown path", table.join(known, "path", "left_anti")), (f"{name} has an unknown row group", table.where((F.col("rg_id") < 0) | (F.col("rg_id") >= index.num_row_groups)))]
+    with ThreadPoolExecutor(WRITERS) as pool:
+        for (what, _), empty in zip(checks, pool.map(lambda c: c[1].isEmpty(), checks)):
+            if not empty:
+                raise FormatError(what)
+        for name, n in zip(counts, pool.map(lambda t: index.table(t).count(), counts)):
+            if n != counts[name]:
+                raise FormatError(f"{name} has {n} rows; the manifest says {counts[name]}")
 
 
 def write_sidecar(index: Index, file: str, level: int = 3) -> str:
-    write_index(index, sidecar_path(file), level)
-    if os.path.exists(file):
-        for p in Path(sidecar_path(file)).rglob("*"):
-            if p.is_file():
-                p.chmod(os.stat(file).st_mode & 0o666)
-    return sidecar_path(file)
+    """Writes the index beside the file, with the file's permissions."""
+    target = sidecar_path(file)
+    write_index(index, target, level)
+    fs, p = _fs(index.spark, file)
+    if fs.exists(p):
+        mode = fs.getFileStatus(p).getPermission()
+        for name in _files(index.spark, target):
+            fs.setPermission(index.spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{name}"), mode)
+    return target
 
 
 def has_sidecar(spark: SparkSession, file: str) -> bool:
@@ -171,67 +283,101 @@ def read_sidecar(spark: SparkSession, file: str) -> Index:
 # ---- embedded in the metadata of a Parquet file ------------------------------------------------------------
 
 
-def _pack(folder: str) -> bytes:
+def _pack(spark: SparkSession, folder: str, limits: Limits) -> bytes:
     """All files of a written index as one compressed value."""
-    files = {str(p.relative_to(folder)): base64.b64encode(p.read_bytes()).decode() for p in sorted(Path(folder).rglob("*")) if p.is_file() and not p.name.startswith((".", "_"))}
+    sizes = _files(spark, folder)
+    _hold("bytes of the index", sum(sizes.values()), limits.embedded)
+    files = {name: base64.b64encode(read_bytes(spark, f"{folder}/{name}", limits.embedded)).decode() for name in sorted(sizes)}
     return base64.b64encode(zlib.compress(json.dumps(files).encode(), 6))
 
 
-def _unpack(value: bytes, folder: str) -> None:
+def _unpack(spark: SparkSession, value: bytes, folder: str, limits: Limits) -> None:
     d = zlib.decompressobj()
     try:
-        data = d.decompress(base64.b64decode(value, validate=True), MAX_EMBEDDED)
+        data = d.decompress(base64.b64decode(value, validate=True), 2 * limits.embedded)
+        if d.unconsumed_tail:
+            raise LimitExceeded("the embedded index is too large")
+        files = {name: base64.b64decode(body, validate=True) for name, body in json.loads(data).items()}
+    except FormatError:
+        raise
     except Exception as e:
         raise FormatError(f"embedded index: {e}") from None
-    if d.unconsumed_tail:
-        raise LimitExceeded("the embedded index is too large")
-    for name, body in json.loads(data).items():
-        target = (Path(folder) / name).resolve()
-        if not target.is_relative_to(Path(folder).resolve()):
+    for name, body in files.items():
+        if name.startswith("/") or ".." in name.split("/") or ":" in name:
             raise FormatError("embedded index: bad file name")
-        target.parent.mkdir(parents=True, exist_ok=True)
-        target.write_bytes(base64.b64decode(body))
+        write_bytes(spark, f"{folder}/{name}", body)
+
+
+def _metadata(spark: SparkSession, file: str) -> dict[bytes, bytes]:
+    fs, path = arrow_file(spark, file)
+    with fs.open_input_file(path) as f:
+        return pq.read_metadata(f).metadata or {}
 
 
-def has_embedded(file: str, key: str = KEY) -> bool:
-    return key.encode() in (pq.read_metadata(file).metadata or {})
+def has_embedded(spark: SparkSession, file: str, key: str = KEY) -> bool:
+    return key.encode() in _metadata(spark, file)
 
 
-def embed_index(index: Index, file: str, work: str, key: str = KEY) -> None:
+def embed_index(index: Index, file: str, work: str, key: str = KEY, limits: Limits = LIMITS) -> None:
     """Rewrites a Parquet file with the index in its metadata, row group by row group as they were; the file is
-    replaced at once."""
-    folder, temp = f"{work}/embed", f"{file}.tmp"
-    shutil.rmtree(folder, ignore_errors=True)
-    write_index(index, folder)
-    source = pq.ParquetFile(file)
-    schema = source.schema_arrow
-    schema = schema.with_metadata({**(schema.metadata or {}), key.encode(): _pack(folder)})
-    with pq.ParquetWriter(temp, schema, compression="zstd") as out:
-        for k in range(source.num_row_groups):
-            table = source.read_row_group(k)
-            out.write_table(table.replace_schema_metadata(schema.metadata), row_group_size=max(1, len(table)))
-    if pq.ParquetFile(temp).num_row_groups != source.num_row_groups:
-        os.remove(temp)
+    replaced at once.  ``work`` is a folder that all executors share."""
+    spark, folder = index.spark, f"{work.rstrip('/')}/embed-{uuid.uuid4().hex}"
+    try:
+        write_index(index, folder)
+        packed = _pack(spark, folder, limits)
+    finally:
+        remove(spark, folder)
+    hadoop, target = _fs(spark, file)
+    mode = hadoop.getFileStatus(target).getPermission()
+    fs, path = arrow_file(spark, file)
+    temp = f"{path}.tmp-{uuid.uuid4().hex}"
+    with fs.open_input_file(path) as f:
+        source = pq.ParquetFile(f)
+        schema = source.schema_arrow
+        schema = schema.with_metadata({**(schema.metadata or {}), key.encode(): packed})
+        with fs.open_output_stream(temp) as sink, pq.ParquetWriter(sink, schema, compression="zstd") as out:
+            for k in range(source.num_row_groups):
+                table = source.read_row_group(k)
+                out.write_table(table.replace_schema_metadata(schema.metadata), row_group_size=max(1, len(table)))
+        with fs.open_input_file(temp) as g:
+            same = pq.ParquetFile(g).num_row_groups == source.num_row_groups
+    if not same:
+        fs.delete_file(temp)
         raise FormatError("the row groups changed")
-    os.chmod(temp, os.stat(file).st_mode & 0o777)
-    os.replace(temp, file)
-    shutil.rmtree(folder, ignore_errors=True)
+    fs.move(temp, path)
+    hadoop.setPermission(target, mode)
 
 
-def read_embedded(spark: SparkSession, file: str, work: str, key: str = KEY) -> Index:
-    value = (pq.read_metadata(file).metadata or {}).get(key.encode())
+def read_embedded(spark: SparkSession, file: str, work: str, key: str = KEY, limits: Limits = LIMITS) -> Index:
+    """The index in a file's metadata, unpacked in ``work``, a folder that all executors share."""
+    value = _metadata(spark, file).get(key.encode())
     if value is None:
         raise NoIndex(f"{file} has no index under {key}")
-    folder = f"{work}/{os.path.basename(file)}-index"
-    shutil.rmtree(folder, ignore_errors=True)
-    _unpack(value, folder)
-    return read_index(spark, folder)
+    folder = f"{work.rstrip('/')}/index-{uuid.uuid4().hex}"
+    _unpack(spark, value, folder, limits)
+    return read_index(spark, folder, limits=limits)
 
 
 def load_index(spark: SparkSession, file: str, work: str | None = None, key: str = KEY) -> Index:
     """The embedded index of a file, else its sidecar."""
-    if work and os.path.isfile(file) and has_embedded(file, key):
+    fs, p = _fs(spark, file)
+    if work and fs.exists(p) and fs.getFileStatus(p).isFile() and has_embedded(spark, file, key):
         return read_embedded(spark, file, work, key)
     if has_sidecar(spark, file):
         return read_sidecar(spark, file)
     raise NoIndex(f"{file} has neither an embedded index nor a sidecar")
+
+
+# ---- indexes that are built once ---------------------------------------------------------------------------
+
+
+def kept_index(spark: SparkSession, source: str, name: str, build, folder: str) -> Index:
+    """The index ``name`` of a table's file, built and written under ``folder`` when it isn't there yet.  It counts only for
+    the file as it is: a changed one has another length or time."""
+    fs, p = _fs(spark, source)
+    status = fs.getFileStatus(p)
+    mark = f"{source}|{status.getLen()}|{status.getModificationTime()}|{VERSION}"
+    path = f"{folder.rstrip('/')}/{name}-{zlib.crc32(mark.encode()):08x}{zlib.adler32(mark.encode()):08x}"
+    if not exists(spark, f"{path}/manifest.json"):
+        write_index(build(), path)
+    return read_index(spark, path, check=False)

@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
-from quernlake.operators.index import Index, build_index
+from quernlake.operators.index import ADAPTIVE, BLOOM_ONLY, EXACT_MODE, Index, build_index
 from quernlake.plans.config import Config
 from quernlake.sources import store
 
-STRIDE = 1 << 20  # row groups that a segment may have
-
 
 def numbered(batch: DataFrame, column: str, rg_size: int) -> DataFrame:
     """(rg_id, doc_seq, json) of a batch; numbers follow the order of the texts' hashes, so a repeated run agrees."""
@@ -36,14 +34,17 @@ def index_stream(stream: DataFrame, column: str, folder: str, checkpoint: str, r
         docs = numbered(batch, column, rg_size).cache()
         n = docs.count()
         if n:
-            store.write_index(build_index(docs, -(-n // rg_size), config), f"{folder}/segment-{batch_id:012d}")
+            index = build_index(docs, -(-n // rg_size), config)
+            store.write_index(index, f"{folder}/segment-{batch_id:012d}")
+            index.discard()
         docs.unpersist()
 
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def merged_index(spark: SparkSession, folder: str) -> Index:
-    """One index over all segments: tables are unions with shifted row groups."""
+    """One index over all segments: tables are unions with shifted row groups.  A path is as loose as in its loosest
+    segment: without pruning by equality, adaptive (segment by segment), or exact."""
     names = sorted(p.rsplit("/", 1)[-1] for p in _segments(spark, folder))
     parts = [store.read_index(spark, f"{folder}/{n}", check=False) for n in names]
     if not parts:
@@ -58,20 +59,23 @@ def merged_index(spark: SparkSession, folder: str) -> Index:
 
     def provide(name: str, path: str | None) -> DataFrame:
         out = None
-        for p, offset in zip(parts, offsets):
+        for k, (p, offset) in enumerate(zip(parts, offsets)):
             df = p.table(name, path)
             if "rg_id" in df.columns:
                 df = df.withColumn("rg_id", F.col("rg_id") + offset)
+            if "segment" in df.columns:
+                df = df.withColumn("segment", F.lit(k))
             out = df if out is None else out.unionByName(df)
         if name == "path_directory":
             out = out.groupBy("path").agg(
                 F.bit_or("types").alias("types"), F.sum("cardinality").alias("cardinality"), F.min("len_min").alias("len_min"), F.max("len_max").alias("len_max"),
-                F.min("imin").alias("imin"), F.max("imax").alias("imax"), F.min("dmin").alias("dmin"), F.max("dmax").alias("dmax"), F.max("mode").alias("mode"),
+                F.min("imin").alias("imin"), F.max("imax").alias("imax"), F.min("dmin").alias("dmin"), F.max("dmax").alias("dmax"),
+                F.when(F.max(F.col("mode") == BLOOM_ONLY), BLOOM_ONLY).when(F.max(F.col("mode") == ADAPTIVE), ADAPTIVE).otherwise(EXACT_MODE).alias("mode"),
                 F.max("has_trigrams").alias("has_trigrams"), F.max(F.coalesce("numeric", F.lit(""))).alias("numeric"),
             ).withColumn("numeric", F.when(F.col("numeric") != "", F.col("numeric")))
         return out
 
-    return Index(config, at, spark, provide)
+    return Index(config, at, spark, provide, written=True)
 
 
 def _segments(spark: SparkSession, folder: str) -> list[str]:

@@ -155,6 +155,27 @@ def test_numeric_promotion_is_in_document_order(spark):
     assert [r["doc_seq"] for r in index.rejects.collect()] == [1]
 
 
+def test_promotion_of_several_paths_is_that_of_reading_in_order(spark):
+    """Random documents of integers beyond 2^53 and floats; rejected ones decide nothing, on any path."""
+    import random
+
+    for seed in range(5):
+        rnd = random.Random(seed)
+        texts = [{p: rnd.choice([1, 2**53 + 1, 2.5]) for p in "abc" if rnd.random() < 0.4} for _ in range(40)]
+        takes, gone = {}, []
+        for k, d in enumerate(texts):
+            has = {p: type(v) for p, v in d.items() if v != 1}
+            if any(takes.get(p, t) != t for p, t in has.items()):
+                gone.append(k)
+            else:
+                takes.update(has)
+        shredded = shredding.shred(docs_of(spark, texts), Config(numeric_failure="soft"))
+        assert gone and sorted(r["doc_seq"] for r in shredded.rejects.collect()) == gone
+        assert {r["doc_seq"] for r in shredded.observations.select("doc_seq").distinct().collect()} == set(range(40)) - set(gone)
+    both = shredding.shred(docs_of(spark, ['{"a":[1.5,9007199254740993]}', '{"a":[2.5]}', '{"a":[9007199254740993]}']), Config(numeric_failure="soft"))
+    assert sorted(r["doc_seq"] for r in both.rejects.collect()) == [0, 2]
+
+
 @pytest.mark.parametrize("name, params, cases", [
     ("to_lower", {}, [("HeLLo", "hello")]),
     ("ipv4_to_int", {}, [("192.168.1.1", 3232235777.0), ("255.255.255.255", 4294967295.0), ("0.0.0.0", 0.0), ("999.1.1.1", None), ("::1", None), ("::ffff:1.2.3.4", 16909060.0), ("01.1.1.1", None)]),
@@ -197,6 +218,61 @@ def test_storage_round_trip(spark, golden, tmp_path):
         store.read_index(spark, str(tmp_path / "none"))
     with pytest.raises(ValueError):
         store.write_index(golden, path, level=20)
+    with pytest.raises(store.LimitExceeded):
+        store.write_index(golden, path, limits=store.Limits(grams=3))
+    assert not (tmp_path / "index").exists()
+
+
+def test_damaged_manifests(golden, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(store, "write_bytes", lambda spark, path, data: kept.update({path: data}))
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        store.write_index(golden, f"{folder}/index")
+    good = json.loads(next(iter(kept.values())))
+    read = lambda m, limits=store.LIMITS: store._manifest(json.dumps(m).encode(), limits)
+    assert read(good)[1] == golden.config and read(good)[2] == golden.bloom
+    filled = lambda **x: good | {"bloom": good["bloom"] | x}
+    for bad in (filled(on="AAAA"), filled(on=good["bloom"]["on"][:40]), filled(bits=1 << 40), filled(bits=-1), filled(hashes=0), good | {"num_row_groups": "4"}, good | {"counts": {}}, good | {"counts": good["counts"] | {"hll": -1}}, {}, []):
+        with pytest.raises(store.FormatError):
+            read(bad)
+    for limits in (dict(paths=2), dict(row_groups=3), dict(documents=3), dict(terms=1), dict(grams=2), dict(bloom_bits=8), dict(bloom_hashes=1), dict(registers=16), dict(buckets=8)):
+        with pytest.raises(store.LimitExceeded):
+            read(good, store.Limits(**limits))
+
+
+def test_a_data_set_of_many_files(spark, tmp_path):
+    """Folder, glob and list; row groups are numbered through, more than 64 of them; one index over all."""
+    from quernlake.cli import main
+
+    rows = [f'{{"n":{k},"name":"v{k % 7}"}}' if k % 5 else None for k in range(330)]
+    for f in range(3):
+        pq.write_table(pa.table({"j": rows[f * 110 : (f + 1) * 110]}), str(tmp_path / f"part-{f}.parquet"), row_group_size=4)
+    expected = sorted((28 * (k // 110) + k % 110 // 4, k, t) for k, t in enumerate(rows) if t)
+    for source in (str(tmp_path), f"{tmp_path}/part-*.parquet", [f"{tmp_path}/part-{f}.parquet" for f in (2, 0, 1)]):
+        docs, n = documents.parquet_documents(spark, source, "j")
+        assert n == 84 and sorted(map(tuple, docs.collect())) == expected
+    index = build_index(docs, n)
+    assert rgs(index, GTE("$.n", 328)) == [83] and rgs(index, EQ("$.n", 111)) == [28]
+    assert main(["build", str(tmp_path), "-c", "j", "-o", str(tmp_path / "all.idx")], spark) == 0
+    assert rgs(store.read_index(spark, str(tmp_path / "all.idx")), EQ("$.n", 111)) == [28]
+    with pytest.raises(FileNotFoundError):
+        documents.parquet_documents(spark, str(tmp_path / "none-*"), "j")
+
+
+def test_json_lines_are_numbered_in_file_order(spark, tmp_path):
+    lines = []
+    for f, n in enumerate((3, 2000, 1, 40)):  # Spark reads the largest first
+        own = [json.dumps({"f": f, "k": k, "pad": "x" * 50}) for k in range(n)]
+        (tmp_path / f"{f}.jsonl").write_text("\n".join(own) + "\n")
+        lines += own
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = documents.jsonl_documents(spark, str(tmp_path), 10).orderBy("doc_seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["json"] for r in found] == lines and [r["rg_id"] for r in found] == [k // 10 for k in range(len(lines))]
 
 
 def test_parquet_row_groups_sidecar_and_embedding(spark, tmp_path):
@@ -215,7 +291,7 @@ def test_parquet_row_groups_sidecar_and_embedding(spark, tmp_path):
     store.write_sidecar(index, file)
     assert store.has_sidecar(spark, file) and rgs(store.load_index(spark, file), EQ("$.status", "c")) == [3]
     store.embed_index(index, file, str(tmp_path))
-    assert store.has_embedded(file) and pq.ParquetFile(file).num_row_groups == 4
+    assert store.has_embedded(spark, file) and pq.ParquetFile(file).num_row_groups == 4
     assert rgs(store.load_index(spark, file, str(tmp_path)), EQ("$.status", "b")) == [1]
     assert [r["doc_seq"] for r in matching_documents(docs, index, [EQ("$.status", "a"), GT("$.count", 5)]).collect()] == [3]
 
@@ -253,6 +329,44 @@ def test_stream_segments(spark, tmp_path):
     assert index.num_row_groups == 4 and len(rgs(index, EQ("$.w", "a"))) == 2 and len(rgs(index, EQ("$.w", "c"))) == 1
 
 
+def test_merged_segments_lose_no_match(spark, tmp_path):
+    """A term that is promoted in one segment and in a tail bucket of another; integers that doubles would merge."""
+    from quernlake.streaming.incremental import merged_index
+
+    config = Config(cardinality_threshold=1, adaptive_min_coverage=2, adaptive_cap=4, adaptive_buckets=4)
+    parts = [[{"a": "hot", "n": 2**53 + 1}, {"a": "hot"}, {"a": "x"}], [{"a": "y", "n": 1.5}, {"a": "hot"}, {"a": "z"}]]
+    for k, texts in enumerate(parts):
+        store.write_index(index_of(spark, texts, config), f"{tmp_path}/segment-{k:012d}")
+    index = merged_index(spark, str(tmp_path))
+    assert {0, 1, 4} <= set(rgs(index, EQ("$.a", "hot"), mode="sound")) and 2 not in rgs(index, EQ("$.a", "hot"), mode="sound")
+    assert rgs(index, GT("$.n", 2**53), mode="sound") == [0] and rgs(index, EQ("$.n", 2**53), mode="sound") == [] and rgs(index, NE("$.n", 2**53), mode="sound") == [0, 3]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_written_and_merged_indexes_are_sound_in_every_mode(spark, tmp_path, seed):
+    """Random segments and modes: no row group with a match is lost, before or after writing, alone or merged."""
+    import random
+
+    from quernlake.streaming.incremental import merged_index
+
+    rnd = random.Random(seed)
+    modes = [Config(), Config(cardinality_threshold=3, adaptive_cap=0), Config(cardinality_threshold=3, adaptive_min_coverage=2, adaptive_cap=2, adaptive_buckets=2), Config(cardinality_threshold=3, adaptive_min_coverage=1, adaptive_cap=3, adaptive_buckets=8, trigram_min_length=5)]
+    config = modes[seed] if seed else modes[2]
+    segments = []
+    for k in range(3):
+        names = [f"name{j}" for j in range(rnd.choice([2, 9]))]
+        segments.append([{"a": rnd.choice(names), "n": rnd.choice([rnd.randint(-3, 9), rnd.random() * 9] if k else [rnd.randint(-3, 9)]), "t": " ".join(rnd.choice(["error", "tim", "out", "fine"]) for _ in range(2))} for _ in range(12)])
+        segments[-1] = [{p: v for p, v in d.items() if rnd.random() < 0.8} for d in segments[-1]]
+        store.write_index(index_of(spark, segments[-1], config, per_rg=2), f"{tmp_path}/segment-{k:012d}")
+    rows = [d for s in segments for d in s]
+    index = merged_index(spark, str(tmp_path))
+    assert index.num_row_groups == 18
+    cases = [(EQ("$.a", f"name{j}"), lambda d, j=j: d.get("a") == f"name{j}") for j in range(9)]
+    cases += [(NE("$.a", "name0"), lambda d: d.get("a") not in (None, "name0")), (IN("$.a", "name1", "name5", "none"), lambda d: d.get("a") in ("name1", "name5")), (NIN("$.a", "name0", "name1"), lambda d: d.get("a") not in (None, "name0", "name1")), (GT("$.n", 4.5), lambda d: d.get("n", 0) > 4.5), (LTE("$.n", -1), lambda d: d.get("n", 0) <= -1), (EQ("$.n", 3), lambda d: d.get("n") == 3), (NE("$.n", 3), lambda d: d.get("n", 3) != 3), (Contains("$.t", "error"), lambda d: "error" in d.get("t", "")), (Regex("$.t", "tim out|fine fine"), lambda d: d.get("t") in ("tim out", "fine fine"))]
+    for (p, test), found in zip(cases, many(index, cases, "sound")):
+        assert {k // 2 for k, d in enumerate(rows) if test(d)} <= set(found), str(p)
+
+
 def test_sketches_and_sets(spark):
     terms = spark.createDataFrame([("p", t) for t in ("app", "apple", "apply", "bat", "batch", "é", "éa")], "path string, term string")
     coded = sketches.front_coded(terms, "path", block=3)
