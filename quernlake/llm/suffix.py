@@ -9,7 +9,7 @@ Over a corpus, suffixes that can't be part of a repeat are never sorted.  Each w
 is assigned to the q-gram with the least hash in it (winnowing): equal windows have equal q-grams, so only
 q-grams that occur more than once matter.  Equal contexts of one q-gram that a task meets are repeats and are sent on
 once; the others meet in one task for each q-gram, or, of q-grams in very many contexts, for each window, and are
-sorted there.  Refinement reads 16 bits of each word's hash; what still shares a bucket is a repeat if the 64-bit hashes
+sorted there.  Refinement reads eight bits of each word's hash; what still shares a bucket is a repeat if the 64-bit hashes
 of the whole windows are equal too.
 """
 
@@ -122,22 +122,20 @@ def _runs(hashes: np.ndarray, least: int, q: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _anchors(least: int, q: int):
-    """(anchor, doc_id, text_key, unit): the q-grams of each document; ``unit`` tells apart all occurrences."""
+    """(anchor, doc_id, text_key): the q-grams of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [], [], [], []
+            out = [], [], []
             ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             for at, w in textvec.chunks(batch.column(1), "words", lower=True):
                 for d in np.flatnonzero(np.diff(w.first) >= least):
-                    h, place, _, _ = _runs(w.hashes[w.first[d] : w.first[d + 1]], least, q)
-                    own = np.array([ids[at + d], keys[at + d]], np.int64).view(U64) * np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95], U64)
+                    h, _, _, _ = _runs(w.hashes[w.first[d] : w.first[d + 1]], least, q)
                     out[0].append(h)
                     out[1].append(np.full(len(h), ids[at + d]))
                     out[2].append(np.full(len(h), keys[at + d]))
-                    out[3].append(textvec.mix(place.astype(U64) + own[0] + textvec.mix(own[1:])))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in out], names=["anchor", "doc_id", "text_key", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in out], names=["anchor", "doc_id", "text_key"])
 
     return run
 
@@ -162,7 +160,7 @@ def _contexts(least: int, q: int):
                     if not len(keep):
                         continue
                     window = textvec.grams(hashes, least, seed=3)
-                    short = (hashes >> U64(48)).astype(np.uint16)
+                    short = (hashes >> U64(56)).astype(np.uint8)
                     crowded = np.isin(gram[keep], hot[at + d].values.to_numpy()).tolist()
                     # a context is told by all its windows
                     total = np.r_[U64(0), np.cumsum(textvec.mix(window))]
@@ -194,18 +192,20 @@ def _contexts(least: int, q: int):
 def _repeats(anchor: np.ndarray, doc: np.ndarray, key: np.ndarray, begin: np.ndarray, words: list[bytes], windows: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of window starts that repeat, of contexts sorted by anchor: context, first start, last start; and
     the contexts in which some window comes first of its equals."""
-    size = np.array([len(x) // 2 for x in words])
-    flat = np.frombuffer(b"".join(words), dtype=np.uint16)
+    size = np.array([len(x) for x in words])
+    flat = np.frombuffer(b"".join(words), dtype=np.uint8)
     edge = np.r_[0, np.cumsum(size)]
     starts = size - least + 1
     which = np.repeat(np.arange(len(words)), starts)
     inside = np.arange(len(which)) - np.repeat(np.cumsum(starts) - starts, starts)
     at = edge[which] + inside
-    # initial buckets: four 16-bit words are one integer
-    pad = np.r_[flat.astype(U64), np.zeros(4, U64)]
-    gram = (pad[:-4] << U64(48)) | (pad[1:-3] << U64(32)) | (pad[2:-2] << U64(16)) | pad[3:-1]
+    # initial buckets: eight words of a byte are one integer
+    pad = np.r_[flat.astype(U64), np.zeros(8, U64)]
+    gram = np.zeros(len(flat), U64)
+    for k in range(8):
+        gram = gram << U64(8) | pad[k : k + len(flat)]
     left = np.repeat(edge[1:], size) - np.arange(len(flat))
-    bucket = refine(ranks(gram), 4, least, left)[at]
+    bucket = refine(ranks(gram), 8, least, left)[at]
     # suffixes that begin alike are neighbours in the order: equal first words, one class
     order = np.argsort(bucket, kind="stable")
     alike = textvec.grams(flat.astype(U64), least, seed=9)[at[order]] if len(at) else np.zeros(0, U64)
@@ -270,10 +270,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, q: int = Q) -
     gives no row.
     """
     rows = texts(docs.where("doc_id is not null and text is not null")).withColumn("text_key", F.xxhash64("text"))
-    anchors = saved(rows.mapInArrow(_anchors(min_words, q), "anchor bigint, doc_id bigint, text_key bigint, unit bigint"), "anchors")
-    often = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("unit").alias("low"), F.max("unit").alias("high")).where("low <> high")
+    anchors = saved(rows.mapInArrow(_anchors(min_words, q), "anchor bigint, doc_id bigint, text_key bigint"), "anchors")
+    often = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     # one row an anchor on the right: an anchor of very many occurrences is split over tasks by adaptive execution
-    wanted = anchors.select("anchor", "doc_id", "text_key").join(often.select("anchor", (F.col("n") > HOT).alias("hot")), "anchor")
+    wanted = anchors.join(often.select("anchor", (F.col("n") > HOT).alias("hot")), "anchor")
     wanted = wanted.groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     marked = wanted.join(rows, ["doc_id", "text_key"]).select("doc_id", "text", "text_key", "anchors", "hot")
     contexts = marked.mapInArrow(_contexts(min_words, q), "anchor bigint, doc_id bigint, text_key bigint, begin bigint, words binary, windows binary")

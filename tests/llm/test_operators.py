@@ -182,7 +182,7 @@ def test_hot_anchors_and_repeated_rows_give_the_same_passages(spark, monkeypatch
 
 
 def test_templates_that_differ_in_a_word_do_not_repeat(spark):
-    """Words with equal leading 16 bits of their hashes, in one place of the same 99 words."""
+    """Words with equal leading 16 bits of their hashes (and so eight), in one place of the same 99 words."""
     seen, pairs = {}, []
     for k in range(3000):
         other = seen.setdefault(int(textvec.hash_words(f"name{k}")[0]) >> 48, k)
@@ -198,9 +198,9 @@ def test_an_anchor_with_more_contexts_than_fit_is_refined_in_pieces(monkeypatch)
     import pyarrow as pa
 
     rng = np.random.default_rng(5)
-    shared = rng.integers(0, 9000, 60).astype(np.uint16)
-    words = [np.r_[shared, rng.integers(0, 9000, 3).astype(np.uint16)].tobytes() for _ in range(40)]
-    windows = [textvec.grams(np.frombuffer(x, np.uint16).astype(np.uint64), 50).tobytes() for x in words]
+    shared = rng.integers(0, 256, 60).astype(np.uint8)
+    words = [np.r_[shared, np.array([k, 40 + k, 80 + k], np.uint8)].tobytes() for k in range(40)]
+    windows = [textvec.grams(np.frombuffer(x, np.uint8).astype(np.uint64), 50).tobytes() for x in words]
     batches = [pa.RecordBatch.from_arrays([pa.array([7] * 5), pa.array(range(k, k + 5)), pa.array([0] * 5), pa.array([0] * 5), pa.array(words[k : k + 5], pa.binary()), pa.array(windows[k : k + 5], pa.binary())], names=["anchor", "doc_id", "text_key", "begin", "words", "windows"]) for k in range(0, 40, 5)]
     monkeypatch.setattr(suffix, "CHUNK", 10)
     found = {(d, a, b) for x in suffix._sort(50)(iter(batches)) for d, a, b in zip(x.column(0).to_pylist(), x.column(2).to_pylist(), x.column(3).to_pylist())}
