@@ -71,12 +71,13 @@ def texts(docs: DataFrame, *others: str) -> DataFrame:
 
 
 def dropped_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows of which (doc_id, hash of the text) is in ``gone``, and with one row of those that
-    repeat both.  Repeats are aggregated before they are shuffled; only their rows are."""
-    names = [fresh(docs, c) for c in ("unit_id", "unit_key")]
-    keyed = docs.withColumns({names[0]: F.col("doc_id").cast("bigint"), names[1]: F.xxhash64("text")})
-    whole = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
-    repeated = keyed.where(whole).groupBy(*names).count().where("count > 1").select(*names)
-    keyed = keyed.join(gone.select(F.col("doc_id").alias(names[0]), F.col("text_key").alias(names[1])), names, "left_anti")
-    single = keyed.join(repeated, names, "left_anti")  # nulls are in no table
-    return single.union(keyed.join(repeated, names, "left_semi").select(single.columns).dropDuplicates(names)).select(*docs.columns)
+    """``docs`` without the rows of which (doc_id, hash of the text) is in ``gone``, and with one row, the first, of those
+    that repeat both.  ``docs`` must give its rows alike each time it is read, as a table does.  Repeats are found by an
+    aggregation over ids and hashes; the rows themselves are shuffled once, with what is known of them."""
+    names = [fresh(docs, c) for c in ("unit_id", "unit_key", "unit_row")]
+    keyed = docs.withColumns({names[0]: F.col("doc_id").cast("bigint"), names[1]: F.xxhash64("text"), names[2]: F.monotonically_increasing_id()})
+    units = keyed.where("doc_id is not null and text is not null").groupBy(*names[:2]).agg(F.count("*").alias("n"), F.min(names[2]).alias("stays"))
+    marks = units.where("n > 1").select(*names[:2], "stays").union(gone.select("doc_id", "text_key", F.lit(-1).cast("bigint")))
+    stays = fresh(keyed, "stays")
+    marks = marks.groupBy(*names[:2]).agg(F.min("stays").alias(stays))
+    return keyed.join(marks, names[:2], "left").where(F.col(stays).isNull() | (F.col(stays) == F.col(names[2]))).select(*docs.columns)

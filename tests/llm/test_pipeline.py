@@ -47,3 +47,71 @@ def test_odd_rows(spark, extra):
     for start in (docs, docs.where("false")):
         for x in _run(spark, start, DATA)[1:5]:
             assert x.columns == docs.columns
+
+
+def test_stages_are_those_of_brute_force(spark):
+    """Each stage on what the one before kept: scores text by text, all pairs of signatures, phrases word by word, MD5."""
+    import hashlib
+    import re
+
+    import numpy as np
+
+    from quernlake.llm import minhash, quality, sharding
+
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    texts = lambda df: {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
+    stages = _run(spark, docs, DATA)
+    found = [texts(x) for x in stages]
+
+    model, near = quality.fitted(docs, labels), 0
+    for i, t in found[0].items():
+        ids, share = quality.bag(t)
+        logit = model.bias + float(share @ model.weight[ids]) if len(ids) else -9
+        assert abs(logit) < 1e-3 or (logit >= 0) == (i in found[1])
+        near += abs(logit) < 1e-3
+    assert near <= 1
+
+    ids = sorted(found[1])
+    grams = [minhash.shingles(textvec.hash_words(found[1][i])) for i in ids]
+    sig, some = minhash.sketch(np.concatenate(grams), np.repeat(np.arange(len(ids)), [len(g) for g in grams]), len(ids))
+    least = list(range(len(ids)))
+    for a in range(len(ids)):
+        for b in np.flatnonzero((sig[:a] == sig[a]).mean(axis=1) >= minhash.SIMILARITY):
+            if some[a] and some[b]:
+                x, y = sorted((least[a], least[b]))
+                least = [x if z == y else z for z in least]
+    expected = {ids[k] for k in range(len(ids)) if least[k] == k}
+    assert len(expected) < len(ids) and expected <= set(found[2]) and len(set(found[2]) - expected) <= 0.02 * len(ids)
+
+    pattern = re.compile(r"[0-9A-Za-z_\x80-\U0010ffff]+")
+    phrases = set()
+    for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect():
+        w = [x.lower() for x in pattern.findall(r["text"] or "")]
+        phrases |= {tuple(w[k : k + 8]) for k in range(max(1, len(w) - 7)) if w}
+    cut = 0
+    for i, t in found[2].items():
+        words = list(pattern.finditer(t))
+        lower = [m[0].lower() for m in words]
+        spans: list[list[int]] = []
+        for k in range(len(words)):
+            for n in {len(p) for p in phrases}:
+                if tuple(lower[k : k + n]) in phrases and k + n <= len(words):
+                    if spans and k <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], k + n)
+                    else:
+                        spans.append([k, k + n])
+        left, at = "", 0
+        for a, b in spans:
+            left, at = left + t[at : words[a].start()], words[b - 1].end()
+        left += t[at:]
+        cut += bool(spans)
+        assert found[3].get(i, "") == left if pattern.search(left) or not words else i not in found[3]
+    assert cut
+
+    assert set(found[4]) <= set(found[3]) and all(found[4][i] == found[3][i] for i in found[4])
+    rows = stages[5].collect()
+    version, now = sharding.stored(docs, sharding.map_path(docs, "pipeline"))
+    for r in rows:
+        slot = int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:8], 16) % sharding.SLOTS
+        assert (r["slot"], r["shard"], r["version"]) == (slot, now[slot], version)
+    assert {r["doc_id"] for r in rows} == set(found[4])
