@@ -54,11 +54,14 @@ def column_predicate(column: Column, kind: str, p: Predicate) -> Column:
 
 
 def filtered_rows(df: DataFrame, rg_id: Column, index: Index, predicates: list[Predicate], mode: str = "sound") -> DataFrame:
-    """Rows of a typed table that satisfy all predicates.  Simple column predicates reach the scan; the candidate row
-    groups join by semi-join, broadcast when Spark finds them small."""
+    """Rows of a typed table that satisfy all predicates.  Simple column predicates reach the scan.  The candidate row
+    groups of a written index join by semi-join, broadcast when Spark finds them small; an index that isn't written would be
+    made of the rows that the filter reads anyhow, so it is asked only where it decides (``compat``)."""
     kinds = dict(df.dtypes)
-    rgs = candidates(index, predicates, mode).select(F.col("rg_id").alias("__rg"))
-    out = df.join(rgs, rg_id.cast("bigint") == F.col("__rg"), "left_semi")
+    out = df
+    if index.written or mode == "compat":
+        rgs = candidates(index, predicates, mode).select(F.col("rg_id").alias("__rg"))
+        out = df.join(rgs, rg_id.cast("bigint") == F.col("__rg"), "left_semi")
     for p in predicates:
         name = p.path[2:]
         out = out.where(column_predicate(F.col(f"`{name}`"), kinds[name], p))

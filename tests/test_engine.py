@@ -342,7 +342,7 @@ def test_merged_segments_lose_no_match(spark, tmp_path):
     assert rgs(index, GT("$.n", 2**53), mode="sound") == [0] and rgs(index, EQ("$.n", 2**53), mode="sound") == [] and rgs(index, NE("$.n", 2**53), mode="sound") == [0, 3]
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_written_and_merged_indexes_are_sound_in_every_mode(spark, tmp_path, seed):
     """Random segments and modes: no row group with a match is lost, before or after writing, alone or merged."""
     import random
@@ -351,16 +351,16 @@ def test_written_and_merged_indexes_are_sound_in_every_mode(spark, tmp_path, see
 
     rnd = random.Random(seed)
     modes = [Config(), Config(cardinality_threshold=3, adaptive_cap=0), Config(cardinality_threshold=3, adaptive_min_coverage=2, adaptive_cap=2, adaptive_buckets=2), Config(cardinality_threshold=3, adaptive_min_coverage=1, adaptive_cap=3, adaptive_buckets=8, trigram_min_length=5)]
-    config = modes[seed] if seed else modes[2]
+    config = modes[1 + 2 * seed]
     segments = []
-    for k in range(3):
+    for k in range(2):
         names = [f"name{j}" for j in range(rnd.choice([2, 9]))]
         segments.append([{"a": rnd.choice(names), "n": rnd.choice([rnd.randint(-3, 9), rnd.random() * 9] if k else [rnd.randint(-3, 9)]), "t": " ".join(rnd.choice(["error", "tim", "out", "fine"]) for _ in range(2))} for _ in range(12)])
         segments[-1] = [{p: v for p, v in d.items() if rnd.random() < 0.8} for d in segments[-1]]
         store.write_index(index_of(spark, segments[-1], config, per_rg=2), f"{tmp_path}/segment-{k:012d}")
     rows = [d for s in segments for d in s]
     index = merged_index(spark, str(tmp_path))
-    assert index.num_row_groups == 18
+    assert index.num_row_groups == 12
     cases = [(EQ("$.a", f"name{j}"), lambda d, j=j: d.get("a") == f"name{j}") for j in range(9)]
     cases += [(NE("$.a", "name0"), lambda d: d.get("a") not in (None, "name0")), (IN("$.a", "name1", "name5", "none"), lambda d: d.get("a") in ("name1", "name5")), (NIN("$.a", "name0", "name1"), lambda d: d.get("a") not in (None, "name0", "name1")), (GT("$.n", 4.5), lambda d: d.get("n", 0) > 4.5), (LTE("$.n", -1), lambda d: d.get("n", 0) <= -1), (EQ("$.n", 3), lambda d: d.get("n") == 3), (NE("$.n", 3), lambda d: d.get("n", 3) != 3), (Contains("$.t", "error"), lambda d: "error" in d.get("t", "")), (Regex("$.t", "tim out|fine fine"), lambda d: d.get("t") in ("tim out", "fine fine"))]
     for (p, test), found in zip(cases, many(index, cases, "sound")):
