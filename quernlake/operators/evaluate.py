@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernlake.functions.text import python_ngrams
-from quernlake.operators.index import ADAPTIVE, BLOOM_ONLY, Entry, Index, bucket
+from quernlake.operators.index import ADAPTIVE, BLOOM_ONLY, EXACT_MODE, Entry, Index, bucket
 from quernlake.operators.observe import observed
 from quernlake.plans import jsonpath, regex_literals
 from quernlake.plans.predicates import Aliased, Predicate, as_term, exact_int, is_number, rounded_int
@@ -86,6 +86,8 @@ def matching_doc_ids(index: Index, rgs: DataFrame) -> DataFrame:
 class _Evaluator:
     def __init__(self, index: Index, entry: Entry, mode: str):
         self.index, self.e, self.sound = index, entry, mode == "sound"
+        # a sound answer about a term is exact: postings of adaptive paths are made, and written, as those of exact ones are
+        self.exact_terms = entry.mode == EXACT_MODE or (self.sound and entry.mode == ADAPTIVE)
 
     def table(self, name: str) -> DataFrame:
         return self.index.table(name, self.e.path)
@@ -137,7 +139,7 @@ class _Evaluator:
             return _Plan(NONE)
         if e.mode == BLOOM_ONLY:
             return _Plan(ALL, False)
-        if e.mode == ADAPTIVE:
+        if not self.exact_terms:
             # in each segment: where the term is promoted those row groups, else those of its bucket
             hot = self.table("promoted").where(F.col("term") == term)
             cold = self.table("buckets").where(F.col("bucket") == bucket(F.lit(term), self.index.config.adaptive_buckets))
@@ -165,7 +167,7 @@ class _Evaluator:
         every = list(plans)
         exact = lambda: all(p.is_exact() for p in every)
         parts = []
-        if terms and self.e.mode not in (BLOOM_ONLY, ADAPTIVE) and self.e.has_strings:
+        if terms and self.exact_terms and self.e.has_strings:
             parts.append(self.table("string_postings").where(F.col("term").isin(terms)).select("rg_id"))
             plans = [p for v, p in zip(dict.fromkeys(values), plans) if as_term(v) is None]
         parts += [p.rgs for p in plans if not isinstance(p.rgs, str)]
@@ -193,7 +195,7 @@ class _Evaluator:
         terms = [t for t in map(as_term, values) if t is not None]
         parts = []
         if e.has_strings:
-            if e.mode in (BLOOM_ONLY, ADAPTIVE):
+            if not self.exact_terms:
                 return _Plan(self.present(), False)
             parts.append(self.table("string_postings").where(~F.col("term").isin(terms) if terms else F.lit(True)).select("rg_id"))
         if e.numeric:
