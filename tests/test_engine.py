@@ -115,6 +115,18 @@ def test_adaptive_and_bloom_only_paths(spark):
     assert report["$.field"]["mode"] == "adaptive-hybrid" and report["$.field"]["promoted"] == 1 and report["$.field"]["buckets"] == 4
 
 
+def test_sound_answers_about_terms_of_adaptive_paths_are_exact(spark, tmp_path):
+    """Terms that share a bucket don't bring each other's row groups; neither before nor after writing."""
+    texts = [{"field": v, "other": v.upper()} for v in ("hot", "hot", "tail_2", "tail_3", "tail_4", "tail_5")]
+    config = Config(cardinality_threshold=1, adaptive_min_coverage=2, adaptive_cap=4, adaptive_buckets=1).with_representation("$.other", "lower", "to_lower")
+    made = index_of(spark, texts, config)
+    store.write_index(made, str(tmp_path / "index"))
+    for index in (made, store.read_index(spark, str(tmp_path / "index"))):
+        for k in range(2, 6):
+            cases = [(EQ("$.field", f"tail_{k}"), [k]), (EQ("$.other", aliased("lower", f"tail_{k}")), [k]), (IN("$.field", f"tail_{k}", "hot"), [0, 1, k]), (NE("$.field", "hot"), [2, 3, 4, 5])]
+            assert many(index, cases, "sound") == [expected for _, expected in cases]
+
+
 def test_regex_row_groups(spark):
     index = index_of(spark, [{"brand": b} for b in ("Toyota Corolla is reliable", "Tesla Model 3 is electric", "Ford Mustang is powerful", "Both Toyota and Tesla are popular", "Honda Civic is economical")])
     for pattern, expected in (("Toyota", [0, 3]), ("Toyota|Tesla", [0, 1, 3]), ("Toyota|Tesla|Ford", [0, 1, 2, 3]), ("BMW|Mercedes", [])):
