@@ -40,14 +40,20 @@ def bloom_positions(column: Column, bits: int, hashes: int) -> Column:
 
 
 def _wrapping_sum(a: Column, b: Column, k: Column) -> Column:
-    exact = a.cast("decimal(38,0)") + b.cast("decimal(38,0)") * k.cast("decimal(10,0)")
-    two64, two63 = F.lit(str(1 << 64)).cast("decimal(38,0)"), F.lit(str(1 << 63)).cast("decimal(38,0)")
-    return (F.pmod(exact + two63, two64) - two63).cast("bigint")
+    """a + b * k modulo 2^64, by halves, none of which overflows."""
+    half = F.lit(0xFFFFFFFF)
+    low = a.bitwiseAND(half) + b.bitwiseAND(half) * k
+    high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) * k + F.shiftrightunsigned(low, 32)
+    return F.shiftleft(high.bitwiseAND(half), 32).bitwiseOR(low.bitwiseAND(half))
+
+
+def bits_on(values: DataFrame, column: str, bits: int, hashes: int) -> DataFrame:
+    """(p) the bits that are set in the Bloom filter of a column's values."""
+    return values.select(F.explode(bloom_positions(F.col(column), bits, hashes)).alias("p")).distinct()
 
 
 def build_bloom(values: DataFrame, column: str, bits: int, hashes: int) -> Bloom:
-    on = values.select(F.explode(bloom_positions(F.col(column), bits, hashes)).alias("p")).distinct()
-    return Bloom(bits, hashes, frozenset(r[0] for r in on.collect()))
+    return Bloom(bits, hashes, frozenset(r[0] for r in bits_on(values, column, bits, hashes).collect()))
 
 
 def distinct_sketch(column: str, precision: int = 12) -> Column:

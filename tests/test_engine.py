@@ -379,6 +379,22 @@ def test_written_and_merged_indexes_are_sound_in_every_mode(spark, tmp_path, see
         assert {k // 2 for k, d in enumerate(rows) if test(d)} <= set(found), str(p)
 
 
+def test_bloom_membership_sifts_false_positives(spark, monkeypatch):
+    """All names share one bit of the filter; those of other segments go all the same."""
+    from quernlake import queries as engine
+
+    monkeypatch.setattr(sketches, "bloom_positions", lambda column, bits, hashes: F.array(F.lit(0).cast("bigint")))
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").where("c_mktsegment = 'BUILDING'")
+    found = engine.bloom_membership(spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, customers.select("c_custkey", "c_name").collect()))
+
+
+def test_bloom_positions_wrap_as_those_of_literals(spark):
+    texts = [f"t{k}" for k in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select("s", sketches.bloom_positions(F.col("s"), 8192, 7).alias("p"))
+    assert all(r["p"] == sketches._positions(r["s"], 8192, 7) for r in rows.collect())
+
+
 def test_sketches_and_sets(spark):
     terms = spark.createDataFrame([("p", t) for t in ("app", "apple", "apply", "bat", "batch", "é", "éa")], "path string, term string")
     coded = sketches.front_coded(terms, "path", block=3)
