@@ -9,6 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+SHORT = 64  # characters
+
+
 def ngrams(column: Column, n: int = 3, padding: str = "") -> Column:
     """Distinct lower-cased character n-grams, without those of white space or of punctuation and symbols only."""
     if n < 2:
@@ -18,7 +21,9 @@ def ngrams(column: Column, n: int = 3, padding: str = "") -> Column:
         text = F.concat(F.lit(padding * (n - 1)), text, F.lit(padding * (n - 1)))
     # one pass cuts the text into characters, which are then reached by their place: linear in the length
     characters = F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
-    grams = F.transform(characters, lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*[F.get(c, i + k) for k in range(n)])))[0]
+    long = F.transform(characters, lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*[F.get(c, i + k) for k in range(n)])))[0]
+    short = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))  # cheaper there, but quadratic
+    grams = F.when(F.length(text) <= SHORT, short).otherwise(long)
     kept = F.filter(F.array_distinct(grams), lambda g: ~g.rlike(r"(?U)^(\s+|[\p{P}\p{S}]+)$"))
     empty = F.array().cast("array<string>")
     return F.when(F.length(text) >= n, kept).otherwise(F.when(column.isNotNull(), empty))

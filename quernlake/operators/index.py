@@ -9,7 +9,7 @@ written index (sources.store) serves the same tables from Parquet, sorted by pat
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +27,7 @@ from quernlake.sources import scratch
 EXACT_MODE, BLOOM_ONLY, ADAPTIVE = "exact", "bloom-only", "adaptive-hybrid"
 TYPES = {"string": 1, "int": 2, "float": 4, "bool": 8, "null": 16}
 TYPE_NAMES = ("string", "int", "float", "bool", "null")
+TASK_BYTES = 2 << 20  # of values whose rows one task turns into tables: trigrams are some hundred times that in memory
 TABLES = ("row_groups", "path_directory", "string_postings", "promoted", "buckets", "numeric_stats", "strlen_stats", "null_stats", "trigrams", "hll", "doc_id_map")
 
 
@@ -135,6 +136,7 @@ class Index:
     bloom: Bloom | None = None
     raw: DataFrame | None = None
     written: bool = False  # whether the tables are stored, so that reading them is cheaper than making them
+    spread: Callable[[], tuple["Index", int]] | None = None  # the same index over rows that lie by row groups in that many tasks
     _entries: dict[str, Entry | None] = field(default_factory=dict)
 
     def table(self, name: str, path: str | None = None) -> DataFrame:
@@ -227,7 +229,19 @@ def index_table(df: DataFrame, rg_id: Column, row_groups: DataFrame, num_row_gro
         made, _ = shredding.companions(obs, config)
         return obs if made is None else obs.unionByName(made)
 
-    return Index(config, num_row_groups, df.sparkSession, _provider(df.sparkSession, observe, row_groups, num_row_groups, config, None))
+    def spread() -> tuple[Index, int]:
+        kinds = dict(df.dtypes)
+        size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) if kinds[c] == "string" else F.lit(8) for c in names), F.lit(0))
+        tasks = _tasks(df, size)
+        rows = df.select(*[f"`{c}`" for c in names], rg_id.cast("bigint").alias("__rg_id")).repartition(tasks, "__rg_id")
+        return index_table(rows, F.col("__rg_id"), row_groups, num_row_groups, names, config), tasks
+
+    return Index(config, num_row_groups, df.sparkSession, _provider(df.sparkSession, observe, row_groups, num_row_groups, config, None), spread=spread)
+
+
+def _tasks(rows: DataFrame, size: Column) -> int:
+    """Of how many tasks each has a bounded part of the rows, however few files they come from."""
+    return min(100_000, -(-(rows.agg(F.sum(size.cast("bigint"))).first()[0] or 1) // TASK_BYTES))
 
 
 @observed("build")
@@ -241,16 +255,24 @@ def build_index(docs: DataFrame, num_row_groups: int, config: Config | None = No
     if num_row_groups <= 0:
         raise ValueError("the number of row groups must be positive")
     spark = docs.sparkSession
-    beyond = docs.where((F.col("rg_id") >= num_row_groups) | (F.col("rg_id") < 0)).limit(1).count()
-    if beyond:
-        raise ValueError("a document lies beyond the last row group")
     shredded = shredding.shred(docs, config, parser, keep or scratch.saved)
+    if not shredded.raw.where((F.col("rg_id") >= num_row_groups) | (F.col("rg_id") < 0)).isEmpty():
+        scratch.discard(shredded.raw)
+        raise ValueError("a document lies beyond the last row group")
     shredding.raise_first(shredded, config)
     # where every failure is hard, no document is rejected from here on
     obs = shredded.all_ if shredding.all_hard(config) else shredded.observations
     row_groups = spark.range(num_row_groups).select(F.col("id").alias("rg_id"))
     ids = docs.select(F.col("rg_id").cast("bigint"), F.col("doc_id").cast("bigint")).distinct() if "doc_id" in docs.columns else None
-    return Index(config, num_row_groups, spark, _provider(spark, lambda _: obs, row_groups, num_row_groups, config, ids), shredded.rejects, shredded.skipped_representations, raw=shredded.raw)
+    made = Index(config, num_row_groups, spark, _provider(spark, lambda _: obs, row_groups, num_row_groups, config, ids), shredded.rejects, shredded.skipped_representations, raw=shredded.raw)
+
+    def spread() -> tuple[Index, int]:
+        tasks = _tasks(shredded.raw, F.coalesce(F.octet_length("s"), F.lit(0)) + 8)
+        rows = obs.repartition(tasks, "rg_id")
+        return replace(made, provide=_provider(spark, lambda _: rows, row_groups, num_row_groups, config, ids), spread=None, _entries={}), tasks
+
+    made.spread = spread
+    return made
 
 
 def type_names(types: int) -> list[str]:
