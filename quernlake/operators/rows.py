@@ -11,6 +11,7 @@ from quernlake.operators.evaluate import candidates
 from quernlake.operators.index import Index
 from quernlake.operators.shred import epoch_ms
 from quernlake.plans.predicates import Aliased, Predicate, as_term, is_number
+from quernlake.sources import scratch
 
 
 def column_predicate(column: Column, kind: str, p: Predicate) -> Column:
@@ -69,12 +70,16 @@ def filtered_rows(df: DataFrame, rg_id: Column, index: Index, predicates: list[P
 
 
 def matching_documents(docs: DataFrame, index: Index, predicates: list[Predicate], mode: str = "sound") -> DataFrame:
-    """Documents (rg_id, doc_seq, json) that satisfy all predicates, each by some value of its path."""
+    """Documents (rg_id, doc_seq, json) that satisfy all predicates, each by some value of its path.  An index that was made of
+    the documents in this session has their values, so texts are parsed again only after a written one, and once;
+    of the former, row groups are asked only where they decide (``compat``)."""
     from quernlake.operators import shred as shredding
 
-    rgs = candidates(index, predicates, mode)
-    kept = docs.join(rgs, "rg_id", "left_semi")
-    obs = shredding.shred(kept, index.config).observations
+    made = index.raw is not None
+    kept = docs
+    if not made or mode == "compat":
+        kept = docs.join(candidates(index, predicates, mode), "rg_id", "left_semi")
+    obs = index.provide("observations", None) if made else shredding.shred(kept, index.config, keep=scratch.saved).observations
     out = kept
     for p in predicates:
         hits = obs.where(observation_predicate(index, p)).select("doc_seq").distinct()

@@ -18,6 +18,7 @@ from quernlake.operators.observe import observed
 
 _FOOTER = "file string, column boolean, rows array<bigint>"
 FILES = 64  # files whose footers a task reads
+ROWS = 1 << 17  # rows of a row group that a task reads at most
 
 
 def _opened(uri: str, options: dict[str, str]) -> tuple[pafs.FileSystem, str]:
@@ -59,19 +60,26 @@ def _footers(column: str, options: dict[str, str]):
 
 
 def _groups(column: str, options: dict[str, str]):
-    """The documents of row groups: each task reads the column's chunks of its own ones."""
+    """The documents of row groups, or of a range of a large one's rows: each task reads the column's chunks of its own ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, k, rg, first in zip(*(c.to_pylist() for c in batch.columns)):
+            for file, k, rg, first, skip, take in zip(*(c.to_pylist() for c in batch.columns)):
                 fs, path = _opened(file, options)
                 with fs.open_input_file(path) as f:
                     for part in pq.ParquetFile(f).iter_batches(row_groups=[k], columns=[column], batch_size=8192):
+                        if skip >= len(part):
+                            skip -= len(part)
+                            continue
+                        part, skip = part.slice(skip, take), 0
+                        take -= len(part)
                         text = part.column(0).cast(pa.string())
                         seq = pa.array(range(first, first + len(text)), pa.int64())
                         first += len(text)
                         some = pc.is_valid(text)
                         yield pa.RecordBatch.from_arrays([pa.array([rg] * len(text), pa.int64()), seq, text], names=["rg_id", "doc_seq", "json"]).filter(some)
+                        if not take:
+                            break
 
     return run
 
@@ -82,8 +90,8 @@ def parquet_documents(spark: SparkSession, source: str | list[str], column: str)
 
     ``source``: a file, folder or glob of any Hadoop file system, or a list of files.  Files count in the order of
     their names; row groups and rows are numbered through.  Footers are read in tasks, and then the driver holds one
-    entry a row group, as the index has; a task reads the column of whole row groups, so documents find theirs without
-    a join.  Null cells are no documents, and row groups keep their own number even when all their cells are null.
+    entry a row group (or 2^17 rows of one, as a row group may hold all rows of a file); a task reads the column of those
+    rows, so documents find theirs without a join.  Null cells are no documents, and row groups keep their own number even when all their cells are null.
     """
     files = sorted(dict.fromkeys(source if isinstance(source, list) else data_files(spark, source)))
     if not files:
@@ -96,10 +104,10 @@ def parquet_documents(spark: SparkSession, source: str | list[str], column: str)
         if not there:
             raise KeyError(f"{file} has no column {column!r}")
         for k, n in enumerate(rows):
-            units.append((file, k, rg, at))
+            units += [(file, k, rg, at + skip, skip, min(ROWS, n - skip)) for skip in range(0, n, ROWS)]
             rg, at = rg + 1, at + n
     tasks = max(1, min(len(units), 100_000))
-    groups = spark.createDataFrame(units, "file string, k int, rg bigint, first bigint").repartition(tasks, "rg")
+    groups = spark.createDataFrame(spark.sparkContext.parallelize(units, tasks), "file string, k int, rg bigint, first bigint, skip bigint, take bigint")
     return groups.mapInArrow(_groups(column, options), "rg_id bigint, doc_seq bigint, json string"), rg
 
 
