@@ -203,6 +203,16 @@ def companions(observations: DataFrame, config: Config) -> tuple[DataFrame | Non
 FLOAT, HUGE, BOTH = 1, 2, 3  # what a document has of a path: a float, an integer beyond 2^53, both
 
 
+def _huge() -> Column:
+    return (F.col("kind") == "int") & ((F.col("i") > EXACT) | (F.col("i") < -EXACT))
+
+
+def _risky(good: DataFrame) -> DataFrame:
+    """(path) of the paths that have floats and integers beyond 2^53; no others can make promotion reject a document."""
+    numbers = good.where("kind in ('int', 'float')")
+    return numbers.groupBy("path").agg(F.max(_huge()).alias("large"), F.max(F.col("kind") == "float").alias("floats")).where("large and floats").select("path")
+
+
 def _promotions(good: DataFrame) -> DataFrame:
     """Documents that the ordered numeric promotion rejects.  A path's first number decides whether it holds integers
     only; a float later makes it mixed, unless an integer so far is beyond 2^53, and a mixed path takes no
@@ -213,9 +223,8 @@ def _promotions(good: DataFrame) -> DataFrame:
     path does the order of documents matter across paths: then, and then only, they are read in order.
     """
     numbers = good.where("kind in ('int', 'float')")
-    huge = (F.col("kind") == "int") & ((F.col("i") > EXACT) | (F.col("i") < -EXACT))
-    risky = numbers.groupBy("path").agg(F.max(huge).alias("large"), F.max(F.col("kind") == "float").alias("floats")).where("large and floats").select("path")
-    events = numbers.where((F.col("kind") == "float") | huge).join(risky, "path", "left_semi")
+    huge = _huge()
+    events = numbers.where((F.col("kind") == "float") | huge).join(_risky(good), "path", "left_semi")
     events = events.groupBy("path", "doc_seq").agg(F.bit_or(F.when(huge, HUGE).otherwise(FLOAT)).alias("has"))
     both = events.where(F.col("has") == BOTH)
     single = events.join(both.select("doc_seq"), "doc_seq", "left_anti")
@@ -260,7 +269,8 @@ def shred(docs: DataFrame, config: Config | None = None, parser=None, keep=None)
 
     Hard failure modes leave it to the caller to raise the first reject (:func:`raise_first`); soft ones drop the
     document.  ``parser`` may turn the json column into one of strict JSON first; ``keep`` may store what the one pass
-    over the texts gives, which is read several times.
+    over the texts gives, which is read several times; then two looks at what is stored tell whether any document is rejected,
+    and if none is, nothing is joined.
     """
     config = config or Config()
     rows = docs.select(F.col("rg_id").cast("bigint"), F.col("doc_seq").cast("bigint"), (parser(F.col("json")) if parser else F.col("json")).alias("json"))
@@ -272,6 +282,8 @@ def shred(docs: DataFrame, config: Config | None = None, parser=None, keep=None)
     good = raw.where(~F.col("kind").startswith(_REJECT))
     made, failed = companions(good, config)
     none = rejects.where("false").select("rg_id", "doc_seq", "path", F.lit("").alias("alias"))
+    if keep and failed is None and bad.isEmpty() and _risky(good).isEmpty():
+        return Shredded(good, rejects, none, good, raw)
     skipped = none
     if failed is not None:
         hard = failed.where(F.col("mode") == HARD).select("rg_id", "doc_seq", F.lit(TRANSFORMER).alias("layer"), "path", F.lit(None).cast("string").alias("value"), F.concat(F.lit("the transformer of alias "), "alias", F.lit(" gave nothing")).alias("message"))
