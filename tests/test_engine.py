@@ -449,3 +449,65 @@ def test_boundaries_are_observed(golden, spark, caplog):
     assert "alice" not in caplog.text and "evaluate" in caplog.text
     with pytest.raises(ValueError), observe.boundary("x", None, value="secret"):
         pass
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["json_observations", "json_nested_paths"])
+def test_texts_are_parsed_once(spark, name):
+    """What the pass over the texts gave is stored; no result reads it by another pass, or joins where nothing is rejected."""
+    from quernlake import queries as engine
+
+    plan = _plan(engine.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "MapInArrow" not in plan and "Join" not in plan
+
+
+def test_row_groups_are_read_in_bounded_parts(spark, tmp_path, monkeypatch):
+    """A row group of many rows is several tasks' work; documents are found by the values that the index was made of."""
+    rows = [f'{{"n":{k}}}' if k % 7 else None for k in range(95)]
+    pq.write_table(pa.table({"j": rows}), str(tmp_path / "a.parquet"), row_group_size=60)
+    monkeypatch.setattr(documents, "ROWS", 25)
+    docs, n = documents.parquet_documents(spark, str(tmp_path / "a.parquet"), "j")
+    assert n == 2 and docs.rdd.getNumPartitions() == 5
+    assert sorted(map(tuple, docs.collect())) == [(k // 60, k, t) for k, t in enumerate(rows) if t]
+    for mode in ("sound", "compat"):
+        found = matching_documents(docs, build_index(docs, n), [GTE("$.n", 50), LT("$.n", 62)], mode)
+        assert sorted(r["doc_seq"] for r in found.collect()) == [k for k in range(50, 62) if k % 7]
+    assert _plan(matching_documents(docs, build_index(docs, n), [GTE("$.n", 50)])).split("== Physical Plan ==")[1].count("MapInArrow") == 1
+
+
+def test_frequent_trigrams_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from quernlake.operators import index as ix
+
+    monkeypatch.setattr(ix, "TASK_BYTES", 500)
+    df = spark.createDataFrame([(k, f"abc{k % 3}") for k in range(1000)], "k bigint, t string").coalesce(1)
+    rg = F.expr("k div 4")
+    index = ix.index_table(df, rg, df.select(rg.alias("rg_id")).distinct(), 250, ["t"])
+    store.write_index(index, str(tmp_path / "index"))
+    read = spark.read.parquet(str(tmp_path / "index/trigrams")).where("gram = 'abc'")
+    assert read.count() == 250 and read.select(F.input_file_name()).distinct().count() > 1
+    assert rgs(store.read_index(spark, str(tmp_path / "index")), Contains("$.t", "ABC2"), mode="sound") == [k for k in range(250) if any(j % 3 == 2 for j in range(4 * k, 4 * k + 4))]
+
+
+def test_kept_indexes_write_what_is_asked_for(spark, tmp_path):
+    df = spark.createDataFrame([(k, "ab" + "cdefg"[k % 5]) for k in range(40)], "k bigint, t string")
+    df.write.parquet(str(tmp_path / "t.parquet"))
+    built = []
+
+    def build():
+        from quernlake.operators.index import index_table
+
+        built.append(1)
+        rg = F.expr("k div 4")
+        return index_table(df, rg, df.select(rg.alias("rg_id")).distinct(), 10, ["t"], Config(cardinality_threshold=2, adaptive_min_coverage=1, adaptive_cap=1, adaptive_buckets=4))
+
+    ask = lambda: store.kept_index(spark, str(tmp_path / "t.parquet"), "t", build, str(tmp_path / "kept"))
+    expected = [k for k in range(10) if any(j % 5 == 0 for j in range(4 * k, 4 * k + 4))]
+    assert rgs(ask(), EQ("$.t", "abc"), mode="sound") == expected and ask().num_row_groups == 10
+    folder = next((tmp_path / "kept").iterdir())
+    assert {p.name for p in folder.iterdir() if p.is_dir()} == {"row_groups", "path_directory", "string_postings"}
+    assert rgs(ask(), EQ("$.t", "abc"), mode="sound") == expected and built == [1]
+    assert rgs(ask(), Contains("$.t", "abc"), mode="sound") == expected and built == [1, 1]
+    assert set(expected) <= set(rgs(ask(), EQ("$.t", "abc"), mode="compat"))
