@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernlake.functions.text import python_ngrams
+from quernlake.operators import rgset
 from quernlake.operators.index import ADAPTIVE, BLOOM_ONLY, EXACT_MODE, Entry, Index, bucket
 from quernlake.operators.observe import observed
 from quernlake.plans import jsonpath, regex_literals
@@ -73,7 +74,7 @@ def candidates(index: Index, predicates: list[Predicate], mode: str = "sound") -
             if plan.rgs == NONE:
                 return index.table("row_groups").select("rg_id").limit(0)
             continue
-        out = out.join(plan.rgs.select("rg_id"), "rg_id", "left_semi")
+        out = rgset.intersect(out, plan.rgs)
     return out
 
 
@@ -184,7 +185,7 @@ class _Evaluator:
             return _Plan(self.present())
         if isinstance(plan.rgs, str):
             return _Plan(NONE) if plan.rgs == ALL else _Plan(self.present())
-        return _Plan(self.present().join(plan.rgs, "rg_id", "left_anti"))
+        return _Plan(rgset.invert(plan.rgs, self.present()))
 
     def none_of(self, values: list[Any]) -> _Plan:
         """Row groups in which some value differs from all of ``values``: those with another term, with a number
@@ -269,7 +270,7 @@ class _Evaluator:
             some = grams[k : k + FLAGS]
             flags = rows.groupBy("rg_id").agg(*[F.bool_or(F.contains(F.lower("s"), F.lit(g))).alias(f"g{j}") for j, g in enumerate(some)])
             found = flags.where(" and ".join(f"g{j}" for j in range(len(some)))).select("rg_id")
-            out = found if out is None else out.join(found, "rg_id", "left_semi")
+            out = found if out is None else rgset.intersect(out, found)
         return out
 
     def regex(self, value: Any) -> _Plan:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from functools import cached_property, reduce
+from functools import cache, cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -179,6 +179,8 @@ class Index:
 
 
 def _provider(spark: SparkSession, observe: Callable[[str | None], DataFrame], row_groups: DataFrame, n: int, config: Config, doc_ids: DataFrame | None) -> Callable[[str, str | None], DataFrame]:
+    groups = cache(lambda: n or row_groups.count())  # coverage is a share of them
+
     def provide(name: str, path: str | None) -> DataFrame:
         if name == "row_groups":
             return row_groups
@@ -204,7 +206,7 @@ def _provider(spark: SparkSession, observe: Callable[[str | None], DataFrame], r
         postings = string_postings(obs)
         if name == "string_postings":
             return postings
-        hot = promoted_terms(postings, config, n)
+        hot = promoted_terms(postings, config, groups())
         if name == "promoted":
             return postings.join(hot.select("path", "term"), ["path", "term"], "left_semi").withColumn("segment", F.lit(0))
         if name == "buckets":

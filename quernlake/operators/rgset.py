@@ -1,4 +1,5 @@
-"""Algebra of row-group sets, as DataFrames of distinct ``rg_id`` over a universe."""
+"""Algebra of row-group sets, as DataFrames of distinct ``rg_id`` over a universe.  Rows of a typed table without a key are a row
+group too, NULL."""
 
 from __future__ import annotations
 
@@ -23,8 +24,12 @@ def nothing(rgs: DataFrame) -> DataFrame:
     return rgs.limit(0)
 
 
+def matched(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    return a.join(b.select(F.col("rg_id").alias("__rg")), F.col("rg_id").eqNullSafe(F.col("__rg")), how)
+
+
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b, "rg_id", "left_semi")
+    return matched(a, b, "left_semi")
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -32,7 +37,7 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def invert(a: DataFrame, all_: DataFrame) -> DataFrame:
-    return all_.join(a, "rg_id", "left_anti")
+    return matched(all_, a, "left_anti")
 
 
 def added(a: DataFrame, rg: int, all_: DataFrame) -> DataFrame:

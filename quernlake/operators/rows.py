@@ -62,7 +62,7 @@ def filtered_rows(df: DataFrame, rg_id: Column, index: Index, predicates: list[P
     out = df
     if index.written or mode == "compat":
         rgs = candidates(index, predicates, mode).select(F.col("rg_id").alias("__rg"))
-        out = df.join(rgs, rg_id.cast("bigint") == F.col("__rg"), "left_semi")
+        out = df.join(rgs, rg_id.cast("bigint").eqNullSafe(F.col("__rg")), "left_semi")
     for p in predicates:
         name = p.path[2:]
         out = out.where(column_predicate(F.col(f"`{name}`"), kinds[name], p))

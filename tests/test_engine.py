@@ -14,8 +14,9 @@ from quernlake.operators import shred as shredding
 from quernlake.operators.evaluate import matching_doc_ids
 from quernlake.operators.index import path_report
 from quernlake.operators.report import experiment
-from quernlake.operators.rows import matching_documents, pruning
+from quernlake.operators.rows import filtered_rows, matching_documents, pruning
 from quernlake.plans.predicates import parse_predicate
+from quernlake.queries import over
 from quernlake.sources import documents, store
 
 
@@ -127,6 +128,24 @@ def test_sound_answers_about_terms_of_adaptive_paths_are_exact(spark, tmp_path):
             assert many(index, cases, "sound") == [expected for _, expected in cases]
 
 
+def test_rows_without_a_key_are_a_row_group(spark):
+    df = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (None, "a", 7), (None, "c", None)], "k bigint, v string, n int")
+    index = over(df, "k", rg=1)
+    cases = [(EQ("$.v", "a"), [None, 1]), (EQ("$.v", "b"), [2]), (IN("$.v", "b", "c"), [None, 2]), (GT("$.n", 6), [None]), (IsNull("$.n"), [None]), (Regex("$.v", "[ab]"), [None, 1, 2])]
+    assert many(index, cases, "sound") == [expected for _, expected in cases]
+    assert rgs(index, NE("$.v", "a")) == [2] and rgs(index, NE("$.v", "b")) == [None, 1]
+    found = filtered_rows(df, F.col("k"), index, [EQ("$.v", "a")], "compat")
+    assert {r["n"] for r in found.collect()} == {5, 7}
+
+
+def test_hot_terms_of_an_index_whose_row_groups_nobody_counted(spark):
+    df = spark.range(10).select("id", F.when(F.col("id") < 2, "hot").otherwise(F.concat(F.lit("tail_"), "id")).alias("field"))
+    config = Config(cardinality_threshold=1, adaptive_cap=4, adaptive_buckets=1)
+    for count in (True, False):
+        index = over(df, "id", ["field"], config, count=count, rg=1)
+        assert rgs(index, EQ("$.field", "hot")) == [0, 1] and rgs(index, EQ("$.field", "tail_3")) == list(range(2, 10))
+
+
 def test_regex_row_groups(spark):
     index = index_of(spark, [{"brand": b} for b in ("Toyota Corolla is reliable", "Tesla Model 3 is electric", "Ford Mustang is powerful", "Both Toyota and Tesla are popular", "Honda Civic is economical")])
     for pattern, expected in (("Toyota", [0, 3]), ("Toyota|Tesla", [0, 1, 3]), ("Toyota|Tesla|Ford", [0, 1, 2, 3]), ("BMW|Mercedes", [])):

@@ -3,6 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quernlake import queries as engine
 from tests.conftest import DATA
@@ -31,6 +32,18 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(got.columns) == sorted(expected.columns) and _rows(got) == _rows(expected)
 
 
+def test_eq_high_cardinality_of_repeated_names_and_null_keys(spark, tmp_path):
+    """More names than an exact path has by its threshold, in more than one row group each, one of them without a key."""
+    name = F.format_string("Customer#%09d", F.col("id") % 12000)
+    rows = spark.range(36000).select(F.when(F.col("id") < 24000, F.col("id")).alias("c_custkey"), name.alias("c_name"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    got = [r["rg_id"] for r in engine.QUERIES["eq_high_cardinality"](spark, str(tmp_path)).collect()]
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW customer AS FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+        expected = [r[0] for r in con.sql(engine.ORACLE_SQL["eq_high_cardinality"]).fetchall()]
+    assert len(got) == len(expected) == 3 and set(got) == set(expected) == {None, 0, 120}
+
+
 def test_entry(spark):
     import __spark_entry__
 
